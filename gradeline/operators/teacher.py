@@ -49,10 +49,11 @@ def attach_questions(rows: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def training_rows(rows: DataFrame) -> DataFrame:
-    """idx with prompt, completion and template options."""
+    """idx (and ``part``, if the rows are split) with prompt, completion and template options."""
+    kept = [c for c in ("idx", "part") if c in rows.columns]
     return rows.select(
-        "idx", prompt_completion(F.col("system"), F.col("user"), F.col("teacher")).alias("row")
-    ).select("idx", "row.*")
+        *kept, prompt_completion(F.col("system"), F.col("user"), F.col("teacher")).alias("row")
+    ).select(*kept, "row.*")
 
 
 def token_counter(load: Callable[[], Callable[[str], int]]) -> Callable[[Column], Column]:

@@ -28,7 +28,7 @@ def training_sets(
         whole = F.concat_ws("\n", "system", "user", "teacher")
         sized = within_length(rows.where("part = 'train'"), whole, max_length, count).drop("n_tokens")
         rows = sized.unionByName(rows.where("part = 'eval'"))
-    return training_rows(rows).join(rows.select("idx", "part"), "idx")
+    return training_rows(rows)
 
 
 def selection(sweep: DataFrame) -> DataFrame:
