@@ -10,8 +10,11 @@ from pyspark.sql import Column, functions as F
 CHAT_HOST = "openrouter.ai"
 CHAT_PATH = "/api/v1/chat/completions"
 
-_LOOPBACK_V4 = r"^(127(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}|0\.0\.0\.0)$"
-_LOOPBACK_V6 = r"^\[?(((0{1,4}:){7}|(0{1,4}:){0,6}:|:(:0{1,4}){1,6}:|(0{1,4}:)+(:0{1,4}){1,5}:)0{0,3}[01]|::|(0{1,4}:){1,7}:)\]?$"
+_OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_LOOPBACK_V4 = rf"(127([.]{_OCTET}){{3}}|0[.]0[.]0[.]0)"
+# all groups zero but for a last one of 0 or 1: written out, or with one run of zeros left out
+_LOOPBACK_V6 = r"((0{1,4}:){7}0{0,3}[01]|(0{1,4}(:0{1,4}){0,6})?::((0{1,4}:){0,5}0{0,3}[01])?)"
+_LOOPBACK = rf"^({_LOOPBACK_V4}|\[?({_LOOPBACK_V6}|::ffff:127([.]{_OCTET}){{3}})\]?)\z"
 
 
 def blocked_group(url: Column, groups: Sequence[Sequence[str]]) -> Column:
@@ -42,9 +45,7 @@ def url_host(url: Column) -> Column:
 def is_loopback(host: Column) -> Column:
     """A loopback or unspecified address, or a name that mentions localhost."""
     name = F.coalesce(host, F.lit(""))
-    return (
-        name.rlike(_LOOPBACK_V4) | name.rlike(_LOOPBACK_V6) | F.contains(F.lower(name), F.lit("localhost"))
-    )
+    return F.lower(name).rlike(_LOOPBACK) | F.contains(F.lower(name), F.lit("localhost"))
 
 
 def is_chat_call(host: Column, method: Column, path: Column) -> Column:

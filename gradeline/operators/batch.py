@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeline.functions.requests import prediction_text
-from gradeline.operators.cost import mtok_cost, with_usd_cost
+from gradeline.operators.cost import MTOK, mtok_cost, with_usd_cost
 from gradeline.functions.usage import with_usage
 
 
@@ -53,8 +53,8 @@ def build_records(
     """
     replied = answered.withColumn("pred", prediction_text(F.col("response"), F.col("raw")))
     if prices is None:
-        return replied.withColumns({"mtok": F.lit(0).cast("decimal(38,9)"), "usd": F.lit(0.0)})
-    metered = with_usage(replied, "raw").withColumn("mtok", F.coalesce(mtok_cost(F.col("usage")), F.lit(0)))
+        return replied.withColumns({"mtok": F.lit(0).cast(MTOK), "usd": F.lit(0.0)})
+    metered = with_usage(replied, "raw").withColumn("mtok", F.coalesce(mtok_cost(F.col("usage")), F.lit(0).cast(MTOK)))
     billed = with_usd_cost(metered, prices, model=model, strict=strict)
     free = F.col("usage").isNull()
     return billed.withColumn("usd", F.when(free, 0.0).otherwise(F.col("usd")))

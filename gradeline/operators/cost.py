@@ -16,7 +16,9 @@ MTOK_WEIGHTS = {
     "cache_creation_input_tokens": Decimal("1.0"),
     "cache_read_input_tokens": Decimal("0.1"),
 }
-MTOK = "decimal(38,9)"
+# Room for 19 digits before the point. A wider type would lose decimals: Spark cuts the scale of a
+# sum that no longer fits 38 digits.
+MTOK = "decimal(28,9)"
 
 
 def weights_of(table: DataFrame) -> dict[str, Decimal]:
@@ -79,7 +81,7 @@ def with_usd_cost(
         lacking = F.col(f"`_{rate}`").isNull() & (tokens > 0)
         error = error.when(lacking, F.concat(F.col(model), F.lit(f": {counter} without {rate}")))
         total = total + F.when(F.col(f"`_{rate}`").isNull(), 0.0).otherwise(tokens * F.col(f"`_{rate}`"))
-    usd = F.when(error.isNull(), total / F.lit(1e6))
+    usd = F.when(error.isNull() & F.col(usage).isNotNull(), total / F.lit(1e6))
     if strict:
         usd = F.when(error.isNotNull(), F.raise_error(error)).otherwise(usd)
     return joined.withColumn("usd_error", error).withColumn("usd", usd).drop(

@@ -29,7 +29,7 @@ def running_ledger(
     ``opening`` (run, opening) carries balances over from earlier calls, one row per run.
     """
     paid = calls.withColumn("_paid", F.coalesce(F.col(cost).cast(MTOK), _money(0)))
-    summed = prefix_sums(paid, {"spent_before": "_paid"}, order_by, within=[run])
+    summed = prefix_sums(paid, {"spent_before": "_paid"}, order_by, within=[run], as_type=MTOK)
     before = F.col("spent_before")
     if opening is not None:
         summed = summed.join(opening, run, "left")
@@ -69,7 +69,7 @@ def budget_cut(
         BLOCK, idx_block(F.col("idx"))
     )
     still_open = None if budget is None else F.col("_base__before") + _money(initial) < _money(budget)
-    summed = sums_over_blocks(paid, {"_before": "_paid"}, ["idx"], within=[run], keep=still_open)
+    summed = sums_over_blocks(paid, {"_before": "_paid"}, ["idx"], within=[run], as_type=MTOK, keep=still_open)
     before = F.col("_before") + _money(initial)
     after = (before + F.col("_paid")).cast(MTOK)
     kept = summed if budget is None else summed.where(before < _money(budget))

@@ -22,8 +22,9 @@ def prefix_sums(
     sums: Mapping[str, Column | str],
     order_by: Sequence[str],
     within: Sequence[str] = (),
+    as_type: str = "bigint",
 ) -> DataFrame:
-    """Add one exclusive running sum per entry of ``sums`` (new name -> summed column).
+    """Add one exclusive running sum of ``as_type`` per entry of ``sums`` (new name -> summed column).
 
     ``order_by`` must order the rows of a group totally; group keys must not be NULL. The blocks
     are Spark's own range partitions over (within, order_by), so hot groups and hot values are
@@ -31,7 +32,7 @@ def prefix_sums(
     different bounds.
     """
     ranged = df.repartitionByRange(*within, *order_by).withColumn(BLOCK, F.spark_partition_id())
-    return sums_over_blocks(pin(ranged, "ranged"), sums, order_by, within).drop(BLOCK)
+    return sums_over_blocks(pin(ranged, "ranged"), sums, order_by, within, as_type).drop(BLOCK)
 
 
 def sums_over_blocks(
@@ -39,6 +40,7 @@ def sums_over_blocks(
     sums: Mapping[str, Column | str],
     order_by: Sequence[str],
     within: Sequence[str] = (),
+    as_type: str = "bigint",
     keep: Column | None = None,
 ) -> DataFrame:
     """The same for rows that already carry a block number growing with ``order_by``.
@@ -48,28 +50,32 @@ def sums_over_blocks(
     """
     keys = [*within, BLOCK]
     parts = {name: F.col(c) if isinstance(c, str) else c for name, c in sums.items()}
-    bases = block_bases(df, parts, within)
+    bases = block_bases(df, parts, within, as_type)
     if keep is not None:
         bases = bases.where(keep)
     inside = Window.partitionBy(*keys).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
     running = {
-        name: F.col(f"_base_{name}") + F.coalesce(F.sum(c).over(inside), F.lit(0))
+        name: (F.col(f"_base_{name}") + _zero_if_none(F.sum(c).over(inside), as_type)).cast(as_type)
         for name, c in parts.items()
     }
     return df.join(bases, keys).withColumns(running).drop(*[f"_base_{name}" for name in parts])
 
 
-def block_bases(df: DataFrame, parts: Mapping[str, Column], within: Sequence[str] = ()) -> DataFrame:
+def block_bases(
+    df: DataFrame, parts: Mapping[str, Column], within: Sequence[str] = (), as_type: str = "bigint"
+) -> DataFrame:
     """Per (within, block): the sum over all earlier blocks of the group, as ``_base_<name>``."""
-    totals = df.groupBy(*within, BLOCK).agg(*[F.sum(c).alias(name) for name, c in parts.items()])
+    totals = df.groupBy(*within, BLOCK).agg(*[F.sum(c).cast(as_type).alias(name) for name, c in parts.items()])
     before = Window.partitionBy(*within).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(
-        *within,
-        BLOCK,
-        *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_base_{n}") for n in parts],
+        *within, BLOCK, *[_zero_if_none(F.sum(n).over(before), as_type).alias(f"_base_{n}") for n in parts]
     )
 
 
+def _zero_if_none(total: Column, as_type: str) -> Column:
+    return F.coalesce(total.cast(as_type), F.lit(0).cast(as_type))
+
+
 def idx_block(idx: Column) -> Column:
     """Block number of a dense row index: no scan or sort is needed to find the cuts."""
     return F.floor(idx / IDX_BLOCK).cast("bigint")

@@ -32,10 +32,10 @@ def primary_metric(
     documents: DataFrame, paths: Mapping[str, str] = METRIC_PATH, task: str = "task", metrics: str = "metrics"
 ) -> DataFrame:
     """Add ``metric``: each run's primary number, found by its task's path; NULL if absent."""
-    path = F.lit(None).cast("string")
+    found = F.lit(None).cast("string")
     for name, where in paths.items():
-        path = F.when(F.col(task) == name, F.lit(where)).otherwise(path)
-    return documents.withColumn("metric", F.get_json_object(F.col(metrics), path).try_cast("double"))
+        found = F.when(F.col(task) == name, F.get_json_object(F.col(metrics), where)).otherwise(found)
+    return documents.withColumn("metric", found.try_cast("double"))
 
 
 def normalized_gain(scores: DataFrame, limits: DataFrame) -> DataFrame:

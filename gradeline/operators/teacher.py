@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeline.functions.requests import first_turn, prompt_completion, reply_content
@@ -98,12 +97,22 @@ def window_fit(
 def label_rows(
     df: DataFrame, prompt: str, make_predict: Callable[[], Callable], chunk: int = LOCAL_CHUNK
 ) -> DataFrame:
-    """Add ``pred``: a supplied model's reply to each prompt, in batches of up to ``chunk`` rows.
+    """Add ``pred``: a supplied model's reply to each prompt, at most ``chunk`` rows per model call.
 
-    ``make_predict`` runs once per Python worker and returns array of prompts -> array of replies.
-    Rows keep their columns, so the order is whatever ``idx`` says.
+    ``make_predict`` runs once per task and returns array of prompts -> sequence of replies; one
+    that caches its model in an importable module loads it once per worker. Arrow batches bound the
+    memory. Rows keep their columns, so the order is whatever ``idx`` says.
     """
-    predict = predict_batch_udf(make_predict, return_type="string", batch_size=chunk)
+
+    @F.pandas_udf("string")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = make_predict()
+        for batch in batches:
+            replies: list[str] = []
+            for start in range(0, len(batch), chunk):
+                replies.extend(model(batch.iloc[start : start + chunk].to_numpy()))
+            yield pd.Series(replies, index=batch.index, dtype="object")
+
     return df.withColumn("pred", predict(F.col(prompt)))
 
 

@@ -56,7 +56,7 @@ AGENT_EVENT = (
 
 PRICES = (
     "model STRING, tag STRING, base_input_per_mtok DOUBLE, output_per_mtok DOUBLE, "
-    "cache_hit_refresh_per_mtok DOUBLE, 5m_cache_write_per_mtok DOUBLE, 1h_cache_write_per_mtok DOUBLE"
+    "cache_hit_refresh_per_mtok DOUBLE, `5m_cache_write_per_mtok` DOUBLE, `1h_cache_write_per_mtok` DOUBLE"
 )
 
 WEIGHTS = "counter STRING, weight DOUBLE, description STRING"

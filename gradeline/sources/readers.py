@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from gradeline import schemas
 from gradeline.operators.shaping import union_parts
@@ -29,22 +29,20 @@ def read_shards(spark: SparkSession, path: str, schema: str = schemas.RELEVANCE_
 def read_quoted_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """CSV with header, quoted line breaks, doubled quotes and fields of any length; all strings.
 
-    Empty fields stay empty strings. A quoted line break means a file cannot be cut, so one large
-    file is one task: keep such data in many files.
+    ``columns`` are found by their names in the header; others are not read. Empty fields stay
+    empty strings. A quoted line break means a file cannot be cut, so one large file is one task:
+    keep such data in many files.
     """
-    header = StructType([StructField(c, StringType()) for c in columns])
     raw = (
         spark.read.option("header", True)
         .option("multiLine", True)
         .option("escape", '"')
         .option("maxCharsPerColumn", -1)
-        .option("enforceSchema", False)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
-        .schema(header)
         .csv(path)
     )
-    return raw.na.fill("")
+    return raw.select(*columns).na.fill("")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
