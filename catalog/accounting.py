@@ -10,7 +10,7 @@ from gradeline import schemas
 from gradeline.functions.requests import apply_reasoning
 from gradeline.functions.usage import annotate_body, billed_usage, usage_document, with_usage
 from gradeline.operators import audit, batch, cost, ledger
-from gradeline.session import fresh_path
+from gradeline.session import fresh_path, pin
 from gradeline.sources import readers, writers
 
 COUNTERS = ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")
@@ -218,7 +218,8 @@ SELECT DISTINCT event_type AS model FROM events WHERE event_type IN (SELECT mode
 
 
 def _ledger(spark: SparkSession, sf_dir: str, run: str = "run") -> DataFrame:
-    return ledger.running_ledger(_billed(spark, sf_dir), BUDGET, ["ts", "idx"], run=run)
+    calls = _billed(spark, sf_dir).select("idx", run, "ts", "mtok")
+    return ledger.running_ledger(calls, BUDGET, ["ts", "idx"], run=run)
 
 
 def running_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,7 +259,8 @@ SELECT run, idx, {_num_sql('spent_after')} FROM led WHERE spent_before < {BUDGET
 
 def budget_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run per model; the event id is the row's position."""
-    kept = ledger.budget_cut(_billed(spark, sf_dir), "10", run="model", initial="0.25")
+    records = pin(_billed(spark, sf_dir).select("idx", "model", "mtok"), "records")
+    kept = ledger.budget_cut(records, "10", run="model", initial="0.25")
     return kept.select("idx", "model", _num("spent_after"), "stopped_early")
 
 

@@ -8,9 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalog import inputs
 from catalog.base import derive, plain, table
-from gradeline.functions.replies import (
-    detection_score, extraction_outcome, extraction_value, fallback_letter, relevance_letter,
-)
+from gradeline.functions.replies import detection_score, fallback_letter, relevance_letter
 from gradeline.functions.text import normalize_answer
 from gradeline.operators import detection as det, scoring
 from gradeline.operators.sampling import fallback_labels
@@ -67,8 +65,7 @@ def _extraction(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 def extraction_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold, preds = _extraction(spark, sf_dir)
-    outcome = extraction_outcome(F.col("evidences"), extraction_value(F.col("pred")))
-    return gold.join(preds, "idx").select("idx", outcome.alias("outcome"))
+    return scoring.extraction_outcomes(gold.join(preds, "idx")).select("idx", "outcome")
 
 
 def extraction_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,10 +23,8 @@ def relevance_letter(reply: Column) -> Column:
 
 def relevance_label(letter: Column) -> Column:
     """The label name of a letter, NULL for anything else."""
-    names = F.lit(None).cast("string")
-    for key, name in RELEVANCE_LABELS.items():
-        names = F.when(letter == key, F.lit(name)).otherwise(names)
-    return names
+    names = F.create_map(*[F.lit(text) for pair in RELEVANCE_LABELS.items() for text in pair])
+    return F.try_element_at(names, letter)
 
 
 def fallback_letter(key: Column, seed: int = 0) -> Column:
@@ -37,13 +35,22 @@ def fallback_letter(key: Column, seed: int = 0) -> Column:
     return F.element_at(letters, (draw + 1).cast("int"))
 
 
+def reply_number(reply: Column) -> Column:
+    """A bare number as Python's float() reads it; NULL for anything else, nan and inf included."""
+    # Spark's cast takes 0.5f and rejects 0_5, so the pattern decides; no match leaves ''
+    literal = F.regexp_extract(strip(reply), _FLOAT, 0)
+    return F.replace(literal, F.lit("_"), F.lit("")).try_cast("double")
+
+
+def confidence(number: Column) -> Column:
+    """The number if it is in [0, 1], else chance."""
+    # adding zero turns -0.0 into 0.0
+    return F.when((number >= 0.0) & (number <= 1.0), number + F.lit(0.0)).otherwise(F.lit(CHANCE))
+
+
 def detection_score(reply: Column) -> Column:
     """A bare number in [0, 1]; anything else scores as chance."""
-    bare = strip(F.coalesce(reply, F.lit("")))
-    # Spark's cast takes 0.5f and rejects 0_5; the pattern admits what Python's float() takes.
-    number = F.when(bare.rlike(_FLOAT), F.replace(bare, F.lit("_"), F.lit("")).try_cast("double"))
-    # adding zero turns -0.0 into 0.0
-    return F.when(number.between(0.0, 1.0), number + F.lit(0.0)).otherwise(F.lit(CHANCE))
+    return confidence(reply_number(reply))
 
 
 def extraction_value(reply: Column) -> Column:
@@ -52,15 +59,16 @@ def extraction_value(reply: Column) -> Column:
     return F.when(bare == NO_VALUE, "").otherwise(bare)
 
 
-def extraction_outcome(evidences: Column, prediction: Column) -> Column:
-    """Outcome class of one row: gold values (array of struct with ``value``) against a prediction.
+def gold_values(evidences: Column) -> Column:
+    """Normalised, non-empty values of an array of evidences (struct with ``value``)."""
+    return F.filter(F.transform(evidences, lambda e: normalize_answer(e["value"])), lambda v: v != "")
+
+
+def extraction_outcome(gold: Column, guess: Column) -> Column:
+    """Outcome class from ``gold_values`` and the normalised prediction.
 
     First letter: does gold state a value; second: none predicted, the same one, or another one.
     """
-    gold = F.filter(
-        F.transform(evidences, lambda e: normalize_answer(e["value"])), lambda v: v != ""
-    )
-    guess = normalize_answer(prediction)
     no_gold, no_guess = F.size(gold) == 0, guess == ""
     return (
         F.when(no_gold & no_guess, "n_n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeline import schemas
-from gradeline.functions.text import LINE_BREAK, SPACE, strip
+from gradeline.functions.text import LINE_BREAK, WHITESPACE, strip
 
 # The four counters, and the price column that applies to each.
 COUNTER_RATES = {
@@ -22,7 +22,7 @@ _DATA = "data: "
 
 def is_json_body(body: Column) -> Column:
     """Whether a body is one JSON object rather than a stream of chunks."""
-    return body.rlike(rf"(?U)^{SPACE}*\{{")
+    return F.startswith(F.ltrim(body, F.lit(WHITESPACE)), F.lit("{"))
 
 
 def _carries_data(line: Column) -> Column:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradeline.functions.replies import CHANCE, detection_score
+from gradeline.functions.replies import confidence, reply_number
 from gradeline.operators.checks import require
 from gradeline.operators.prefix import prefix_sums
 from gradeline.operators.scoring import align
@@ -39,8 +39,10 @@ def score_rows(gold: DataFrame, preds: DataFrame) -> DataFrame:
     """
     joined = align(gold, preds)
     stray = F.when(F.col("_is_gold").isNull(), F.lit("predictions without a gold row"))
-    parsed = F.when(F.col("_is_pred"), detection_score(F.col("pred"))).otherwise(CHANCE)
-    return joined.withColumn("score", require(stray, parsed)).drop("pred", "_is_gold", "_is_pred")
+    parsed = joined.withColumn("_number", reply_number(F.col("pred")))
+    return parsed.withColumn("score", require(stray, confidence(F.col("_number")))).drop(
+        "pred", "_number", "_is_gold", "_is_pred"
+    )
 
 
 def results_by_id(df: DataFrame, results: DataFrame) -> DataFrame:
@@ -75,9 +77,9 @@ def human_ranks(hist: DataFrame) -> DataFrame:
 
 
 def human_totals(hist: DataFrame) -> DataFrame:
-    """Human and machine rows per scope."""
+    """Human and machine rows per scope; written, so that joins know how small it is."""
     human = F.col("model") == HUMAN
-    return (
+    totals = (
         hist.withColumn("scope", F.explode(F.array(F.lit(ALL), F.col("domain"))))
         .groupBy("scope")
         .agg(
@@ -85,6 +87,7 @@ def human_totals(hist: DataFrame) -> DataFrame:
             F.sum(F.when(human, 0).otherwise(F.col("n"))).alias("n_machine"),
         )
     )
+    return pin(totals, "totals")
 
 
 def thresholds(ranks: DataFrame, totals: DataFrame, targets: Sequence[float] = TARGET_FPRS) -> DataFrame:
@@ -153,7 +156,7 @@ def score_grid(
     of the cell's domain where the domain is fixed. The cube runs over per-slice sums, not rows.
     """
     totals = human_totals(hist)
-    limits = thresholds(ranks, totals, targets)
+    limits = pin(thresholds(ranks, totals, targets), "limits")
     machine = hist.where(F.col("model") != HUMAN)
     overall = ranks.where(F.col("scope") == ALL).select(
         "score", F.col("neg").alias("neg_all"), F.col("neg_before").alias("below_all")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeline.functions import replies
+from gradeline.functions.text import normalize_answer
 from gradeline.operators.checks import count_guard, require
 
 OUTCOMES = ("a_a", "a_b", "a_n", "n_a", "n_n")
@@ -40,14 +41,25 @@ def _alignment_problem(strict: bool) -> Column:
     )
 
 
+def extraction_outcomes(rows: DataFrame) -> DataFrame:
+    """Add ``outcome`` to rows with ``evidences`` and ``pred``; each side is normalised once."""
+    staged = rows.withColumns(
+        {
+            "_gold": replies.gold_values(F.col("evidences")),
+            "_guess": normalize_answer(replies.extraction_value(F.col("pred"))),
+        }
+    )
+    outcome = replies.extraction_outcome(F.col("_gold"), F.col("_guess"))
+    return staged.withColumn("outcome", outcome).drop("_gold", "_guess")
+
+
 def score_extraction(gold: DataFrame, preds: DataFrame) -> DataFrame:
     """Outcome counts, precision, recall and F1, as one row.
 
     ``gold``: idx, evidences (array of struct with value); ``preds``: idx, pred (one per gold row).
     """
-    outcome = replies.extraction_outcome(F.col("evidences"), replies.extraction_value(F.col("pred")))
-    measured = align(gold.select("idx", "evidences"), preds).withColumn(
-        "_outcome", F.when(F.col("_is_gold") & F.col("_is_pred"), outcome)
+    measured = extraction_outcomes(align(gold.select("idx", "evidences"), preds)).withColumn(
+        "_outcome", F.when(F.col("_is_gold") & F.col("_is_pred"), F.col("outcome"))
     )
     counts = measured.agg(
         *[F.count_if(F.col("_outcome") == m).alias(m) for m in OUTCOMES], *_side_counts()
@@ -68,10 +80,11 @@ def extraction_metrics() -> list[Column]:
 
 def relevance_predictions(gold: DataFrame, preds: DataFrame, seed: int = 0) -> DataFrame:
     """Gold label and predicted label per row; unusable or missing replies get the fallback letter."""
-    letter = replies.relevance_letter(F.col("pred"))
-    used = F.when(letter == "", replies.fallback_letter(F.col("example_id"), seed)).otherwise(letter)
     joined = align(gold.select("idx", "example_id", "label"), preds)
-    return joined.withColumn("predicted", replies.relevance_label(used)).select(
+    parsed = joined.withColumn("_letter", replies.relevance_letter(F.col("pred")))
+    fallback = replies.fallback_letter(F.col("example_id"), seed)
+    used = F.when(F.col("_letter") == "", fallback).otherwise(F.col("_letter"))
+    return parsed.withColumn("predicted", replies.relevance_label(used)).select(
         "idx", "example_id", "label", "predicted", "_is_gold", "_is_pred"
     )
 

@@ -101,17 +101,17 @@ def label_rows(
 
     ``make_predict`` runs once per task and returns array of prompts -> sequence of replies; one
     that caches its model in an importable module loads it once per worker. Arrow batches bound the
-    memory. Rows keep their columns, so the order is whatever ``idx`` says.
+    memory. A NULL prompt gets NULL without a call. Rows keep their columns, so the order is whatever ``idx`` says.
     """
 
     @F.pandas_udf("string")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make_predict()
         for batch in batches:
-            replies: list[str] = []
-            for start in range(0, len(batch), chunk):
-                replies.extend(model(batch.iloc[start : start + chunk].to_numpy()))
-            yield pd.Series(replies, index=batch.index, dtype="object")
+            asked, replies = batch.dropna(), []
+            for start in range(0, len(asked), chunk):
+                replies.extend(model(asked.iloc[start : start + chunk].to_numpy()))
+            yield pd.Series(replies, index=asked.index, dtype="object").reindex(batch.index)
 
     return df.withColumn("pred", predict(F.col(prompt)))
 

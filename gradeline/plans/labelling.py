@@ -38,9 +38,8 @@ def label_locally(
 ) -> DataFrame:
     """(idx, response, raw, pred) from a supplied predictor; a prompt that does not fit is an error row."""
     prompts = window_fit(TASKS[kind].prompts(questions), F.col("prompt"), max_tokens, max_model_len, count)
-    labelled = label_rows(prompts.where("fits"), "prompt", make_predict).unionByName(
-        prompts.where("NOT fits").withColumn("pred", F.lit(None).cast("string"))
-    )
+    asked = prompts.withColumn("_asked", F.when(F.col("fits"), F.col("prompt")))
+    labelled = label_rows(asked, "_asked", make_predict)
     document = local_response(F.col("pred"), F.col("error"), F.col("n_tokens"), count_words(F.coalesce("pred", F.lit(""))))
     answered = labelled.select("idx", document.alias("raw"))
     parsed = answered.withColumn("response", F.from_json("raw", schemas.RESPONSE))

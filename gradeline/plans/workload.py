@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gradeline.operators.sampling import first_wins, lift_single_attribute, seeded_order, views
 from gradeline.operators.shaping import join_metadata, shape_detection, shape_relevance
 from gradeline.schemas import DETECTION_GOLD, EXTRACTION_FULL
+from gradeline.session import pin
 from gradeline.sources.readers import (
-    read_parts, read_quoted_csv, read_raw_lines, read_shards, with_byte_offsets, with_line_numbers,
+    line_offsets, read_parts, read_quoted_csv, read_raw_lines, read_shards, with_line_numbers,
 )
 from gradeline.sources.writers import read_view, sample_tag, write_views
 
@@ -34,10 +35,9 @@ def build_from_metadata(labels: DataFrame, metadata: DataFrame, key: str, paragr
 
 
 def read_full(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A canonical JSON-lines table with each row's ``line`` and byte ``offset``."""
-    lines = with_byte_offsets(with_line_numbers(read_raw_lines(spark, path)))
-    parsed = F.from_json("value", schema).alias("row")
-    return lines.select("line", "offset", parsed).select("line", "offset", "row.*")
+    """A canonical JSON-lines table with each row's ``line``."""
+    lines = with_line_numbers(read_raw_lines(spark, path))
+    return lines.select("line", F.from_json("value", schema).alias("row")).select("line", "row.*")
 
 
 def sample_full(
@@ -50,14 +50,19 @@ def sample_full(
     num: int | None = None,
     single_attribute: bool = False,
 ) -> dict[str, str]:
-    """Shuffle the canonical table by seed, keep ``num`` rows (all if None), write the three views."""
+    """Shuffle the canonical table by seed, keep ``num`` rows (all if None), write the three views.
+
+    The sample is written once; the views are read off it.
+    """
     sample = seeded_order(read_full(spark, full_path, schema), "line", seed, num)
     if single_attribute:
         sample = lift_single_attribute(sample)
+    sample = pin(sample, "sample")
+    offsets = sample.select("idx", "line").join(line_offsets(read_raw_lines(spark, full_path)), "line")
     shown = [f for f in question_fields if f in sample.columns]
-    gold = [c for c in sample.columns if c not in (*shown, "idx", "line", "offset")]
+    gold = [c for c in sample.columns if c not in (*shown, "idx", "line")]
     questions, gold_view = views(sample, shown, gold)
-    return write_views(out_dir, sample_tag(seed, num), questions, gold_view, sample)
+    return write_views(out_dir, sample_tag(seed, num), questions, gold_view, offsets)
 
 
 def load_sample(

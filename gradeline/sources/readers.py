@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 
 from gradeline import schemas
 from gradeline.operators.shaping import union_parts
+from gradeline.session import pin
 
 
 def read_shards(spark: SparkSession, path: str, schema: str = schemas.RELEVANCE_RAW) -> DataFrame:
@@ -70,39 +71,53 @@ def read_raw_lines(spark: SparkSession, path: str, line_sep: str | None = "\n")
     )
 
 
-def with_line_numbers(lines: DataFrame) -> DataFrame:
-    """Add ``line``: the row's 0-based position over all files in path order.
+def _split_starts(lines: DataFrame) -> DataFrame:
+    """Per split of the scan: rows and bytes before it, and its first sequence number.
 
-    Splits are counted, the counts accumulated (one row per split), and added to the position
-    inside the split. The lines themselves are not sorted.
+    One row per split, written: joins then know its size and need not move the lines to meet it.
     """
-    counts = lines.groupBy("file_path", "block_start").agg(
-        F.count("*").alias("_n"), F.min("_seq").alias("_first")
+    size = F.octet_length("value").cast("bigint") + 1
+    splits = lines.groupBy("file_path", "block_start").agg(
+        F.count("*").alias("_n"), F.sum(size).alias("_bytes"), F.min("_seq").alias("_first")
     )
-    before = Window.orderBy("file_path", "block_start").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return (
-        lines.join(starts, ["file_path", "block_start"])
-        .withColumn("line", F.col("_before") + F.col("_seq") - F.col("_first"))
-        .drop("_before", "_first")
+    so_far = Window.orderBy("file_path", "block_start").rowsBetween(Window.unboundedPreceding, -1)
+    of_file = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.withColumns(
+        {
+            "_rows_before": F.coalesce(F.sum("_n").over(so_far), F.lit(0)),
+            "_bytes_before": F.coalesce(F.sum("_bytes").over(of_file), F.lit(0)),
+        }
+    )
+    return pin(starts.drop("_n", "_bytes"), "splits")
+
+
+def _numbered(lines: DataFrame, starts: DataFrame) -> DataFrame:
+    return lines.join(starts, ["file_path", "block_start"]).withColumn(
+        "line", F.col("_rows_before") + F.col("_seq") - F.col("_first")
     )
 
 
-def with_byte_offsets(lines: DataFrame) -> DataFrame:
-    """Add ``offset``: the byte at which each line starts in its file ('\\n'-separated files).
+def with_line_numbers(lines: DataFrame) -> DataFrame:
+    """Add ``line``: the row's 0-based position over all files in path order.
 
-    Needs ``block_start`` and ``_seq``; the window runs inside one split at a time.
+    Splits are counted, the counts accumulated, and added to the position inside the split; the
+    lines themselves are neither sorted nor shuffled.
+    """
+    return _numbered(lines, _split_starts(lines)).drop("_rows_before", "_bytes_before", "_first")
+
+
+def line_offsets(lines: DataFrame) -> DataFrame:
+    """(line, offset): the byte at which each line starts in its file ('\\n'-separated files).
+
+    Only lengths are shuffled, and the window runs inside one split at a time.
     """
     size = F.octet_length("value").cast("bigint") + 1
-    totals = lines.groupBy("file_path", "block_start").agg(F.sum(size).alias("_bytes"))
-    of_file = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.withColumn("_base", F.coalesce(F.sum("_bytes").over(of_file), F.lit(0))).drop("_bytes")
-    inside = Window.partitionBy("file_path", "block_start").orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        lines.join(bases, ["file_path", "block_start"])
-        .withColumn("offset", F.col("_base") + F.coalesce(F.sum(size).over(inside), F.lit(0)))
-        .drop("_base")
+    narrow = _numbered(lines, _split_starts(lines)).select(
+        "file_path", "block_start", "line", "_bytes_before", size.alias("_size")
     )
+    inside = Window.partitionBy("file_path", "block_start").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.col("_bytes_before") + F.coalesce(F.sum("_size").over(inside), F.lit(0))
+    return narrow.select("line", offset.alias("offset"))
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:

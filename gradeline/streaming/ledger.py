@@ -61,10 +61,9 @@ class LedgerStream:
     def handle(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         opening = self._opening(spark, number)
-        ledger = running_ledger(metered(batch), self.budget, ORDER, opening=opening)
-        columns = ["run", *ORDER, "status_code", "usage_reason", "mtok"]
-        columns += ["spent_before", "spent_after", "remaining", "exhausted"]
-        ledger.select(*columns).write.mode("overwrite").parquet(self._path("ledger", number))
+        calls = metered(batch).select("run", *ORDER, "status_code", "usage_reason", "mtok")
+        ledger = running_ledger(calls, self.budget, ORDER, opening=opening)
+        ledger.write.mode("overwrite").parquet(self._path("ledger", number))
         written = spark.read.parquet(self._path("ledger", number))
         first_exhausted(written, self.budget).write.mode("overwrite").parquet(self._path("exhausted", number))
         closing = written.groupBy("run").agg(F.max("spent_after").alias("closing"))
