@@ -154,15 +154,15 @@ FROM labels l JOIN documents d ON l.doc_id = d.doc_id"""
 # ---- files ----------------------------------------------------------------------------------
 
 
-def _write_lines(df: DataFrame, path: str) -> None:
-    """Text files whose path and line order is the order of doc_id."""
-    df.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("value").write.text(path)
+def _write_lines(df: DataFrame, value: F.Column, path: str) -> None:
+    """Text files of ``value`` whose path and line order is the order of doc_id."""
+    df.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(value).write.text(path)
 
 
 def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     path = fresh_path(spark, "lines")
-    _write_lines(docs.select("doc_id", F.concat_ws(" ", F.col("doc_id").cast("string"), one_line(F.col("text"))).alias("value")), path)
+    _write_lines(docs, F.concat_ws(" ", F.col("doc_id").cast("string"), one_line(F.col("text"))), path)
     preds = readers.read_predictions(spark, path)
     return preds.select("idx", F.split_part("pred", F.lit(" "), F.lit(1)).cast("bigint").alias("doc_id"), F.octet_length("pred").cast("bigint").alias("n_bytes"))
 
@@ -259,7 +259,7 @@ def views_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole workload path: JSON lines, line numbers, seeded order, three views, read back by idx."""
     docs = _docs(spark, sf_dir)
     full, out = fresh_path(spark, "full"), fresh_path(spark, "views")
-    _write_lines(docs.select("doc_id", F.to_json(F.struct("doc_id", "text", "lang", "source")).alias("value")), full)
+    _write_lines(docs, F.to_json(F.struct("doc_id", "text", "lang", "source")), full)
     schema = "doc_id BIGINT, text STRING, lang STRING, source STRING"
     workload.sample_full(spark, full, schema, out, ["text"], SEED)
     tag = writers.sample_tag(SEED)

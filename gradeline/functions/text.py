@@ -12,12 +12,8 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-_ODD_SPACE = r"[\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 # the look-ahead spares the costly Unicode word-edge test at most positions
 _ARTICLES = r"(?U)(?=[at])\b(a|an|the)\b"
-# runs that are not already one blank
-_WIDE_SPACE = rf"{_ODD_SPACE}{SPACE}*| {SPACE}+"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
@@ -31,9 +27,11 @@ def normalize_answer(text: Column) -> Column:
 
     Punctuation goes before articles, so that ``th.e`` counts as an article.
     """
-    bare = F.translate(F.lower(text), string.punctuation, "")
+    # one pass deletes punctuation and makes every kind of whitespace a blank
+    odd = WHITESPACE.replace(" ", "")
+    bare = F.translate(F.lower(text), odd + string.punctuation, " " * len(odd))
     spaced = F.regexp_replace(bare, _ARTICLES, " ")
-    return F.trim(F.regexp_replace(spaced, _WIDE_SPACE, " "))
+    return F.trim(F.regexp_replace(spaced, "  +", " "))
 
 
 def quote_json(text: Column) -> Column:
@@ -50,4 +48,4 @@ def one_line(text: Column) -> Column:
 def count_words(text: Column) -> Column:
     """Blank-separated tokens; the default where no tokenizer is given."""
     bare = strip(text)
-    return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, f"{SPACE}+"))).cast("long")
+    return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, r"\s+"))).cast("long")

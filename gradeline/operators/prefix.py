@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gradeline.session import pin
 
 BLOCK = "_block"
-IDX_BLOCK = 65_536
+_IDX_BITS = 16
 
 
 def prefix_sums(
@@ -77,5 +77,5 @@ def _zero_if_none(total: Column, as_type: str) -> Column:
 
 
 def idx_block(idx: Column) -> Column:
-    """Block number of a dense row index: no scan or sort is needed to find the cuts."""
-    return F.floor(idx / IDX_BLOCK).cast("bigint")
+    """Block number of a dense row index, 65,536 rows each: no scan is needed to find the cuts."""
+    return F.shiftright(idx, _IDX_BITS)

@@ -49,9 +49,20 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
+def _app_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/gradeline-{spark.conf.get('spark.app.id', 'local')}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared scratch folder."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new, unused path below this application's part of the shared scratch folder."""
+    return f"{_app_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this application pinned. Call it when no result that reads a pin is needed."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_app_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pin(df: DataFrame, name: str = "pin") -> DataFrame:
@@ -63,3 +74,13 @@ def pin(df: DataFrame, name: str = "pin") -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fix_splits(spark: SparkSession) -> None:
+    """Make file scans cut their input alike from now on, however many executors are alive.
+
+    Unless told otherwise Spark lets the number of live cores decide how small files are packed.
+    """
+    key = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))

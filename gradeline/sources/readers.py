@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 
 from gradeline import schemas
 from gradeline.operators.shaping import union_parts
-from gradeline.session import pin
+from gradeline.session import fix_splits, pin
 
 
 def read_shards(spark: SparkSession, path: str, schema: str = schemas.RELEVANCE_RAW) -> DataFrame:
@@ -61,6 +61,7 @@ def read_raw_lines(spark: SparkSession, path: str, line_sep: str | None = "\n")
 
     The order is fixed at the scan, before any shuffle.
     """
+    fix_splits(spark)
     reader = spark.read if line_sep is None else spark.read.option("lineSep", line_sep)
     meta = F.col("_metadata")
     return reader.text(path).select(
@@ -88,13 +89,18 @@ def _split_starts(lines: DataFrame) -> DataFrame:
             "_bytes_before": F.coalesce(F.sum("_bytes").over(of_file), F.lit(0)),
         }
     )
-    return pin(starts.drop("_n", "_bytes"), "splits")
+    return pin(starts.drop("_bytes"), "splits")
 
 
 def _numbered(lines: DataFrame, starts: DataFrame) -> DataFrame:
-    return lines.join(starts, ["file_path", "block_start"]).withColumn(
-        "line", F.col("_rows_before") + F.col("_seq") - F.col("_first")
+    """Lines with their number; raises should this scan have cut the files in another way."""
+    placed = lines.join(starts, ["file_path", "block_start"], "left").withColumn(
+        "_place", F.col("_seq") - F.col("_first")
     )
+    fits = (F.col("_place") >= 0) & (F.col("_place") < F.col("_n"))
+    moved = F.raise_error(F.lit("the input was cut differently in two scans of it"))
+    line = F.when(F.coalesce(fits, F.lit(False)), F.col("_rows_before") + F.col("_place")).otherwise(moved)
+    return placed.withColumn("line", line).drop("_place")
 
 
 def with_line_numbers(lines: DataFrame) -> DataFrame:
@@ -103,7 +109,9 @@ def with_line_numbers(lines: DataFrame) -> DataFrame:
     Splits are counted, the counts accumulated, and added to the position inside the split; the
     lines themselves are neither sorted nor shuffled.
     """
-    return _numbered(lines, _split_starts(lines)).drop("_rows_before", "_bytes_before", "_first")
+    return _numbered(lines, _split_starts(lines)).drop(
+        "_n", "_rows_before", "_bytes_before", "_first"
+    )
 
 
 def line_offsets(lines: DataFrame) -> DataFrame:

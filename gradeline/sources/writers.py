@@ -16,6 +16,8 @@ def sample_tag(seed: int, num: int | None = None) -> str:
 
 
 def _ordered(df: DataFrame) -> DataFrame:
+    """Rows in index order over the files. Derive costly columns after this: its sampling reads
+    ``df`` once more."""
     return df.repartitionByRange("idx").sortWithinPartitions("idx")
 
 
@@ -48,15 +50,15 @@ def write_fallback_labels(labels: DataFrame, path: str) -> None:
 
 def write_predictions(records: DataFrame, out_path: str, raw_path: str, raw_every: int = 1) -> None:
     """One line per prediction in index order, and every k-th raw record as JSON."""
-    _ordered(records.select("idx", one_line(F.col("pred")).alias("value"))).select("value").write.text(out_path)
+    _ordered(records.select("idx", "pred")).select(one_line(F.col("pred")).alias("value")).write.text(out_path)
     raw = [c for c in ("idx", "request", "cost", "walltime_min", "response") if c in records.columns]
     _ordered(keep_every(records, raw_every).select(*raw)).write.json(raw_path)
 
 
 def write_batch_requests(requests: DataFrame, path: str) -> None:
     """One {custom_id, body} per line."""
-    keyed = requests.select(F.col("idx").cast("string").alias("custom_id"), "body", "idx")
-    _ordered(keyed).select(F.to_json(F.struct("custom_id", "body")).alias("value")).write.text(path)
+    keyed = F.struct(F.col("idx").cast("string").alias("custom_id"), "body")
+    _ordered(requests.select("idx", "body")).select(F.to_json(keyed).alias("value")).write.text(path)
 
 
 def write_document(one_row: DataFrame, path: str) -> None:
