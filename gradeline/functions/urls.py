@@ -13,7 +13,7 @@ CHAT_PATH = "/api/v1/chat/completions"
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _LOOPBACK_V4 = rf"(127([.]{_OCTET}){{3}}|0[.]0[.]0[.]0)"
 # all groups zero but for a last one of 0 or 1: written out, or with one run of zeros left out
-_LOOPBACK_V6 = r"((0{1,4}:){7}0{0,3}[01]|(0{1,4}(:0{1,4}){0,6})?::((0{1,4}:){0,5}0{0,3}[01])?)"
+_LOOPBACK_V6 = r"((0{1,4}:){7}0{0,3}[01]|(0{1,4}(:0{1,4}){0,6})?::((0{1,4}:){0,6}0{0,3}[01])?)"
 _LOOPBACK = rf"^({_LOOPBACK_V4}|\[?({_LOOPBACK_V6}|::ffff:127([.]{_OCTET}){{3}})\]?)\z"
 
 
