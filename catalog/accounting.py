@@ -9,7 +9,7 @@ from catalog.base import derive, plain, table
 from gradeline import schemas
 from gradeline.functions.requests import apply_reasoning
 from gradeline.functions.usage import annotate_body, billed_usage, usage_document, with_usage
-from gradeline.operators import audit, batch, cost, ledger
+from gradeline.operators import audit, batch, cost, ledger, routing
 from gradeline.session import fresh_path, pin
 from gradeline.sources import readers, writers
 
@@ -195,19 +195,32 @@ SELECT event_id, CASE event_type WHEN 'click' THEN '{"model":"m","reasoning":{"e
 
 def route_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = derive(spark, sf_dir, inputs.CALLS)
-    return cost.resolve_routes(calls, _routes(spark)).select("idx", "slug", "provider")
+    return routing.resolve_routes(calls, _routes(spark)).select("idx", "slug", "provider")
 
 
 _ROUTE_VALUES = "(VALUES " + ", ".join(str(r) for r in ROUTES) + ") route(model, slug, provider)"
 ROUTE_LOOKUP = f"SELECT event_id AS idx, slug, provider FROM events JOIN {_ROUTE_VALUES} ON model = event_type"
 
 
+def routed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests as they are forwarded."""
+    calls = derive(spark, sf_dir, inputs.CALLS)
+    text = F.concat(F.lit('{"model": "'), "model", F.lit('", "max_tokens": 5, "reasoning_effort": "low"}'))
+    ready = routing.rewrite_requests(calls.select("idx", F.from_json(text, schemas.REQUEST).alias("request")), _routes(spark))
+    return ready.select("idx", F.to_json("request").alias("body"))
+
+
+ROUTED_REQUESTS = f"""
+SELECT event_id AS idx, '{{"model":"' || slug || '","max_tokens":5,"reasoning":{{"effort":"low"}},"provider":{{"only":["' || provider ||
+  '"],"allow_fallbacks":false}}}}' AS body FROM events JOIN {_ROUTE_VALUES} ON model = event_type"""
+
+
 def allowed_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models that calls used often enough and that have a route."""
     calls = derive(spark, sf_dir, inputs.CALLS)
     allowed = calls.groupBy("model").agg(F.max("k").alias("k")).where("k >= 10")
     routes = _routes(spark).where(F.col("provider") != "p4")
-    return cost.usable_models(allowed, routes)
+    return routing.usable_models(allowed, routes)
 
 
 ALLOWED_MODELS = f"""
@@ -441,7 +454,7 @@ def request_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = [["blocked.example", "data"], ["nowhere.example"]]
     spent = _ledger(spark, sf_dir).select("idx", "spent_before")
     flagged = audit.with_url_flags(derive(spark, sf_dir, inputs.REQUESTS), groups)
-    usable = cost.usable_models(_routes(spark).where("model <> 'error'"), _routes(spark))
+    usable = routing.usable_models(_routes(spark).where("model <> 'error'"), _routes(spark))
     ready = audit.mark_allowed(flagged.join(spent, "idx"), usable)
     name, status = audit.verdict(F.col("key_ok"), F.col("spent_before") >= F.lit(BUDGET).cast(cost.MTOK), F.col("model_allowed"))
     return ready.select("idx", name.alias("verdict"), status.alias("status"))
@@ -463,6 +476,7 @@ QUERIES = {
     "billed_annotation": (billed_annotation, BILLED_ANNOTATION),
     "reasoning_normalise": (reasoning_normalise, REASONING_NORMALISE),
     "route_lookup": (route_lookup, ROUTE_LOOKUP),
+    "routed_requests": (routed_requests, ROUTED_REQUESTS),
     "allowed_models": (allowed_models, ALLOWED_MODELS),
     "running_ledger": (running_ledger, RUNNING_LEDGER),
     "ledger_hot_runs": (ledger_hot_runs, LEDGER_HOT_RUNS),

@@ -90,16 +90,22 @@ SELECT doc_id, md5(CASE WHEN contains(text, chr(10)) THEN to_json(text)::VARCHAR
 
 
 def _length_rule():
-    """A stand-in predictor: long texts count as machine text."""
+    """A stand-in model loader: long texts count as machine text.
 
-    def predict(texts):
-        return ["0.9" if len(t) > 1200 else "0.2" for t in texts]
+    Built inside a function, so that it travels to the workers by value.
+    """
 
-    return predict
+    def load():
+        def predict(texts):
+            return ["0.9" if len(t) > 1200 else "0.2" for t in texts]
+
+        return predict
+
+    return load
 
 
 def batch_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return teacher.label_rows(_docs(spark, sf_dir), "text", _length_rule).select("doc_id", "pred")
+    return teacher.label_rows(_docs(spark, sf_dir), "text", _length_rule()).select("doc_id", "pred")
 
 
 BATCH_LABEL = "SELECT doc_id, CASE WHEN length(text) > 1200 THEN '0.9' ELSE '0.2' END AS pred FROM documents"
@@ -112,7 +118,7 @@ _PROMPT = "to_json({'text': text})::VARCHAR"
 def local_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A local model over the whole detection task; prompts that do not fit become error responses."""
     questions = _docs(spark, sf_dir).select(F.col("doc_id").alias("idx"), "text")
-    out = labelling.label_locally(questions, "detection", _length_rule, MAX_TOKENS, WINDOW)
+    out = labelling.label_locally(questions, "detection", _length_rule(), MAX_TOKENS, WINDOW)
     return out.select("idx", "pred", F.col("response.usage.prompt_tokens").alias("n_tokens"))
 
 
@@ -142,13 +148,13 @@ def length_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 LENGTH_FILTER = f"SELECT doc_id, {_N} AS n_tokens FROM documents WHERE {_N} <= 200"
 
 
-def _blank_tokenizer():
-    return lambda text: len(text.split())
-
-
 def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of a supplied tokenizer."""
-    count = teacher.token_counter(_blank_tokenizer)
+
+    def load():
+        return lambda text: len(text.split())
+
+    count = teacher.token_counter(load)
     return _docs(spark, sf_dir).select("doc_id", count(F.col("text")).alias("n_tokens"))
 
 

@@ -49,15 +49,21 @@ def build_records(
     """Prediction text, mtok and usd of each response (columns ``response`` and ``raw``, its JSON).
 
     Without a price table the model is local and its calls cost nothing. A response without usage
-    costs nothing either. Billed columns: usage, usage_reason, mtok, usd, usd_error.
+    costs nothing either; one whose usage cannot be read costs NULL, with ``usage_reason``. Billed
+    columns: usage, usage_reason, mtok, usd, usd_error.
     """
     replied = answered.withColumn("pred", prediction_text(F.col("response"), F.col("raw")))
     if prices is None:
         return replied.withColumns({"mtok": F.lit(0).cast(MTOK), "usd": F.lit(0.0)})
-    metered = with_usage(replied, "raw").withColumn("mtok", F.coalesce(mtok_cost(F.col("usage")), F.lit(0).cast(MTOK)))
+    metered = with_usage(replied, "raw").withColumn("mtok", mtok_cost(F.col("usage")))
     billed = with_usd_cost(metered, prices, model=model, strict=strict)
-    free = F.col("usage").isNull()
-    return billed.withColumn("usd", F.when(free, 0.0).otherwise(F.col("usd")))
+    free = F.col("usage_reason").isin("usage missing", "empty body")
+    return billed.withColumns(
+        {
+            "mtok": F.when(free, F.lit(0).cast(MTOK)).otherwise(F.col("mtok")),
+            "usd": F.when(free, 0.0).otherwise(F.col("usd")),
+        }
+    )
 
 
 def keep_every(df: DataFrame, k: int) -> DataFrame:

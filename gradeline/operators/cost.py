@@ -102,16 +102,3 @@ def run_totals(calls: DataFrame, run: str = "run", local: bool = False) -> DataF
     if not local:
         aggs.append(F.sum("walltime_min").alias("walltime_min"))
     return calls.groupBy(run).agg(*aggs)
-
-
-def resolve_routes(calls: DataFrame, routes: DataFrame, model: str = "model") -> DataFrame:
-    """Add slug and provider of each call's model; a model without a route is an error."""
-    known = routes.select(F.col("model").alias("_model"), "slug", "provider")
-    joined = calls.join(known, F.col(model) == F.col("_model"), "left")
-    unknown = F.raise_error(F.concat(F.lit("no route for model "), F.coalesce(F.col(model), F.lit("NULL"))))
-    return joined.withColumn("slug", F.when(F.col("_model").isNull(), unknown).otherwise(F.col("slug"))).drop("_model")
-
-
-def usable_models(allowed: DataFrame, routes: DataFrame) -> DataFrame:
-    """Models both allowed and routable."""
-    return allowed.select("model").intersect(routes.select("model"))

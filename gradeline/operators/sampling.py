@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gradeline.functions.replies import fallback_letter
 
-# The digest is uniform, so 16 bits of it cut any table into at most 65,536 even buckets.
-_HEX_DIGITS = 4
+# The digest is uniform, so 20 bits of it cut any table into at most 1,048,576 even buckets: about
+# 100 MB each for 100 TB, while the table of bucket starts stays below some tens of MB.
+_HEX_DIGITS = 5
 
 
 def seeded_digest(key: Column, seed: int) -> Column:
@@ -24,7 +25,7 @@ def _bucketed(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def _bucket_starts(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """Rows before and in each digest bucket; at most 65,536 rows, whatever the table's size."""
+    """Rows before and in each digest bucket; at most 1,048,576 rows, whatever the table's size."""
     counts = _bucketed(df.select(key), key, seed).groupBy("_bucket").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))

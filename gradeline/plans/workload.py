@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gradeline.operators.checks import expect_at_least
 from gradeline.operators.sampling import first_wins, lift_single_attribute, seeded_order, views
 from gradeline.operators.shaping import join_metadata, shape_detection, shape_relevance
 from gradeline.schemas import DETECTION_GOLD, EXTRACTION_FULL
@@ -16,6 +18,10 @@ from gradeline.sources.readers import (
 from gradeline.sources.writers import read_view, sample_tag, write_views
 
 
+# Rows of the three published workloads, for ``expect_rows``.
+WORKLOAD_ROWS = {"extraction": 4_767_579, "relevance": 2_621_288, "detection": 5_615_820}
+
+
 def build_relevance(spark: SparkSession, shards: str) -> DataFrame:
     """Canonical relevance rows: the first of every example id in shard order."""
     shaped = shape_relevance(read_shards(spark, shards))
@@ -46,18 +52,22 @@ def sample_full(
     schema: str,
     out_dir: str,
     question_fields: Sequence[str],
-    seed: int,
+    seed: int | None = None,
     num: int | None = None,
     single_attribute: bool = False,
 ) -> dict[str, str]:
     """Shuffle the canonical table by seed, keep ``num`` rows (all if None), write the three views.
 
-    The sample is written once; the views are read off it.
+    The sample is written once; the views are read off it. Without a seed the clock gives one, and
+    the returned paths name it. Asking for more rows than there are is an error.
     """
+    seed = int(time.time()) if seed is None else seed
     sample = seeded_order(read_full(spark, full_path, schema), "line", seed, num)
     if single_attribute:
         sample = lift_single_attribute(sample)
     sample = pin(sample, "sample")
+    if num is not None:
+        expect_at_least(sample, num)
     offsets = sample.select("idx", "line").join(line_offsets(read_raw_lines(spark, full_path)), "line")
     shown = [f for f in question_fields if f in sample.columns]
     gold = [c for c in sample.columns if c not in (*shown, "idx", "line")]

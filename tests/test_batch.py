@@ -68,6 +68,8 @@ def test_records_are_billed_only_with_usage(spark):
     rows = records(spark, [json.dumps({"choices": choice("a", "stop"), "usage": usage}), json.dumps({"choices": []})], prices)
     assert float(rows[0].mtok) == pytest.approx(0.000087) and rows[0].usd == pytest.approx(0.000226)
     assert (float(rows[1].mtok), rows[1].usd) == (0.0, 0.0)
+    unread = records(spark, [json.dumps({"choices": [], "usage": {"prompt_tokens": 5}})], prices)[0]
+    assert (unread.mtok, unread.usd, unread.usage_reason) == (None, None, "usage incomplete")
 
 
 def test_resume(spark):

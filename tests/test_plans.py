@@ -83,3 +83,7 @@ def test_post_run(spark):
     assert good["cost"]["usd"] == pytest.approx(0.000452) and good["out_txt_exists"] and "macro_f1" in good
     bad = json.loads(agent_run.post_run(billed.withColumn("model", F.lit("x")), prices, gold(spark), None, "relevance").first().metrics)
     assert bad["cost"]["usd_error"] == "no rates for model x" and "usd" not in bad["cost"] and not bad["out_txt_exists"]
+    info = {"agent_returncode": 0, "walltime_min": 1.5}
+    many = spark.createDataFrame([(i, "E") for i in range(9)], "idx BIGINT, pred STRING")
+    failed = json.loads(agent_run.post_run(billed, prices, gold(spark), many, "relevance", info).first().metrics)
+    assert "9 predictions for 4 rows" in failed["eval_error"] and failed["walltime_min"] == 1.5 and "usd" in failed["cost"]

@@ -102,6 +102,8 @@ def test_whole_workload_path(spark, tmp_path):
         assert item["id"] == r.id == str(offsets[r.idx].line) and item["attributes"][0]["key"] == r.attribute
         assert r.evidences[0].value == r.id
     assert workload.load_sample(spark, str(tmp_path / "views"), "n12_seed5", "attribute STRING")[1] is None
+    with pytest.raises(ValueError, match="asked for 51 rows"):
+        workload.sample_full(spark, str(tmp_path / "full.jsonl"), schemas.EXTRACTION_FULL, str(tmp_path / "more"), ["paragraphs"], 5, 51)
 
 
 def test_predictions_round_trip(spark, tmp_path):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeline.functions.usage import annotate_body, billed_usage, with_usage
-from gradeline.operators import cost
+from gradeline.operators import cost, routing
 
 USAGE = {"prompt_tokens": 100, "completion_tokens": 7, "prompt_tokens_details": {"cached_tokens": 30, "cache_write_tokens": 20}}
 GOOD = json.dumps({"id": "x", "usage": USAGE})
@@ -102,9 +102,9 @@ def test_weights_must_name_known_counters(spark):
 def test_routes(spark):
     calls = spark.createDataFrame([("a",)], "model STRING")
     routes = spark.createDataFrame([("a", "s", "p")], "model STRING, slug STRING, provider STRING")
-    assert cost.resolve_routes(calls, routes).first().slug == "s"
+    assert routing.resolve_routes(calls, routes).first().slug == "s"
     with pytest.raises(Exception, match="no route for model b"):
-        cost.resolve_routes(spark.createDataFrame([("b",)], "model STRING"), routes).collect()
+        routing.resolve_routes(spark.createDataFrame([("b",)], "model STRING"), routes).collect()
 
 
 def test_annotated_bodies(spark):
