@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeline.operators.cost import MTOK
 from gradeline.operators.prefix import BLOCK, idx_block, prefix_sums, sums_over_blocks
-from gradeline.session import pin
 
 
 def _money(value: float | str | Decimal) -> Column:
@@ -27,11 +26,10 @@ def running_ledger(
     """Balance of the run before and after every call, what remains, and whether it is used up.
 
     ``order_by`` must be unique within a run. An unbilled call has a NULL cost and changes nothing.
-    Rows are written before they are ordered, so costly columns (parsed bodies) are worked out once:
-    select what is needed first, and leave the bodies themselves behind. ``opening`` (run, opening) carries balances over from earlier calls, one row per run.
+    Rows are written before they are ordered: leave the bodies behind. ``opening`` (run, opening) carries balances over from earlier calls, one row per run.
     """
     paid = calls.withColumn("_paid", F.coalesce(F.col(cost).cast(MTOK), _money(0)))
-    summed = prefix_sums(pin(paid, "calls"), {"spent_before": "_paid"}, order_by, within=[run], as_type=MTOK)
+    summed = prefix_sums(paid, {"spent_before": "_paid"}, order_by, within=[run], as_type=MTOK)
     before = F.col("spent_before")
     if opening is not None:
         summed = summed.join(opening, run, "left")

@@ -1,8 +1,8 @@
 """Running sums and ranks over a total order, without one task per group.
 
 A window ordered over a whole group runs in a single task, which a group that holds a third of a
-large table does not survive. Here rows are cut into consecutive blocks, each block is summed, the
-(few) block sums are accumulated, and a window runs inside each block only.
+large table does not survive. Where a group is that large, rows are cut into consecutive blocks,
+each block is summed, the (few) block sums are accumulated, and a window runs inside each block.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from gradeline.session import pin
 
 BLOCK = "_block"
 _IDX_BITS = 16
+# Rows of one group that a single task may sort.
+GROUP_LIMIT = 4_000_000
 
 
 def prefix_sums(
@@ -26,15 +28,33 @@ def prefix_sums(
 ) -> DataFrame:
     """Add one exclusive running sum of ``as_type`` per entry of ``sums`` (new name -> summed column).
 
-    ``order_by`` must order the rows of a group totally; group keys must not be NULL. The blocks
-    are Spark's own range partitions over (within, order_by), so hot groups and hot values are
-    split by their actual distribution. They are pinned, because two evaluations would sample
+    ``order_by`` must order the rows of a group totally; group keys must not be NULL. Rows are
+    written first, so select what is needed: costly columns are then worked out once, and the
+    largest group is known before a plan is chosen. Small groups get a plain window. Otherwise the
+    blocks are Spark's own range partitions over (within, order_by), so hot groups and hot values
+    are split by their actual distribution; they are pinned, because two evaluations would sample
     different bounds.
     """
-    ranged = df.repartitionByRange(*within, *order_by).withColumn(BLOCK, F.spark_partition_id())
+    rows = pin(df, "rows")
+    if _largest_group(rows, within) <= GROUP_LIMIT:
+        before = Window.partitionBy(*within).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
+        parts = _as_columns(sums)
+        return rows.withColumns({n: _zero_if_none(F.sum(c).over(before), as_type) for n, c in parts.items()})
+    ranged = rows.repartitionByRange(*within, *order_by).withColumn(BLOCK, F.spark_partition_id())
     return sums_over_blocks(pin(ranged, "ranged"), sums, order_by, within, as_type).drop(BLOCK)
 
 
+def _largest_group(rows: DataFrame, within: Sequence[str]) -> int:
+    total = rows.count()  # from the file footers
+    if total <= GROUP_LIMIT or not within:
+        return total
+    return rows.groupBy(*within).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+
+
+def _as_columns(sums: Mapping[str, Column | str]) -> dict[str, Column]:
+    return {name: F.col(c) if isinstance(c, str) else c for name, c in sums.items()}
+
+
 def sums_over_blocks(
     df: DataFrame,
     sums: Mapping[str, Column | str],
@@ -49,7 +69,7 @@ def sums_over_blocks(
     a condition on the blocks' ``_base_<name>``; rows of other blocks are left out.
     """
     keys = [*within, BLOCK]
-    parts = {name: F.col(c) if isinstance(c, str) else c for name, c in sums.items()}
+    parts = _as_columns(sums)
     bases = block_bases(df, parts, within, as_type)
     if keep is not None:
         bases = bases.where(keep)

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gradeline.functions.replies import fallback_letter
 
-# The digest is uniform, so 20 bits of it cut any table into at most 1,048,576 even buckets: about
-# 100 MB each for 100 TB, while the table of bucket starts stays below some tens of MB.
-_HEX_DIGITS = 5
+# The digest is uniform, so 16 bits of it cut any table into at most 65,536 even buckets: about
+# 1.5 GB each for 100 TB, which one task sorts with spilling, and a table of starts of a few MB.
+_HEX_DIGITS = 4
 
 
 def seeded_digest(key: Column, seed: int) -> Column:
@@ -25,7 +25,7 @@ def _bucketed(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def _bucket_starts(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """Rows before and in each digest bucket; at most 1,048,576 rows, whatever the table's size."""
+    """Rows before and in each digest bucket; at most 65,536 rows, whatever the table's size."""
     counts = _bucketed(df.select(key), key, seed).groupBy("_bucket").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
@@ -67,12 +67,16 @@ def holdout_split(df: DataFrame, key: str, fraction: float, seed: int) -> DataFr
         .join(F.broadcast(edge), "_bucket")
         .withColumn("_rank", F.col("_start") + F.row_number().over(placed))
         .where(F.col("_rank") == F.col("_quota"))
-        .agg(F.max(F.struct("_digest", F.col(key).alias("_key"))).alias("_last"))
+        .select(F.struct("_digest", F.col(key).alias("_key")).alias("_last"))
     )
     # one row by construction: a scalar subquery, not a join over data
-    position = F.struct(seeded_digest(F.col(key), seed).alias("_digest"), F.col(key).alias("_key"))
-    return df.withColumn(
-        "part", F.when(F.coalesce(position <= last.scalar(), F.lit(False)), "eval").otherwise("train")
+    edge_digest, edge_key = (last.select(f"_last.{c}").scalar() for c in ("_digest", "_key"))
+    digest = F.col("_digest")
+    held = (digest < edge_digest) | ((digest == edge_digest) & (F.col(key) <= edge_key))
+    return (
+        df.withColumn("_digest", seeded_digest(F.col(key), seed))
+        .withColumn("part", F.when(held, "eval").otherwise("train"))
+        .drop("_digest")
     )
 
 

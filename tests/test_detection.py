@@ -2,11 +2,17 @@ import random
 
 import pytest
 
-from gradeline.operators import detection as det
+from gradeline.operators import detection as det, prefix
 
 SCHEMA = "idx BIGINT, id STRING, model STRING, domain STRING, attack STRING, decoding STRING, repetition_penalty STRING"
 
 
+@pytest.fixture(params=["plain", "blocks"], autouse=True)
+def path(request, monkeypatch):
+    if request.param == "blocks":
+        monkeypatch.setattr(prefix, "GROUP_LIMIT", 3)
+
+
 def rows_of(spark, rows, partitions=4):
     gold = [(i, f"d{i}", m, d, a, "greedy", "no") for i, (m, d, a, _) in enumerate(rows)]
     preds = [(i, repr(s)) for i, (*_, s) in enumerate(rows)]

@@ -26,6 +26,13 @@ def brute(rows):
     return out
 
 
+@pytest.fixture(params=["plain", "blocks"], autouse=True)
+def path(request, monkeypatch):
+    """Every test runs over small groups and, with a low limit, over blocks."""
+    if request.param == "blocks":
+        monkeypatch.setattr(prefix, "GROUP_LIMIT", 5)
+
+
 @pytest.mark.parametrize("seed,partitions", [(1, 1), (1, 7), (2, 3)])
 def test_prefix_sums_any_partitioning(spark, seed, partitions):
     rows = skewed(seed)

@@ -2,6 +2,9 @@ import json
 import random
 from decimal import Decimal
 
+import pytest
+
+from gradeline.operators import prefix
 from gradeline.operators.ledger import first_exhausted, running_ledger
 from gradeline.streaming.ledger import ORDER, LedgerStream, metered, read_call_log, spend_totals
 from gradeline.streaming.requests import read_request_log, request_totals
@@ -19,7 +22,9 @@ def write(path, calls):
     path.write_text("".join(json.dumps(c) + "\n" for c in calls))
 
 
-def test_ledger_over_three_runs_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("limit", [10, 10**6])
+def test_ledger_over_three_runs_equals_batch(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(prefix, "GROUP_LIMIT", limit)
     rng = random.Random(1)
     calls = [call(rng, i) for i in range(120)]
     log = tmp_path / "log"
