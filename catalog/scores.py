@@ -13,7 +13,7 @@ from gradeline.functions.text import normalize_answer
 from gradeline.operators import detection as det, scoring
 from gradeline.operators.sampling import fallback_labels
 from gradeline.plans.tasks import TASKS, score
-from gradeline.session import fresh_path, pin
+from gradeline.session import fresh_path
 from gradeline.sources.writers import write_fallback_labels
 
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -169,7 +169,7 @@ def _detection(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _histogram(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     hist = det.histogram(det.score_rows(*_detection(spark, sf_dir)))
-    return hist, pin(det.human_ranks(hist), "ranks")
+    return hist, det.human_ranks(hist)
 
 
 def detection_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,13 +185,14 @@ def detection_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detection_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = det.auroc(*_histogram(spark, sf_dir))
+    _, ranks = _histogram(spark, sf_dir)
+    out = det.auroc(ranks)
     return out.withColumn("auroc", F.round("auroc", 9))
 
 
 def detection_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hist, ranks = _histogram(spark, sf_dir)
-    out = det.thresholds(ranks, det.human_totals(hist))
+    _, ranks = _histogram(spark, sf_dir)
+    out = det.thresholds(ranks, det.scope_totals(ranks))
     return out.select("scope", *[F.round(c, 9).alias(c) for c in out.columns if c != "scope"])
 
 

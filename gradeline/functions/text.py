@@ -12,8 +12,9 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-# the look-ahead spares the costly Unicode word-edge test at most positions
-_ARTICLES = r"(?U)(?=[at])\b(a|an|the)\b"
+# Python's word characters are letters and numbers (Java's also take in combining marks); the
+# look-ahead comes first because it is cheap and fails at most positions
+_ARTICLES = r"(?=[at])(?<![\p{L}\p{N}])(a|an|the)(?![\p{L}\p{N}])"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 

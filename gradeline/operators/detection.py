@@ -51,43 +51,43 @@ def results_by_id(df: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def histogram(scored: DataFrame) -> DataFrame:
-    """Rows per slice and score, written once: all later steps read this instead of the rows."""
+    """Rows per slice and score, written once: all later steps read this instead of the rows.
+
+    A NULL slice key counts as the empty string.
+    """
     clean = [
         F.when(F.col(a) == ALL, F.raise_error(F.lit(f"{a} holds the reserved value '{ALL}'")))
-        .otherwise(F.col(a))
+        .otherwise(F.coalesce(F.col(a), F.lit("")))
         .alias(a)
         for a in AXES
     ]
-    counts = scored.groupBy(*AXES, "score").agg(F.count("*").alias("n"))
-    return pin(counts.select(*clean, "score", "n"), "histogram")
+    counts = scored.select(*clean, "score").groupBy(*AXES, "score").agg(F.count("*").alias("n"))
+    return pin(counts, "histogram")
 
 
 def human_ranks(hist: DataFrame) -> DataFrame:
-    """Per scope (the literal 'all', or one domain) and score: human rows there and below.
+    """Per scope (the literal 'all', or one domain) and score: its rows, and the human rows below.
 
-    Columns scope, score, neg, neg_before. Every score seen on any row of the scope appears.
+    Columns scope, score, neg (human), pos (machine), neg_before. Every score seen on any row of
+    the scope appears.
     """
-    neg = F.when(F.col("model") == HUMAN, F.col("n")).otherwise(0).cast("bigint")
+    human = F.col("model") == HUMAN
     scoped = (
-        hist.select(F.explode(F.array(F.lit(ALL), F.col("domain"))).alias("scope"), "score", neg.alias("neg"))
+        hist.select(
+            F.explode(F.array(F.lit(ALL), F.col("domain"))).alias("scope"),
+            "score",
+            F.when(human, F.col("n")).otherwise(0).cast("bigint").alias("neg"),
+            F.when(human, 0).otherwise(F.col("n")).cast("bigint").alias("pos"),
+        )
         .groupBy("scope", "score")
-        .agg(F.sum("neg").alias("neg"))
+        .agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     )
-    return prefix_sums(scoped, {"neg_before": "neg"}, order_by=["score"], within=["scope"])
+    return pin(prefix_sums(scoped, {"neg_before": "neg"}, order_by=["score"], within=["scope"]), "ranks")
 
 
-def human_totals(hist: DataFrame) -> DataFrame:
+def scope_totals(ranks: DataFrame) -> DataFrame:
     """Human and machine rows per scope; written, so that joins know how small it is."""
-    human = F.col("model") == HUMAN
-    totals = (
-        hist.withColumn("scope", F.explode(F.array(F.lit(ALL), F.col("domain"))))
-        .groupBy("scope")
-        .agg(
-            F.sum(F.when(human, F.col("n")).otherwise(0)).alias("n_human"),
-            F.sum(F.when(human, 0).otherwise(F.col("n"))).alias("n_machine"),
-        )
-    )
-    return pin(totals, "totals")
+    return pin(ranks.groupBy("scope").agg(F.sum("neg").alias("n_human"), F.sum("pos").alias("n_machine")), "totals")
 
 
 def thresholds(ranks: DataFrame, totals: DataFrame, targets: Sequence[float] = TARGET_FPRS) -> DataFrame:
@@ -123,25 +123,18 @@ def _twice_u(n: Column, below: Column, tied: Column) -> Column:
     return n.cast("decimal(18,0)") * (2 * below + tied).cast("decimal(19,0)")
 
 
-def auroc(hist: DataFrame, ranks: DataFrame) -> DataFrame:
+def auroc(ranks: DataFrame) -> DataFrame:
     """AUROC of machine against human rows, with the tallies; NULL if one side is empty. One row."""
-    human = F.col("model") == HUMAN
-    per_score = hist.groupBy("score").agg(
-        F.sum(F.when(human, 0).otherwise(F.col("n"))).alias("pos"), F.sum("n").alias("n")
-    )
-    overall = ranks.where(F.col("scope") == ALL)
     u = _twice_u(F.col("pos"), F.col("neg_before"), F.col("neg"))
-    summed = per_score.join(overall, "score").agg(
+    summed = ranks.where(F.col("scope") == ALL).agg(
         F.sum(u).alias("u"),
-        F.sum("pos").alias("n_machine"),
-        F.sum("neg").alias("n_human"),
-        F.sum("n").alias("n_scored"),
+        F.sum(F.col("pos") + F.col("neg")).alias("n_scored"),
         F.count("*").alias("distinct_preds"),
+        F.sum("neg").alias("n_human"),
+        F.sum("pos").alias("n_machine"),
     )
-    return summed.select(
-        _auroc(F.col("u"), F.col("n_machine"), F.col("n_human")).alias("auroc"),
-        "n_scored", "distinct_preds", "n_human", "n_machine",
-    )
+    value = _auroc(F.col("u"), F.col("n_machine"), F.col("n_human"))
+    return summed.select(value.alias("auroc"), "n_scored", "distinct_preds", "n_human", "n_machine")
 
 
 def score_grid(
@@ -155,7 +148,7 @@ def score_grid(
     Cells hold machine rows; human rows enter through the threshold and as AUROC negatives, those
     of the cell's domain where the domain is fixed. The cube runs over per-slice sums, not rows.
     """
-    totals = human_totals(hist)
+    totals = scope_totals(ranks)
     limits = pin(thresholds(ranks, totals, targets), "limits")
     machine = hist.where(F.col("model") != HUMAN)
     overall = ranks.where(F.col("scope") == ALL).select(
@@ -223,8 +216,8 @@ def headline(grid: DataFrame) -> DataFrame:
 def score_detection(gold: DataFrame, preds: DataFrame, auroc_only: bool = False) -> DataFrame:
     """All detection metrics of a run as one row with a nested ``score_agg``, like the other scorers."""
     hist = histogram(score_rows(gold, preds))
-    ranks = pin(human_ranks(hist), "ranks")
-    tallies = auroc(hist, ranks)
+    ranks = human_ranks(hist)
+    tallies = auroc(ranks)
     if auroc_only:
         agg = F.struct(F.struct("auroc").alias("all"))
         return tallies.select(
@@ -238,7 +231,7 @@ def score_detection(gold: DataFrame, preds: DataFrame, auroc_only: bool = False)
             F.max(F.when(F.col("headline") == "no_adversarial", cell)).alias("no_adversarial"),
         ).alias("score_agg")
     )
-    limits = thresholds(ranks, human_totals(hist)).where(F.col("scope") == ALL).drop("scope")
+    limits = thresholds(ranks, scope_totals(ranks)).where(F.col("scope") == ALL).drop("scope")
     return tallies.drop("auroc").select(
         both.scalar().alias("score_agg"),
         "*",

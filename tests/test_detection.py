@@ -36,18 +36,18 @@ def brute_auroc(machine, human):
 
 def test_auroc_fixture(spark):
     rows = [("g", "x", "none", s) for s in (0.9, 0.4)] + [("human", "x", "none", s) for s in (0.4, 0.1)]
-    row = det.auroc(*prepared(spark, rows)).first()
+    row = det.auroc(prepared(spark, rows)[1]).first()
     assert (row.auroc, row.n_human, row.n_machine, row.distinct_preds) == (0.875, 2, 2, 3)
 
 
 def test_auroc_one_class_is_null(spark):
-    assert det.auroc(*prepared(spark, [("g", "x", "none", 0.5)])).first().auroc is None
+    assert det.auroc(prepared(spark, [("g", "x", "none", 0.5)])[1]).first().auroc is None
 
 
 def test_threshold_fixture(spark):
     rows = [("human", "x", "none", s) for s in (0.1, 0.2, 0.2, 0.9)] + [("g", "x", "none", s) for s in (0.3, 0.9, 0.95, 0.2)]
-    hist, ranks = prepared(spark, rows)
-    limits = det.thresholds(ranks, det.human_totals(hist), [0.25, 0.0]).where("scope = 'all'").first()
+    _, ranks = prepared(spark, rows)
+    limits = det.thresholds(ranks, det.scope_totals(ranks), [0.25, 0.0]).where("scope = 'all'").first()
     assert (limits["threshold_fpr_0_25"], limits["achieved_fpr_0_25"]) == (0.3, 0.25)
     assert (limits["threshold_fpr_0"], limits["achieved_fpr_0"]) == (0.95, 0.0)
 
@@ -110,3 +110,10 @@ def test_report_auroc_only(spark):
     quick = det.score_detection(gold, preds, auroc_only=True).first()
     assert quick.score_agg["all"].auroc == pytest.approx(whole.score_agg["all"].auroc)
     assert quick.auroc_only and whole.per_domain_tuning is False
+
+
+def test_missing_slice_keys_are_kept(spark):
+    rows = [("g", None, "none", 0.9), ("g", "x", "none", 0.8), ("human", None, "none", 0.1)]
+    grid = det.score_grid(*prepared(spark, rows)).collect()
+    assert [r.n_machine for r in grid if all(r[a] == "all" for a in det.AXES)] == [2]
+    assert [r.auroc for r in grid if r.domain == "" and r.model == "all" and r.attack == "all" and r.decoding == "all" and r.repetition_penalty == "all"] == [1.0]

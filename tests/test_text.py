@@ -31,7 +31,7 @@ def test_normalize_edges(spark):
 
 def test_normalize_like_python(spark):
     rng = random.Random(5)
-    alphabet = "aAnNtThHeE étß  \t\n.,'-_!  \x1e0"
+    alphabet = "\u0301\u0903\u00b2\u0e01\u4e00aAnNtThHeE étß  \t\n.,'-_!  \x1e0"
     samples = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 24))) for _ in range(400)]
     assert one(spark, samples, T.normalize_answer) == [squad(s) for s in samples]
 
