@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeline.functions.urls import blocked_group, is_chat_call, is_loopback, url_host
+from gradeline.session import broadcast_if_small
 
 
 def with_url_flags(requests: DataFrame, groups: Sequence[Sequence[str]], url: str = "url") -> DataFrame:
@@ -44,7 +45,7 @@ def mark_allowed(requests: DataFrame, usable: DataFrame, model: str = "model") -
     """Add ``model_allowed``: whether the model is in the (distinct) table of usable models."""
     known = usable.select(F.col("model").alias("_known"))
     return (
-        requests.join(known, F.col(model) == F.col("_known"), "left")
+        requests.join(broadcast_if_small(known), F.col(model) == F.col("_known"), "left")
         .withColumn("model_allowed", F.col("_known").isNotNull())
         .drop("_known")
     )

@@ -157,16 +157,18 @@ def score_grid(
     local = ranks.where(F.col("scope") != ALL).select(
         F.col("scope").alias("domain"), "score", F.col("neg").alias("neg_dom"), F.col("neg_before").alias("below_dom")
     )
-    tuned = machine.join(overall, "score").join(local, ["domain", "score"])
-    scope = F.col("domain") if per_domain_tuning else F.lit(ALL)
-    tuned = tuned.withColumn("scope", scope).join(limits, "scope")
+    placed = machine.join(overall, "score").join(local, ["domain", "score"])
+    if per_domain_tuning:
+        placed = placed.join(limits.withColumnRenamed("scope", "domain"), "domain")
+        limit = {t: F.col(f"threshold_{fpr_tag(t)}") for t in targets}
+    else:
+        one = limits.where(F.col("scope") == ALL)
+        limit = {t: one.select(f"threshold_{fpr_tag(t)}").scalar() for t in targets}
     hits = [
-        F.sum(F.when(F.col("score") >= F.col(f"threshold_{fpr_tag(t)}"), F.col("n")).otherwise(0)).alias(
-            f"hits_{fpr_tag(t)}"
-        )
+        F.sum(F.when(F.col("score") >= limit[t], F.col("n")).otherwise(0)).alias(f"hits_{fpr_tag(t)}")
         for t in targets
     ]
-    slices = tuned.groupBy(*AXES).agg(
+    slices = placed.groupBy(*AXES).agg(
         F.sum("n").alias("n"),
         *hits,
         F.sum(_twice_u(F.col("n"), F.col("below_all"), F.col("neg_all"))).alias("u_all"),

@@ -6,6 +6,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gradeline.session import broadcast_if_small
+
 # Where each task keeps its primary metric.
 METRIC_PATH = {
     "extraction": "$.f1",
@@ -44,4 +46,4 @@ def normalized_gain(scores: DataFrame, limits: DataFrame) -> DataFrame:
     ``limits``: task, trivial, perfect. NULL where the two coincide.
     """
     gain = F.try_divide(F.col("metric") - F.col("trivial"), F.col("perfect") - F.col("trivial"))
-    return scores.join(limits, "task", "left").withColumn("gain", gain)
+    return scores.join(broadcast_if_small(limits), "task", "left").withColumn("gain", gain)

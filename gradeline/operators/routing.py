@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gradeline.functions.requests import apply_reasoning
+from gradeline.session import broadcast_if_small
 
 
 def resolve_routes(calls: DataFrame, routes: DataFrame, model: str = "model") -> DataFrame:
     """Add slug and provider of each call's model; a model without a route is an error."""
     known = routes.select(F.col("model").alias("_model"), "slug", "provider")
-    joined = calls.join(known, F.col(model) == F.col("_model"), "left")
+    joined = calls.join(broadcast_if_small(known), F.col(model) == F.col("_model"), "left")
     unknown = F.raise_error(F.concat(F.lit("no route for model "), F.coalesce(F.col(model), F.lit("NULL"))))
     return joined.withColumn("slug", F.when(F.col("_model").isNull(), unknown).otherwise(F.col("slug"))).drop("_model")
 

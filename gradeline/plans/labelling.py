@@ -15,6 +15,7 @@ from gradeline.operators.ledger import budget_cut
 from gradeline.operators.report import metrics_document
 from gradeline.operators.teacher import label_rows, local_response, window_fit
 from gradeline.plans.tasks import TASKS
+from gradeline.session import pin
 
 
 def requests(
@@ -70,7 +71,8 @@ def run_metrics(
     walltime: bool = True,
 ) -> DataFrame:
     """Metrics document of a run: scores, cost, wall time. Scores are left out when the budget cut it."""
-    kept = budget_cut(records.withColumn("run", F.lit(0)), budget)
+    needed = [c for c in ("idx", "pred", "mtok", "usd", "walltime_min") if c in records.columns]
+    kept = pin(budget_cut(pin(records.select(F.lit(0).alias("run"), *needed)), budget), "kept")
     totals = kept.agg(
         F.struct(F.sum("mtok").cast("double").alias("mtok"), F.sum("usd").alias("usd")).alias("cost"),
         *([F.sum("walltime_min").alias("walltime_min")] if walltime and "walltime_min" in kept.columns else []),

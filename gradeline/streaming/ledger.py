@@ -53,23 +53,18 @@ class LedgerStream:
     def _path(self, kind: str, number: int) -> str:
         return f"{self.root}/{kind}/batch={number}"
 
-    def _opening(self, spark: SparkSession, number: int) -> DataFrame:
-        if number == 0:
-            return spark.createDataFrame([], f"run STRING, opening {MTOK}")
-        return spark.read.parquet(self._path("state", number - 1))
-
     def handle(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        opening = self._opening(spark, number)
+        opening = spark.read.parquet(self._path("state", number - 1)) if number else None
         calls = metered(batch).select("run", *ORDER, "status_code", "usage_reason", "mtok")
         ledger = running_ledger(calls, self.budget, ORDER, opening=opening)
         ledger.write.mode("overwrite").parquet(self._path("ledger", number))
         written = spark.read.parquet(self._path("ledger", number))
         first_exhausted(written, self.budget).write.mode("overwrite").parquet(self._path("exhausted", number))
-        closing = written.groupBy("run").agg(F.max("spent_after").alias("closing"))
-        state = opening.join(closing, "run", "full_outer").select(
-            "run", F.coalesce("closing", "opening").cast(MTOK).alias("opening")
-        )
+        state = written.groupBy("run").agg(F.max("spent_after").alias("opening"))
+        if opening is not None:
+            # balances never fall, so the larger one is the later one
+            state = state.unionByName(opening).groupBy("run").agg(F.max("opening").alias("opening"))
         state.write.mode("overwrite").parquet(self._path("state", number))
 
     def run(self, calls: DataFrame) -> None:
