@@ -2,11 +2,12 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import _MODULES, entry
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = queries(), oracle_sql()
+QUERIES = {name: query for module in _MODULES for name, (query, _) in module.QUERIES.items()}
+ORACLE = {name: sql for module in _MODULES for name, (_, sql) in module.QUERIES.items() if sql}
 
 
 @pytest.fixture(scope="module")
