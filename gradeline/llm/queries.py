@@ -2,12 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gradeline.llm import bpe, simhash, topk
+from gradeline.llm import bpe, secrets, simhash, sketch, topk
 from gradeline.llm.common import table
 
 
+def _listed(spans: Column) -> Column:
+    """kind:start:end of the spans, comma-joined in their order."""
+    text = lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))
+    return F.concat_ws(",", F.transform(spans, text))
+
+
+def _digests(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """doc_id, a count per base kind, the hash of the base spans, and all spans."""
+    base = F.filter("spans", lambda s: s.kind.isin(*kinds))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in kinds]
+    return found.select(
+        "doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans")
+    )
+
+
+def op2_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sketch.edited_sketches(table(spark, sf_dir, "documents"), "doc_id", "text")
+    own, edited, after = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        sketch.as_text(own).alias("fingerprint"),
+        sketch.as_text(edited).alias("edited_fingerprint"),
+        sketch.containment(own, edited).alias("near_edited"),
+        sketch.containment(own, after).alias("near_next"),
+        sketch.resemblance(own, edited).alias("resembles_edited"),
+        sketch.resemblance(own, after).alias("resembles_next"),
+    )
+
+
+#: Texts of each label that the secret models are fitted on.
+SECRET_SAMPLE = 2000
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = secrets.Ratio(*secrets.samples(docs, "text", SECRET_SAMPLE))
+    found = secrets.find_secrets(docs, "doc_id", "text", model)
+    return _digests(found, ("assign", "access", "hex"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_groups(table(spark, sf_dir, "documents"), "doc_id", "text", shingle=4, distance=4)
     return found.select(
@@ -55,7 +101,9 @@ QUALIFY row_number() OVER best <= 20
 """
 
 QUERIES = {
+    "op2_scaled_sketch": (op2_scaled_sketch, None),
     "op3_simhash": (op3_simhash, None),
     "op8_byte_bpe": (op8_byte_bpe, None),
+    "op4_secrets": (op4_secrets, None),
     "op10_top_k": (op10_top_k, OP10_SQL),
 }
