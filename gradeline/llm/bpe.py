@@ -92,9 +92,8 @@ def _encoder(ranks_path: str) -> Callable[[list[str]], bytes]:
             if len(known) > CACHE:
                 known.clear()
                 missing = set(tokens)
-            missing = list(missing)
-            for token, ids in zip(missing, whole.encode_ordinary_batch(missing, num_threads=1)):
-                known[token] = np.asarray(ids, dtype="<u4").tobytes()
+            for token in missing:
+                known[token] = np.array(whole.encode_ordinary(token), dtype="<u4").tobytes()
         return b"".join(map(known.__getitem__, tokens))
 
     return encode
