@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gradeline.llm import bpe, secrets, simhash, sketch, topk
-from gradeline.llm.common import table
+from gradeline.llm import bpe, language, secrets, simhash, sketch, topk
+from gradeline.llm.common import fold, table
 
 
 def _listed(spans: Column) -> Column:
@@ -27,6 +27,18 @@ def _digests(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     )
 
 
+#: Texts of each language that the classifiers are fitted on.
+LANGUAGE_SAMPLE = 300
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(docs.where(fold(F.col("doc_id"), 4) != 2), "text", "lang", LANGUAGE_SAMPLE)
+    found = language.identify(docs, "doc_id", "text", model)
+    held_out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score", "ambiguous")
+
+
 def op2_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sketch.edited_sketches(table(spark, sf_dir, "documents"), "doc_id", "text")
     own, edited, after = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
@@ -101,6 +113,7 @@ QUALIFY row_number() OVER best <= 20
 """
 
 QUERIES = {
+    "op1_language_id": (op1_language_id, None),
     "op2_scaled_sketch": (op2_scaled_sketch, None),
     "op3_simhash": (op3_simhash, None),
     "op8_byte_bpe": (op8_byte_bpe, None),
