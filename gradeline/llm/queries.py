@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gradeline.llm import bpe, language, secrets, simhash, sketch, topk
+from gradeline.llm import bpe, language, secrets, simhash, sketch, topk, toxicity
 from gradeline.llm.common import fold, table
 
 
@@ -75,6 +75,19 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Labelled texts of each label that the toxicity classifier is fitted on.
+TOXIC_SAMPLE = 1500
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learned = labels.where(fold(F.col("doc_id"), 5) != 0)
+    model = toxicity.learn(docs, learned, "doc_id", "text", "toxic", TOXIC_SAMPLE)
+    found = toxicity.score(docs, "doc_id", "text", model)
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -118,5 +131,6 @@ QUERIES = {
     "op3_simhash": (op3_simhash, None),
     "op8_byte_bpe": (op8_byte_bpe, None),
     "op4_secrets": (op4_secrets, None),
+    "op7_toxicity": (op7_toxicity, None),
     "op10_top_k": (op10_top_k, OP10_SQL),
 }
