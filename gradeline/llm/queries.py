@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gradeline.llm import bpe, language, secrets, simhash, sketch, topk, toxicity
+from gradeline.llm import bpe, language, lines, secrets, simhash, sketch, topk, toxicity
 from gradeline.llm.common import fold, table
 
 
@@ -75,6 +75,40 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A line on so many sites is boilerplate.
+LEAST_SITES = 8
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kept = lines.remove_boilerplate(docs, "text", "source", LEAST_SITES, counted="n_chars")
+    return kept.select(
+        "doc_id", F.length("text").cast("bigint").alias("kept_chars"), F.md5("text").alias("kept_md5")
+    )
+
+
+OP6_SQL = f"""
+WITH lines AS (
+  SELECT source, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents
+), spread AS (
+  SELECT line FROM lines WHERE line <> '' AND source IS NOT NULL GROUP BY line HAVING count(DISTINCT source) >= {LEAST_SITES}
+), numbered AS (
+  SELECT row_number() OVER () AS r, doc_id, text FROM documents
+), cut AS (
+  SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place
+  FROM numbered
+), short AS (
+  SELECT r, coalesce(string_agg(line, chr(10) ORDER BY place)
+    FILTER (trim(line, ' ') NOT IN (SELECT line FROM spread)), '') AS text
+  FROM cut GROUP BY r
+), kept AS (
+  SELECT doc_id, CASE WHEN length(s.text) >= 0.5 * length(n.text) THEN s.text ELSE n.text END AS text
+  FROM numbered n LEFT JOIN short s USING (r)
+)
+SELECT doc_id, CAST(length(text) AS BIGINT) AS kept_chars, md5(text) AS kept_md5 FROM kept
+"""
+
+
 #: Labelled texts of each label that the toxicity classifier is fitted on.
 TOXIC_SAMPLE = 1500
 
@@ -131,6 +165,7 @@ QUERIES = {
     "op3_simhash": (op3_simhash, None),
     "op8_byte_bpe": (op8_byte_bpe, None),
     "op4_secrets": (op4_secrets, None),
+    "op6_line_dedup": (op6_line_dedup, OP6_SQL),
     "op7_toxicity": (op7_toxicity, None),
     "op10_top_k": (op10_top_k, OP10_SQL),
 }
