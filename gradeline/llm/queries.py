@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gradeline.llm import bpe, language, lines, secrets, simhash, sketch, topk, toxicity
+from gradeline.llm import bpe, language, lines, pii, secrets, simhash, sketch, topk, toxicity
 from gradeline.llm.common import fold, table
 
 
@@ -16,10 +16,12 @@ def _listed(spans: Column) -> Column:
 
 def _digests(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """doc_id, a count per base kind, the hash of the base spans, and all spans."""
-    base = F.filter("spans", lambda s: s.kind.isin(*kinds))
+    base = F.filter("spans", lambda s: s.base) if "base" in found.schema["spans"].dataType.elementType.names else (
+        F.filter("spans", lambda s: s.kind.isin(*kinds))
+    )
 
     def count(kind: str) -> Column:
-        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("bigint").alias(f"n_{kind}")
+        return F.size(F.filter(base, lambda s: s.kind == kind)).cast("bigint").alias(f"n_{kind}")
 
     counts = [count(kind) for kind in kinds]
     return found.select(
@@ -75,6 +77,16 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Texts that the personal data tagger is trained on.
+PII_SAMPLE = 800
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = pii.learn(docs, "text", PII_SAMPLE)
+    return _digests(pii.find_personal(docs, "doc_id", "text", model), pii.KINDS)
+
+
 #: A line on so many sites is boilerplate.
 LEAST_SITES = 8
 
@@ -165,6 +177,7 @@ QUERIES = {
     "op3_simhash": (op3_simhash, None),
     "op8_byte_bpe": (op8_byte_bpe, None),
     "op4_secrets": (op4_secrets, None),
+    "op5_pii": (op5_pii, None),
     "op6_line_dedup": (op6_line_dedup, OP6_SQL),
     "op7_toxicity": (op7_toxicity, None),
     "op10_top_k": (op10_top_k, OP10_SQL),
