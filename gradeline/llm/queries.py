@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gradeline.llm import bpe, language, lines, pii, secrets, simhash, sketch, topk, toxicity
+from gradeline.llm import bpe, language, lines, packing, pii, secrets, simhash, sketch, topk, toxicity
 from gradeline.llm.common import fold, table
 
 
@@ -148,6 +148,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    words = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", words, end_id=1, window=2048)
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", every=20, k=20, scale=64)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
@@ -180,5 +187,6 @@ QUERIES = {
     "op5_pii": (op5_pii, None),
     "op6_line_dedup": (op6_line_dedup, OP6_SQL),
     "op7_toxicity": (op7_toxicity, None),
+    "op9_packing": (op9_packing, None),
     "op10_top_k": (op10_top_k, OP10_SQL),
 }
