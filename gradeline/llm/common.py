@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Code points of text that one task turns into Arrow rows before it hands them on.
 EMIT_CHARS = 4_000_000
@@ -20,6 +24,14 @@ def fold(key: Column, parts: int) -> Column:
     return F.crc32(key.cast("string")) % parts
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind until no column of ``df`` is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_arrow(
     df: DataFrame, schema: str, start: Callable[[], Callable[[list[list]], list[list]]]
 ) -> DataFrame:
@@ -29,12 +41,7 @@ def map_arrow(
     slice of rows to the columns of the new rows. A slice ends after EMIT_CHARS code points, so a
     batch of very long texts is not held several times over.
     """
-    from pyspark.sql.types import StructType
-
-    fields = StructType.fromDDL(schema)
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(fields)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None
@@ -51,9 +58,6 @@ def map_arrow(
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The batch cut into runs of rows that hold about EMIT_CHARS bytes of text each."""
-    import numpy as np
-    import pyarrow.compute as pc
-
     if not batch.num_rows:
         return
     size = np.ones(batch.num_rows, dtype=np.int64)

@@ -8,6 +8,7 @@ a codeword and takes the codeword with the least loss; a narrow lead marks the t
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gradeline.llm.common import map_arrow
@@ -119,8 +120,10 @@ class Codes:
 
     def predict(self, text: str | None, lead: float) -> tuple[str, float, bool]:
         """(language, score, ambiguous); score is the softmax of the negative losses, summed per bit."""
-        if not self.languages or text is None or not has_letter(text):
+        if text is None or not has_letter(text):
             return UNKNOWN, 0.0, True
+        if not self.languages:
+            return UNKNOWN, 0.0, False
         loss = self.losses(text) * self.code.shape[1]
         chance = np.exp(loss.min() - loss)
         chance /= chance.sum()
@@ -149,7 +152,8 @@ def identify(docs: DataFrame, key: str, text: str, model: Codes, lead: float = 0
     """``key``, ``lang_pred``, ``score`` (0 to 1) and ``ambiguous`` of every row's whole text.
 
     ``ambiguous`` marks a lead over the second language below ``lead``. NULL, empty and letterless
-    texts are ``und`` with score 0 and ambiguous, as is all if nothing was learned. Repeated rows
+    texts are ``und`` with score 0 and ambiguous. If nothing was learned all texts are ``und``, those
+    with letters not ambiguous. Repeated rows
     and NULL keys stay; no other column is read.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -164,3 +168,13 @@ def identify(docs: DataFrame, key: str, text: str, model: Codes, lead: float = 0
     kind = dict(rows.dtypes)["key"]
     out = map_arrow(rows, f"key {kind}, lang_pred string, score double, ambiguous boolean", start)
     return out.withColumnRenamed("key", key)
+
+
+def recognised(docs: DataFrame, text: str, model: Codes, lead: float = 0.1) -> DataFrame:
+    """The rows of ``docs`` whose text has letters and is not ambiguous. All columns stay."""
+
+    def sure(texts: pd.Series) -> pd.Series:
+        found = (model.predict(t if isinstance(t, str) else None, lead) for t in texts)
+        return pd.Series([not ambiguous for _, _, ambiguous in found], dtype=bool)
+
+    return docs.where(F.pandas_udf(sure, "boolean")(F.col(text)))

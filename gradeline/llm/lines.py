@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gradeline.llm.common import free_name
 from gradeline.session import pin
 
 #: log2 of the sketch's registers; the standard error is 1.04 / sqrt(2 ** LG_K).
@@ -90,15 +91,14 @@ def remove_boilerplate(
     text stays NULL, an empty one empty. Rows stay, in whatever number they come; every row gets a number of its own for the while, so repeated or NULL ids do no harm.
     ``counted`` names a column that is set to the new text's length where lines went.
     """
-    rows = pin(docs.withColumn("_line_row", F.monotonically_increasing_id()), "rows")
-    places = boilerplate_places(rows, "_line_row", text, site, least_sites)
-    places = places.withColumnRenamed("key", "_line_row").withColumnRenamed("places", "_line_places")
-    joined = rows.join(places, "_line_row", "left")
-    joined = joined.withColumn("_line_kept", without_lines(F.col(text), F.col("_line_places")))
-    enough = F.length("_line_kept") >= (1 - most_share) * F.length(text)
-    changed = F.col("_line_places").isNotNull() & enough
-    new = {text: F.when(changed, F.col("_line_kept")).otherwise(F.col(text))}
+    row, places, kept = (free_name(docs, n) for n in ("_line_row", "_line_places", "_line_kept"))
+    rows = pin(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = boilerplate_places(rows, row, text, site, least_sites)
+    joined = rows.join(found.select(F.col("key").alias(row), F.col("places").alias(places)), row, "left")
+    joined = joined.withColumn(kept, without_lines(F.col(text), F.col(places)))
+    changed = F.col(places).isNotNull() & (F.length(kept) >= (1 - most_share) * F.length(text))
+    new = {text: F.when(changed, F.col(kept)).otherwise(F.col(text))}
     if counted and counted in docs.columns:
-        length = F.length("_line_kept").cast(dict(docs.dtypes)[counted])
+        length = F.length(kept).cast(dict(docs.dtypes)[counted])
         new[counted] = F.when(changed, length).otherwise(F.col(counted))
     return joined.withColumns(new).select(*docs.columns)

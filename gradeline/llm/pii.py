@@ -10,9 +10,10 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from gradeline.llm.common import map_arrow
+from gradeline.llm.common import free_name, map_arrow
 
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<kind: string, start: bigint, end: bigint, base: boolean>>"
@@ -414,33 +415,18 @@ def mask(docs: DataFrame, text: str, model: Tagger | None, counted: str | None =
     is set to the new text's length where a span was masked. Other columns go through untouched.
     """
 
-    def start():
-        def step(columns):
-            out = []
-            for t, spans in zip(columns[0], scan([t or "" for t in columns[0]], model)):
-                out.append(masked(t, spans) if spans else t)
-            return [out]
-
-        return step
-
-    change = F.pandas_udf(_masker(start), "string")
-    out = docs.withColumn("_pii_text", change(F.col(text)))
-    new = {text: F.col("_pii_text")}
-    if counted and counted in docs.columns:
-        length = F.length("_pii_text").cast(dict(docs.dtypes)[counted])
-        new[counted] = F.when(~F.col(text).eqNullSafe(F.col("_pii_text")), length).otherwise(F.col(counted))
-    return out.withColumns(new).select(*docs.columns)
-
-
-def _masker(start):
-    import pandas as pd
-
     def change(texts: pd.Series) -> pd.Series:
-        step = start()
-        values = [None if t is None else t for t in texts.astype(object).where(texts.notna(), None)]
         out = []
-        for a in range(0, len(values), 256):  # bounded slices
-            out += step([values[a : a + 256]])[0]
+        for a in range(0, len(texts), 256):  # bounded slices
+            part = texts.iloc[a : a + 256].tolist()
+            found = scan([t if isinstance(t, str) else "" for t in part], model)
+            out += [masked(t, spans) if spans else t for t, spans in zip(part, found)]
         return pd.Series(out, index=texts.index, dtype=object)
 
-    return change
+    made = free_name(docs, "_pii_text")
+    out = docs.withColumn(made, F.pandas_udf(change, "string")(F.col(text)))
+    new = {text: F.col(made)}
+    if counted and counted in docs.columns:
+        length = F.length(made).cast(dict(docs.dtypes)[counted])
+        new[counted] = F.when(~F.col(text).eqNullSafe(F.col(made)), length).otherwise(F.col(counted))
+    return out.withColumns(new).select(*docs.columns)

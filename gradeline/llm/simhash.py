@@ -8,12 +8,13 @@ of near copies costs a star and not its square.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradeline.llm.common import map_arrow
+from gradeline.llm.common import free_name, map_arrow
 from gradeline.llm.components import connected
 from gradeline.session import pin
 
@@ -30,9 +31,21 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return (counts @ table).ravel()
 
 
-def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = 4) -> DataFrame:
+def _signed(value: int) -> int:
+    return value - (1 << BITS) if value >> (BITS - 1) else value
+
+
+def _remixed(hashes: np.ndarray) -> np.ndarray:
+    """Other 64 bits from each hash, for a longer fingerprint."""
+    mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = 4, lanes: int = 1) -> DataFrame:
     """``key`` and ``fingerprint`` (bigint, the 64 bits) of every row's whole text.
 
+    More than one of ``lanes`` makes it an array of so many bigint, whose first is the same.
+
     ASCII letters are lower-cased, words are what ASCII white space separates, and each run of
     ``shingle`` words, repeats included, is hashed by XXH64 with seed 42; a text of fewer words is
     one shingle. A bit is set if it is in over half the hashes. NULL, empty and blank texts get 0.
@@ -42,26 +55,32 @@ def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = 4) -> Data
     def start():
         from xxhash import xxh64_intdigest
 
-        def bits(t: str) -> int:
+        def bits(t: str) -> list[int]:
             words = t.encode("utf-8", "surrogatepass").lower().split()
             if not words:
-                return 0
+                return [0] * lanes
             line = b" ".join(words)
             ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
             last = ends[shingle - 1 :] - 1 if len(words) >= shingle else ends[-1:] - 1
             first = np.concatenate(([0], ends))[: len(last)]
-            counts = np.zeros(BITS, dtype=np.int64)
+            counts = np.zeros((lanes, BITS), dtype=np.int64)
             for a in range(0, len(last), HASHES):
                 spans = zip(first[a : a + HASHES].tolist(), last[a : a + HASHES].tolist())
-                found = [xxh64_intdigest(line[i:j], 42) for i, j in spans]
-                counts += _bit_counts(np.array(found, dtype=np.uint64))
-            value = sum(1 << i for i in np.flatnonzero(counts * 2 > len(last)).tolist())
-            return value - (1 << BITS) if value >> (BITS - 1) else value
+                found = np.array([xxh64_intdigest(line[i:j], 42) for i, j in spans], dtype=np.uint64)
+                for lane in range(lanes):
+                    counts[lane] += _bit_counts(found)
+                    found = _remixed(found) if lane + 1 < lanes else found
+            return [_signed(sum(1 << i for i in np.flatnonzero(c * 2 > len(last)).tolist())) for c in counts]
 
-        return lambda columns: [columns[0], [bits(t) for t in columns[1]]]
+        def step(columns):
+            found = [bits(t) for t in columns[1]]
+            return [columns[0], found if lanes > 1 else [f[0] for f in found]]
+
+        return step
 
     kind = dict(rows.dtypes)["key"]
-    return map_arrow(rows, f"key {kind}, fingerprint bigint", start).select(F.col("key").alias(key), "fingerprint")
+    out = "bigint" if lanes == 1 else "array<bigint>"
+    return map_arrow(rows, f"key {kind}, fingerprint {out}", start).select(F.col("key").alias(key), "fingerprint")
 
 
 def block_masks(distance: int, blocks: int) -> list[int]:
@@ -69,7 +88,7 @@ def block_masks(distance: int, blocks: int) -> list[int]:
     edges = [BITS * i // blocks for i in range(blocks + 1)]
     parts = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
     masks = [sum(chosen) for chosen in combinations(parts, blocks - distance)]
-    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
+    return [_signed(m) for m in masks]
 
 
 def block_count(rows: int, distance: int) -> int:
@@ -80,14 +99,35 @@ def block_count(rows: int, distance: int) -> int:
     return blocks
 
 
-def _blocked(values: DataFrame, masks: list[int]) -> DataFrame:
-    """A row per key of every row's fingerprint; equal keys of two choices only add a comparison."""
-    keys = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)]
-    return values.withColumn("block", F.explode(F.array(*keys)))
+def _close(distance: int) -> Column:
+    """Whether the fingerprints of both sides of a join, ``fp`` and ``fp2``, are that close."""
+    return F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= distance
+
+
+def _linked(values: DataFrame, blocks: Column, close: Column) -> DataFrame:
+    """(node, group) of ``values`` (node bigint, fp, n: its rows): group is the smallest node linked.
 
+    ``blocks`` are a row's keys: rows that share one and are ``close`` are linked.
+    """
+    keyed = values.withColumn("block", F.explode(blocks))
+    heads = keyed.groupBy("block").agg(F.max(F.struct("n", "node", "fp")).alias("head"), F.count("*").alias("size"))
+    heads = heads.where("size > 1").select("block", F.col("head.node").alias("node2"), F.col("head.fp").alias("fp2"))
+    stars = keyed.join(heads, "block").where((F.col("node") != F.col("node2")) & close)
+    first = connected(stars.select(F.col("node").alias("a"), F.col("node2").alias("b")))
+    grouped = values.select("node", "fp").join(first, "node", "left")
+    grouped = pin(grouped.select("node", "fp", F.coalesce("component", "node").alias("group")), "groups")
 
-def _close(a: str, b: str, distance: int) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+    # two close fingerprints of different groups share a block, and one is not of its largest group
+    keyed = grouped.select("fp", "group").withColumn("block", F.explode(blocks))
+    sizes = keyed.groupBy("block", "group").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("block").agg(F.max(F.struct("size", "group")).alias("main"), F.count("*").alias("groups"))
+    main = main.where("groups > 1").select("block", F.col("main.group").alias("main"))
+    rest = keyed.join(main, "block").where("group <> main")
+    rest = rest.select("block", F.col("fp").alias("fp2"), F.col("group").alias("group2"))
+    pairs = rest.join(keyed, "block").where((F.col("group2") != F.col("group")) & close)
+    second = connected(pairs.select(F.col("group2").alias("a"), F.col("group").alias("b")))
+    final = grouped.select("node", "group").join(second.withColumnRenamed("node", "group"), "group", "left")
+    return final.select("node", F.coalesce("component", "group").alias("group"))
 
 
 def linked(values: DataFrame, distance: int, blocks: int | None = None) -> DataFrame:
@@ -95,27 +135,75 @@ def linked(values: DataFrame, distance: int, blocks: int | None = None) -> DataF
 
     Fingerprints are in one group if a chain of steps of at most ``distance`` bits joins them; the
     group is the smallest fingerprint in it, as a signed number. Exact for every number of blocks.
+    Equal keys of two choices of blocks only add a comparison.
     """
     masks = block_masks(distance, blocks or block_count(values.count(), distance))
-    keyed = _blocked(values, masks)
-    heads = keyed.groupBy("block").agg(F.max(F.struct("n", "fp")).alias("head"), F.count("*").alias("size"))
-    heads = heads.where("size > 1").select("block", F.col("head.fp").alias("head"))
-    stars = keyed.join(heads, "block").where((F.col("fp") != F.col("head")) & _close("fp", "head", distance))
-    first = connected(stars.select(F.col("fp").alias("a"), F.col("head").alias("b")))
-    grouped = values.select("fp").join(first.withColumnRenamed("node", "fp"), "fp", "left")
-    grouped = pin(grouped.select("fp", F.coalesce("component", "fp").alias("group")), "groups")
+    keys = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)]
+    nodes = values.select(F.col("fp").alias("node"), "fp", "n")
+    return _linked(nodes, F.array(*keys), _close(distance)).withColumnRenamed("node", "fp")
 
-    # two close fingerprints of different groups share a block, and one is not of its largest group
-    keyed = _blocked(grouped, masks)
-    sizes = keyed.groupBy("block", "group").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("block").agg(F.max(F.struct("size", "group")).alias("main"), F.count("*").alias("groups"))
-    main = main.where("groups > 1").select("block", F.col("main.group").alias("main"))
-    rest = keyed.join(main, "block").where("group <> main")
-    rest = rest.select("block", F.col("fp").alias("fp1"), F.col("group").alias("group1"))
-    pairs = rest.join(keyed, "block").where((F.col("group1") != F.col("group")) & _close("fp1", "fp", distance))
-    second = connected(pairs.select(F.col("group1").alias("a"), F.col("group").alias("b")))
-    final = grouped.join(second.withColumnRenamed("node", "group"), "group", "left")
-    return final.select("fp", F.coalesce("component", "group").alias("group"))
+
+def share_apart(similarity: float) -> float:
+    """Expected share of differing bits of two shingle sets with that Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def sampled_masks(rows: int, similarity: float, recall: float, lanes: int, seed: int = 3) -> list[list[int]]:
+    """Masks of randomly chosen bits, one per lane in each choice.
+
+    A choice has as many bits as keep blocks small (16 at least), and there are so many choices that
+    a pair of that similarity shares one with probability ``recall``.
+    """
+    chosen = max(16, math.ceil(math.log2(max(rows, 1) + 1)) - 2)
+    count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share_apart(similarity)) ** chosen))
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(count):
+        bits = rng.permutation(BITS * lanes)[:chosen].tolist()
+        out.append([_signed(sum(1 << b % BITS for b in bits if b // BITS == lane)) for lane in range(lanes)])
+    return out
+
+
+def similar_groups(
+    docs: DataFrame, key: str, text: str, shingle: int = 5, similarity: float = 0.8, recall: float = 0.95, lanes: int = 2
+) -> DataFrame:
+    """``key`` and ``component`` of every row: texts of at least ``similarity`` are linked.
+
+    For links wider than a few bits no blocks are both sure and selective. Here the fingerprint has
+    64 bits per lane, a block is a random choice of bits, and a pair that shares one is linked if it
+    differs in no more bits than texts of ``similarity`` (Jaccard, of shingles) are expected to. A
+    pair just at ``similarity`` shares a block with probability ``recall``, a closer one more likely.
+    Otherwise as ``near_groups``.
+    """
+    rows = fingerprints(docs, key, text, shingle, lanes).select(F.col(key).alias("key"), F.col("fingerprint").alias("fp"))
+    rows = pin(rows, "fingerprints")
+    values = rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("key").alias("least"))
+    values = pin(values.withColumn("node", F.monotonically_increasing_id()), "values")
+    masks = sampled_masks(values.count(), similarity, recall, lanes)
+    parts = [[F.col("fp")[lane].bitwiseAND(F.lit(m)) for lane, m in enumerate(mask)] for mask in masks]
+    keys = F.array(*[F.xxhash64(F.lit(i), *part) for i, part in enumerate(parts)])
+    apart = sum(F.bit_count(F.col("fp")[lane].bitwiseXOR(F.col("fp2")[lane])) for lane in range(lanes))
+    close = apart <= round(BITS * lanes * share_apart(similarity))
+    groups = _linked(values.select("node", "fp", "n"), keys, close)
+    groups = pin(values.select("node", "fp", "least").join(groups, "node"), "groups")
+    names = groups.groupBy("group").agg(F.min("least").alias("component"))
+    named = groups.join(names, "group").select("fp", "component")
+    return rows.join(named, "fp").select(F.col("key").alias(key), "component")
+
+
+def keep_one(docs: DataFrame, text: str, order: str, **options) -> DataFrame:
+    """The rows of ``docs`` less all but one of each group of ``similar_groups``.
+
+    The row with the smallest ``order`` stays, NULL being the largest, on ties the first read; rows
+    have a number of their own for the while, so repeated or NULL ids do no harm.
+    """
+    row = free_name(docs, "_near_row")
+    rows = pin(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = similar_groups(rows, row, text, **options).withColumnRenamed(row, "row")
+    ordered = rows.select(F.col(row).alias("row"), F.col(order).alias("order")).join(groups, "row")
+    best = F.min(F.struct(F.col("order").isNull().alias("none"), "order", "row")).alias("best")
+    kept = ordered.groupBy("component").agg(best).select(F.col("best.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def near_groups(
