@@ -280,10 +280,23 @@ class Tagger:
                 inside, end = path[i] + 1, i + 1
                 while end < len(path) and path[end] == inside:
                     end += 1
-                spans[n].append((KINDS[path[i] // 2], a + i, a + end))
+                spans[n].append(trimmed(texts[n], KINDS[path[i] // 2], a + i, a + end))
         return spans
 
 
+def trimmed(text: str, kind: str, a: int, b: int) -> tuple[str, int, int]:
+    """The span without what its kind cannot begin or end with; it may be left empty."""
+    if kind == "email":
+        at = text.find("@", a, b)
+        a = max([a, *(m.end() + a for m in re.finditer(r"\s", text[a : max(a, at)]))])
+        b = min([b, *(m.start() + at for m in re.finditer(r"\s", text[at:b]))]) if at >= 0 else a
+    while a < b and not (text[a].isalnum() if kind == "email" else text[a] in "0123456789+("):
+        a += 1
+    while a < b and not (text[b - 1].isalnum() if kind == "email" else text[b - 1] in "0123456789"):
+        b -= 1
+    return kind, a, b
+
+
 def plausible(kind: str, found: str) -> bool:
     """Whether a tagged span can be what it is tagged as: the checks of its kind, not its pattern."""
     n = len(digits(found))
@@ -304,10 +317,6 @@ def scan(texts: list[str], model: Tagger | None) -> list[list[tuple[str, int, in
         base = [(*s, True) for s in base_spans(t)]
         taken = [(a, b) for _, a, b, _ in base]
         for kind, a, b in found:
-            while a < b and t[a].isspace():
-                a += 1
-            while a < b and (t[b - 1].isspace() or t[b - 1] in ".,;:"):
-                b -= 1
             if plausible(kind, t[a:b]) and not any(x < b and a < y for x, y in taken):
                 base.append((kind, a, b, False))
         out.append(in_order(base))

@@ -63,7 +63,7 @@ class Classifier:
     @classmethod
     def fit(
         cls, texts: list[str], labels: list[int], terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS,
-        most: int = 500, least: float = 4.0, twin_penalty: float = 5.0, penalty: float = 1.0, rounds: int = 400, seed: int = 11,
+        most: int = 500, least: float = 2.5, twin_penalty: float = 5.0, penalty: float = 1.0, rounds: int = 400, seed: int = 11,
     ) -> Classifier:
         """Least log loss plus ``twin_penalty`` times the squared score change of each swap.
 
