@@ -282,6 +282,45 @@ spent AS (SELECT *, 0.25 + sum(coalesce(mtok, 0)) OVER (PARTITION BY model ORDER
 SELECT idx, model, {_num_sql('spent_after')}, spent_after >= 10 AS stopped_early FROM spent WHERE spent_after - coalesce(mtok, 0) < 10"""
 
 
+_LINE_CALLS = """
+SELECT CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS run, l_orderkey AS o, CAST(l_linenumber AS BIGINT) AS n,
+  l_partkey AS part, l_suppkey AS supplier, l_extendedprice AS price,
+  CASE WHEN l_quantity > 2 THEN CAST(round(l_extendedprice * 100) AS DECIMAL(18,0)) / 100000000 END AS mtok
+FROM $lineitem"""
+
+
+def ledger_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as calls, half of them without a run: they are one run of their own."""
+    calls = derive(spark, sf_dir, _LINE_CALLS).withColumn("mtok", F.col("mtok").cast(cost.MTOK))
+    done = ledger.running_ledger(calls, "9", ["o", "n", "part", "supplier", "price"])
+    return done.select("run", "o", "n", "part", "supplier", "price", _num("spent_before"), _num("spent_after"), "exhausted")
+
+
+LEDGER_LINES = f"""
+WITH calls AS ({plain(_LINE_CALLS)}),
+spent AS (SELECT *, sum(coalesce(CAST(mtok AS DECIMAL(28,9)), 0)) OVER (PARTITION BY run ORDER BY o, n, part, supplier, price) AS spent_after FROM calls)
+SELECT run, o, n, part, supplier, price, {_num_sql('spent_after - coalesce(CAST(mtok AS DECIMAL(28,9)), 0)', 'spent_before')}, {_num_sql('spent_after')},
+  spent_after >= 9 AS exhausted FROM spent"""
+
+
+_ORDER_CALLS = """
+SELECT o_orderkey AS idx, CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus END AS run,
+  CAST(CAST(round(o_totalprice * 100) AS DECIMAL(18,0)) / 1000000000 AS DECIMAL(28,9)) AS mtok FROM $orders"""
+
+
+def budget_cut_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as calls, a third of them without a run, cut at a budget."""
+    return ledger.budget_cut(pin(derive(spark, sf_dir, _ORDER_CALLS), "records"), "5").select(
+        "idx", "run", _num("spent_after"), "stopped_early"
+    )
+
+
+BUDGET_CUT_ORDERS = f"""
+WITH calls AS ({plain(_ORDER_CALLS)}),
+spent AS (SELECT *, sum(coalesce(mtok, 0)) OVER (PARTITION BY run ORDER BY idx) AS spent_after FROM calls)
+SELECT idx, run, {_num_sql('spent_after')}, spent_after >= 5 AS stopped_early FROM spent WHERE spent_after - coalesce(mtok, 0) < 5"""
+
+
 def budget_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ledger.budget_status(_billed(spark, sf_dir), BUDGET)
     return out.select("run", _num("spent_mtok"), _num("budget_mtok"), _num("remaining_mtok"), "exhausted")
@@ -482,6 +521,8 @@ QUERIES = {
     "ledger_hot_runs": (ledger_hot_runs, LEDGER_HOT_RUNS),
     "first_exhausted": (first_exhausted, FIRST_EXHAUSTED),
     "budget_cut": (budget_cut, BUDGET_CUT),
+    "ledger_lines": (ledger_lines, LEDGER_LINES),
+    "budget_cut_orders": (budget_cut_orders, BUDGET_CUT_ORDERS),
     "budget_status": (budget_status, BUDGET_STATUS),
     "time_budget": (time_budget, TIME_BUDGET),
     "batch_triage": (batch_triage, BATCH_TRIAGE),

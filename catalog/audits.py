@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalog import inputs
 from catalog.base import derive, plain, table
+from gradeline import blocklists
 from gradeline.functions.events import format_event, parse_event
 from gradeline.functions.urls import blocked_group, group_text, is_chat_call, is_loopback, url_host
 from gradeline.operators import audit
@@ -31,6 +32,31 @@ def _group_sql(value) -> str:
 URL_BLOCKLIST = f"""
 SELECT page_id, CAST({_group_sql(lambda i, g: i)} AS INTEGER) AS blocked_by, {_group_sql(lambda i, g: "'" + ' '.join(g) + "'")} AS pattern FROM pages"""
 
+LISTS = {"relevance": blocklists.RELEVANCE, "extraction": blocklists.EXTRACTION, "detection": blocklists.DETECTION}
+
+
+def shipped_blocklists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pages each group of each shipped list blocks; a page's number picks a group to name."""
+    pages, counts = table(spark, sf_dir, "pages"), []
+    for name, groups in LISTS.items():
+        named = F.array(*[F.lit("/" + "/".join(g).upper()) for g in groups])
+        url = F.concat("url", F.element_at(named, (F.col("page_id") % len(groups) + 1).cast("int")))
+        found = pages.select(blocked_group(url, groups).alias("position"))
+        counts.append(found.groupBy("position").agg(F.count("*").alias("n")).select(F.lit(name).alias("list"), "position", "n"))
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+def _list_sql(name: str, groups: list[list[str]]) -> str:
+    values = ", ".join(f"({i}, '{'/' + '/'.join(g).lower()}')" for i, g in enumerate(groups))
+    parts = ", ".join(f"({i}, '{p.lower()}')" for i, g in enumerate(groups) for p in g)
+    return f"""SELECT '{name}' AS list, CAST(position AS INTEGER) AS position, count(*) AS n FROM (
+  SELECT (SELECT min(i) FROM (SELECT i, bool_and(contains(u.url, p)) AS hit FROM (VALUES {parts}) t(i, p) GROUP BY i) WHERE hit) AS position
+  FROM (SELECT lower(concat(url, named.text)) AS url FROM pages JOIN (VALUES {values}) named(i, text) ON page_id % {len(groups)} = named.i) u
+) GROUP BY position"""
+
+
+SHIPPED_BLOCKLISTS = " UNION ALL ".join(_list_sql(name, groups) for name, groups in LISTS.items())
+
 # Mobile hosts stand in for local addresses, blogs for local names.
 _LOCAL = r"""
 SELECT page_id, CASE WHEN contains(url, '//m.') THEN concat('http://127.0.0.', CAST(length(url) AS STRING), ':8080/x')
@@ -114,6 +140,7 @@ WHERE role = 'assistant' OR (role = 'user' AND turn = 0) GROUP BY conv_id"""
 
 QUERIES = {
     "url_blocklist": (url_blocklist, URL_BLOCKLIST),
+    "shipped_blocklists": (shipped_blocklists, SHIPPED_BLOCKLISTS),
     "loopback": (loopback, LOOPBACK),
     "url_hosts": (url_hosts, URL_HOSTS),
     "endpoint_match": (endpoint_match, ENDPOINT_MATCH),

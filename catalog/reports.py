@@ -8,7 +8,7 @@ from catalog import inputs, scores
 from catalog.base import derive, plain, table
 from gradeline import schemas
 from gradeline.functions.usage import with_usage
-from gradeline.operators import checks, cost, report
+from gradeline.operators import checks, cost, report, scoring
 from gradeline.plans import agent_run, labelling, training
 from gradeline.plans.tasks import score
 from gradeline.session import fresh_path
@@ -44,6 +44,42 @@ UNION ALL SELECT 'equal', NULL, NULL UNION ALL
 SELECT 'more', d || ' predictions for ' || l || ' rows', d || ' predictions for ' || l || ' rows' FROM n"""
 
 
+# Labels as rows to predict; one in seven has no prediction, and then one is given twice or belongs to no row.
+_GUARD_CASES = {
+    "fewer": "doc_id % 7 <> 0", "equal": "true", "twice": "true", "stray": "doc_id % 7 <> 0",
+}
+_GUARD_EXTRA = {"twice": "SELECT max(doc_id) AS idx FROM $labels", "stray": "SELECT max(doc_id) + 1 AS idx FROM $labels"}
+
+
+def _guard_preds(case: str) -> str:
+    extra = f" UNION ALL {_GUARD_EXTRA[case]}" if case in _GUARD_EXTRA else ""
+    return f"SELECT idx, 'E' AS pred FROM (SELECT doc_id AS idx FROM $labels WHERE {_GUARD_CASES[case]}{extra}) given"
+
+
+def alignment_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the guards say to predictions that lack rows, repeat one, or belong to none."""
+    gold = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("idx"))
+    reports = [
+        scoring.alignment_report(gold, derive(spark, sf_dir, _guard_preds(case))).select(F.lit(case).alias("case"), "*")
+        for case in _GUARD_CASES
+    ]
+    return reports[0].unionByName(reports[1]).unionByName(reports[2]).unionByName(reports[3])
+
+
+def _guard_sql(case: str) -> str:
+    return f"""SELECT '{case}' AS "case", n_gold, n_pred, n_stray, n_twice,
+  CASE WHEN n_pred > n_gold THEN {{text}} ELSE {{rest}} END AS lenient, CASE WHEN n_pred <> n_gold THEN {{text}} ELSE {{rest}} END AS strict
+FROM (SELECT (SELECT count(*) FROM labels) AS n_gold, CAST(count(*) AS BIGINT) AS n_pred,
+    CAST(count(*) FILTER (idx NOT IN (SELECT doc_id FROM labels)) AS BIGINT) AS n_stray,
+    CAST(count(*) - count(DISTINCT idx) AS BIGINT) AS n_twice FROM ({plain(_guard_preds(case))}) preds)""".format(
+        text="concat(n_pred, ' predictions for ', n_gold, ' rows')",
+        rest="CASE WHEN n_stray > 0 THEN 'predictions without a gold row' WHEN n_twice > 0 THEN 'rows predicted more than once' END",
+    )
+
+
+ALIGNMENT_GUARDS = " UNION ALL ".join(_guard_sql(case) for case in _GUARD_CASES)
+
+
 def expected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table that passed its row-count expectation; a wrong number raises."""
     docs = table(spark, sf_dir, "documents")
@@ -194,6 +230,7 @@ SELECT source AS student_dir, eval_loss, (SELECT count(*) FROM p) AS n_points FR
 
 QUERIES = {
     "count_guards": (count_guards, COUNT_GUARDS),
+    "alignment_guards": (alignment_guards, ALIGNMENT_GUARDS),
     "expected_rows": (expected_rows, EXPECTED_ROWS),
     "report_roundtrip": (report_roundtrip, REPORT_ROUNDTRIP),
     "normalised_gain": (normalised_gain, NORMALISED_GAIN),

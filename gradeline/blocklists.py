@@ -81,6 +81,7 @@ EXTRACTION = [
     ["github", "hwijune", "mave"],
     ["github", "kkamaleshkumar", "mave"],
     ["github", "kiminh", "mave"],
+    ["github", "kyriakosdz", "mave"],
     ["github", "qpc-worldwide", "mave"],
     ["github", "wanghaisheng", "mave"],
     ["github", "hunterjiang97", "mave"],

@@ -8,7 +8,6 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeline.functions.usage import COUNTER_RATES, COUNTERS
-from gradeline.session import broadcast_if_small
 
 # Weight of each counter in the budget unit.
 MTOK_WEIGHTS = {
@@ -55,7 +54,7 @@ def merge_prices(*tables: DataFrame) -> DataFrame:
     for table in tables[1:]:
         merged = merged.unionByName(table, allowMissingColumns=True)
     twice = merged.groupBy("model").agg(F.count("*").alias("n")).where("n > 1").select("model")
-    clash = [r["model"] for r in twice.orderBy("model").limit(20).collect()]
+    clash = sorted(r["model"] or "NULL" for r in twice.collect())
     if clash:
         raise ValueError(f"priced in more than one table: {clash}")
     return merged
@@ -72,7 +71,7 @@ def with_usd_cost(
     rates = prices.select(
         F.col("model").alias("_model"), *[F.col(f"`{r}`").alias(f"_{r}") for r in COUNTER_RATES.values()]
     )
-    joined = df.join(broadcast_if_small(rates), F.col(model) == F.col("_model"), "left")
+    joined = df.join(rates, F.col(model) == F.col("_model"), "left")
     error = F.when(F.col(usage).isNull(), F.lit(None).cast("string")).when(
         F.col("_model").isNull(), F.concat(F.lit("no rates for model "), F.coalesce(F.col(model), F.lit("NULL")))
     )

@@ -35,13 +35,15 @@ def fpr_tag(target: float) -> str:
 def score_rows(gold: DataFrame, preds: DataFrame) -> DataFrame:
     """Gold rows with a parsed score each; a missing or unusable prediction counts as chance.
 
-    Raises when there are predictions that belong to no gold row.
+    Raises when there are predictions that belong to no gold row, or several for one.
     """
     joined = align(gold, preds)
-    stray = F.when(F.col("_is_gold").isNull(), F.lit("predictions without a gold row"))
+    stray = F.when(F.col("_is_gold").isNull(), F.lit("predictions without a gold row")).when(
+        F.col("_times") > 1, F.lit("a row predicted more than once")
+    )
     parsed = joined.withColumn("_number", reply_number(F.col("pred")))
     return parsed.withColumn("score", require(stray, confidence(F.col("_number")))).drop(
-        "pred", "_number", "_is_gold", "_is_pred"
+        "pred", "_number", "_is_gold", "_times"
     )
 
 

@@ -26,24 +26,22 @@ def running_ledger(
     """Balance of the run before and after every call, what remains, and whether it is used up.
 
     ``order_by`` must be unique within a run. An unbilled call has a NULL cost and changes nothing.
-    Rows are written before they are ordered: leave the bodies behind. ``opening`` (run, opening) carries balances over from earlier calls, one row per run.
+    Calls without a run are a run. Rows are written before they are ordered: leave the bodies behind.
+    ``opening`` (run, opening) carries balances over from earlier calls, one row per run.
     """
     paid = calls.withColumn("_paid", F.coalesce(F.col(cost).cast(MTOK), _money(0)))
-    summed = prefix_sums(paid, {"spent_before": "_paid"}, order_by, within=[run], as_type=MTOK)
-    before = F.col("spent_before")
     if opening is not None:
-        summed = summed.join(opening, run, "left")
-        before = before + F.coalesce(F.col("opening"), _money(0))
-    before = before.cast(MTOK)
+        opening = opening.select(run, F.col("opening").alias("spent_before"))
+    summed = prefix_sums(paid, {"spent_before": "_paid"}, order_by, within=[run], as_type=MTOK, opening=opening)
+    before = F.col("spent_before")
     after = (before + F.col("_paid")).cast(MTOK)
     return summed.withColumns(
         {
-            "spent_before": before,
             "spent_after": after,
             "remaining": (_money(budget) - after).cast(MTOK),
             "exhausted": after >= _money(budget),
         }
-    ).drop("_paid", "opening")
+    ).drop("_paid")
 
 
 def first_exhausted(ledger: DataFrame, budget: float | str | Decimal, run: str = "run") -> DataFrame:

@@ -1,8 +1,9 @@
 """Running sums and ranks over a total order, without one task per group.
 
 A window ordered over a whole group runs in a single task, which a group that holds a third of a
-large table does not survive. Where a group is that large, rows are cut into consecutive blocks,
-each block is summed, the (few) block sums are accumulated, and a window runs inside each block.
+large table does not survive. Rows are cut into consecutive blocks of a bounded size, each block is
+summed, the (few) block sums are accumulated, and a window runs inside each block. There is no other
+path: small tables are one block.
 """
 
 from __future__ import annotations
@@ -14,9 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gradeline.session import pin
 
 BLOCK = "_block"
-_IDX_BITS = 16
-# Rows of one group that a single task may sort.
-GROUP_LIMIT = 4_000_000
+#: Rows that one task sorts; the number of blocks follows from the number of rows.
+BLOCK_ROWS = 1 << 20
 
 
 def prefix_sums(
@@ -25,30 +25,21 @@ def prefix_sums(
     order_by: Sequence[str],
     within: Sequence[str] = (),
     as_type: str = "bigint",
+    opening: DataFrame | None = None,
 ) -> DataFrame:
     """Add one exclusive running sum of ``as_type`` per entry of ``sums`` (new name -> summed column).
 
-    ``order_by`` must order the rows of a group totally; group keys must not be NULL. Rows are
-    written first, so select what is needed: costly columns are then worked out once, and the
-    largest group is known before a plan is chosen. Small groups get a plain window. Otherwise the
-    blocks are Spark's own range partitions over (within, order_by), so hot groups and hot values
-    are split by their actual distribution; they are pinned, because two evaluations would sample
-    different bounds.
+    ``order_by`` must order the rows of a group totally; NULL group keys are a group. ``opening``
+    (the group keys and a column per new name, a row per group) is what each sum starts from. Rows
+    are written first, so select what is needed: costly columns are then worked out once, and the
+    file footers tell how many blocks there are to be. The blocks are Spark's own range partitions
+    over (within, order_by), so hot groups and hot values are split by their actual distribution;
+    they are pinned, because two evaluations would sample different bounds.
     """
     rows = pin(df, "rows")
-    if _largest_group(rows, within) <= GROUP_LIMIT:
-        before = Window.partitionBy(*within).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
-        parts = _as_columns(sums)
-        return rows.withColumns({n: _zero_if_none(F.sum(c).over(before), as_type) for n, c in parts.items()})
-    ranged = rows.repartitionByRange(*within, *order_by).withColumn(BLOCK, F.spark_partition_id())
-    return sums_over_blocks(pin(ranged, "ranged"), sums, order_by, within, as_type).drop(BLOCK)
-
-
-def _largest_group(rows: DataFrame, within: Sequence[str]) -> int:
-    total = rows.count()  # from the file footers
-    if total <= GROUP_LIMIT or not within:
-        return total
-    return rows.groupBy(*within).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
+    ranged = rows.repartitionByRange(blocks, *within, *order_by).withColumn(BLOCK, F.spark_partition_id())
+    return sums_over_blocks(pin(ranged, "ranged"), sums, order_by, within, as_type, opening=opening).drop(BLOCK)
 
 
 def _as_columns(sums: Mapping[str, Column | str]) -> dict[str, Column]:
@@ -62,30 +53,42 @@ def sums_over_blocks(
     within: Sequence[str] = (),
     as_type: str = "bigint",
     keep: Column | None = None,
+    opening: DataFrame | None = None,
 ) -> DataFrame:
-    """The same for rows that already carry a block number growing with ``order_by``.
+    """The same for rows that already carry a block number, from 0, growing with ``order_by``.
 
-    Rows shuffle once, by (within, block), which serves the join and the window alike. ``keep`` is
-    a condition on the blocks' ``_base_<name>``; rows of other blocks are left out.
+    Rows shuffle once, by (within, block), which serves the join and the window alike; the group keys
+    meet as a struct, in which NULLs are equal. ``keep`` is a condition on the blocks'
+    ``_base_<name>``; rows of other blocks are left out.
     """
-    keys = [*within, BLOCK]
     parts = _as_columns(sums)
-    bases = block_bases(df, parts, within, as_type)
+    bases = block_bases(df, parts, within, as_type, opening)
     if keep is not None:
         bases = bases.where(keep)
+    keys = ["_group", BLOCK]
+    grouped = df.withColumn("_group", _group(within))
     inside = Window.partitionBy(*keys).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
     running = {
         name: (F.col(f"_base_{name}") + _zero_if_none(F.sum(c).over(inside), as_type)).cast(as_type)
         for name, c in parts.items()
     }
-    return df.join(bases, keys).withColumns(running).drop(*[f"_base_{name}" for name in parts])
+    bases = bases.select(_group(within).alias("_group"), BLOCK, *[f"_base_{name}" for name in parts])
+    return grouped.join(bases, keys).withColumns(running).drop("_group", *[f"_base_{name}" for name in parts])
+
+
+def _group(within: Sequence[str]) -> Column:
+    return F.struct(*within) if within else F.lit(0)
 
 
 def block_bases(
-    df: DataFrame, parts: Mapping[str, Column], within: Sequence[str] = (), as_type: str = "bigint"
+    df: DataFrame, parts: Mapping[str, Column], within: Sequence[str] = (), as_type: str = "bigint",
+    opening: DataFrame | None = None,
 ) -> DataFrame:
-    """Per (within, block): the sum over all earlier blocks of the group, as ``_base_<name>``."""
+    """Per (within, block): ``opening`` plus the sum over all earlier blocks of the group, as ``_base_<name>``."""
     totals = df.groupBy(*within, BLOCK).agg(*[F.sum(c).cast(as_type).alias(name) for name, c in parts.items()])
+    if opening is not None:
+        first = [F.col(name).cast(as_type).alias(name) for name in parts]
+        totals = opening.select(*within, F.lit(-1).cast(dict(df.dtypes)[BLOCK]).alias(BLOCK), *first).unionByName(totals)
     before = Window.partitionBy(*within).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(
         *within, BLOCK, *[_zero_if_none(F.sum(n).over(before), as_type).alias(f"_base_{n}") for n in parts]
@@ -97,5 +100,5 @@ def _zero_if_none(total: Column, as_type: str) -> Column:
 
 
 def idx_block(idx: Column) -> Column:
-    """Block number of a dense row index, 65,536 rows each: no scan is needed to find the cuts."""
-    return F.shiftright(idx, _IDX_BITS)
+    """Block number of a dense row index, BLOCK_ROWS rows each: no scan is needed to find the cuts."""
+    return F.floor(idx / BLOCK_ROWS).cast("bigint")

@@ -19,18 +19,21 @@ def ratio(part: Column, whole: Column) -> Column:
 def align(gold: DataFrame, preds: DataFrame, pred: str = "pred") -> DataFrame:
     """Gold rows with their predictions, and predictions without a gold row (for the count guard).
 
-    Adds ``_is_gold`` and ``_is_pred``. An equi-join on the unique index.
+    Adds ``_is_gold`` and ``_times``, how often the index was predicted. Predictions are grouped by
+    index first, on the key the join needs anyway, so a repeated one adds no row. Of several the
+    smallest is taken; the guard reports them.
     """
     left = gold.withColumn("_is_gold", F.lit(True))
-    right = preds.select("idx", pred).withColumn("_is_pred", F.lit(True))
+    right = preds.groupBy("idx").agg(F.min(pred).alias(pred), F.count("*").alias("_times"))
     return left.join(right, "idx", "full_outer")
 
 
 def _side_counts() -> list[Column]:
     return [
         F.count("_is_gold").alias("_n_gold"),
-        F.count("_is_pred").alias("_n_pred"),
+        F.coalesce(F.sum("_times"), F.lit(0)).alias("_n_pred"),
         F.count_if(F.col("_is_gold").isNull()).alias("_n_stray"),
+        F.count_if(F.col("_times") > 1).alias("_n_twice"),
     ]
 
 
@@ -38,6 +41,17 @@ def _alignment_problem(strict: bool) -> Column:
     return F.coalesce(
         count_guard(F.col("_n_gold"), F.col("_n_pred"), strict),
         F.when(F.col("_n_stray") > 0, F.lit("predictions without a gold row")),
+        F.when(F.col("_n_twice") > 0, F.lit("rows predicted more than once")),
+    )
+
+
+def alignment_report(gold: DataFrame, preds: DataFrame) -> DataFrame:
+    """One row: n_gold, n_pred, n_stray, n_twice, and the problem under either rule, if any."""
+    counts = align(gold.select("idx"), preds).agg(*_side_counts())
+    return counts.select(
+        *[F.col(f"_{n}").alias(n) for n in ("n_gold", "n_pred", "n_stray", "n_twice")],
+        _alignment_problem(strict=False).alias("lenient"),
+        _alignment_problem(strict=True).alias("strict"),
     )
 
 
@@ -59,7 +73,7 @@ def score_extraction(gold: DataFrame, preds: DataFrame) -> DataFrame:
     ``gold``: idx, evidences (array of struct with value); ``preds``: idx, pred (one per gold row).
     """
     measured = extraction_outcomes(align(gold.select("idx", "evidences"), preds)).withColumn(
-        "_outcome", F.when(F.col("_is_gold") & F.col("_is_pred"), F.col("outcome"))
+        "_outcome", F.when(F.col("_is_gold") & F.col("_times").isNotNull(), F.col("outcome"))
     )
     counts = measured.agg(
         *[F.count_if(F.col("_outcome") == m).alias(m) for m in OUTCOMES], *_side_counts()
@@ -85,7 +99,7 @@ def relevance_predictions(gold: DataFrame, preds: DataFrame, seed: int = 0) -> D
     fallback = replies.fallback_letter(F.col("example_id"), seed)
     used = F.when(F.col("_letter") == "", fallback).otherwise(F.col("_letter"))
     return parsed.withColumn("predicted", replies.relevance_label(used)).select(
-        "idx", "example_id", "label", "predicted", "_is_gold", "_is_pred"
+        "idx", "example_id", "label", "predicted", "_is_gold", "_times"
     )
 
 
@@ -94,7 +108,7 @@ def confusion(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("label", "predicted").agg(F.count("*").alias("n"))
 
 
-_SIDES = ("_n_gold", "_n_pred", "_n_stray")
+_SIDES = ("_n_gold", "_n_pred", "_n_stray", "_n_twice")
 
 
 def f1_scores(confusion_counts: DataFrame) -> DataFrame:

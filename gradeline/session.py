@@ -8,7 +8,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import broadcast
 
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -77,15 +76,6 @@ def pin(df: DataFrame, name: str = "pin") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Hint a lookup table for broadcast after counting that it has at most ``rows`` rows.
-
-    A larger one is returned as it is; the join then shuffles, and adaptive execution splits what
-    is skewed. Meant for tables that cost little to read, such as prices or routes.
-    """
-    return broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def fix_splits(spark: SparkSession) -> None:
     """Make file scans cut their input alike from now on, however many executors are alive.
 

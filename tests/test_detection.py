@@ -7,10 +7,10 @@ from gradeline.operators import detection as det, prefix
 SCHEMA = "idx BIGINT, id STRING, model STRING, domain STRING, attack STRING, decoding STRING, repetition_penalty STRING"
 
 
-@pytest.fixture(params=["plain", "blocks"], autouse=True)
+@pytest.fixture(params=["one block", "many blocks"], autouse=True)
 def path(request, monkeypatch):
-    if request.param == "blocks":
-        monkeypatch.setattr(prefix, "GROUP_LIMIT", 3)
+    if request.param == "many blocks":
+        monkeypatch.setattr(prefix, "BLOCK_ROWS", 3)
 
 
 def rows_of(spark, rows, partitions=4):

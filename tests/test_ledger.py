@@ -13,6 +13,7 @@ def skewed(seed, n=600):
     rows = []
     for seq in range(n):
         run = "hot" if rng.random() < 0.4 else f"r{rng.randint(0, 9)}"
+        run = None if run in ("r0", "r1") else run
         time = 50.0 if rng.random() < 0.35 else rng.random() * 100
         rows.append((run, time, seq, rng.randint(0, 5)))
     return rows
@@ -20,17 +21,17 @@ def skewed(seed, n=600):
 
 def brute(rows):
     spent, out = {}, {}
-    for run, time, seq, cost in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+    for run, time, seq, cost in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
         out[seq] = spent.get(run, 0)
         spent[run] = out[seq] + cost
     return out
 
 
-@pytest.fixture(params=["plain", "blocks"], autouse=True)
+@pytest.fixture(params=["one block", "many blocks"], autouse=True)
 def path(request, monkeypatch):
-    """Every test runs over small groups and, with a low limit, over blocks."""
-    if request.param == "blocks":
-        monkeypatch.setattr(prefix, "GROUP_LIMIT", 5)
+    """Every test runs over one block and, with small ones, over many."""
+    if request.param == "many blocks":
+        monkeypatch.setattr(prefix, "BLOCK_ROWS", 5)
 
 
 @pytest.mark.parametrize("seed,partitions", [(1, 1), (1, 7), (2, 3)])
@@ -42,17 +43,23 @@ def test_prefix_sums_any_partitioning(spark, seed, partitions):
     assert got.columns == ["run", "time", "seq", "cost", "before"] or set(got.columns) == {"run", "time", "seq", "cost", "before"}
 
 
-def test_prefix_sums_split_a_hot_group(spark):
+def test_prefix_sums_split_a_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(prefix, "BLOCK_ROWS", 500)
+    seen = []
+    whole = prefix.sums_over_blocks
+    monkeypatch.setattr(prefix, "sums_over_blocks", lambda df, *a, **k: seen.append(df) or whole(df, *a, **k))
     df = spark.range(4000).select(F.lit("one").alias("run"), "id")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        ranged = df.repartitionByRange("run", "id").withColumn(prefix.BLOCK, F.spark_partition_id())
-        sizes = [r["count"] for r in ranged.groupBy(prefix.BLOCK).count().collect()]
-        assert len(sizes) == 8 and max(sizes) < 1000
-        got = prefix.prefix_sums(df, {"rank": F.lit(1)}, ["id"], within=["run"])
-        assert got.where("rank <> id").count() == 0
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = prefix.prefix_sums(df, {"rank": F.lit(1)}, ["id"], within=["run"])
+    assert got.where("rank <> id").count() == 0
+    sizes = [r["count"] for r in seen[0].groupBy(prefix.BLOCK).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1000
+
+
+def test_opening_balances_of_every_run(spark):
+    calls = spark.createDataFrame([(None, 1, Decimal(1)), (None, 2, Decimal(2)), ("a", 3, Decimal(1)), ("b", 4, Decimal(1))], "run STRING, seq BIGINT, mtok DECIMAL(28,9)")
+    opening = spark.createDataFrame([(None, Decimal(5)), ("a", Decimal(7)), ("gone", Decimal(9))], "run STRING, opening DECIMAL(28,9)")
+    got = {r.seq: int(r.spent_after) for r in ledger.running_ledger(calls, 100, ["seq"], opening=opening).collect()}
+    assert got == {1: 6, 2: 8, 3: 8, 4: 1}
 
 
 def test_prefix_sums_without_groups(spark):
@@ -99,7 +106,7 @@ def test_budget_cut_without_budget_and_with_initial(spark):
 
 
 def test_budget_cut_over_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(prefix, "_IDX_BITS", 2)
+    monkeypatch.setattr(prefix, "BLOCK_ROWS", 4)
     rng = random.Random(4)
     rows = [(f"r{rng.randint(0, 1)}", i, rng.randint(0, 3)) for i in range(200)]
     df = spark.createDataFrame([(r, i, Decimal(c)) for r, i, c in rows], "run STRING, idx BIGINT, mtok DECIMAL(28,9)")
@@ -119,7 +126,7 @@ def test_first_exhausted_is_once_per_run(spark):
     totals = {}
     for run, _, _, cost in rows:
         totals[run] = totals.get(run, 0) + cost
-    assert sorted(r.run for r in hits) == sorted(r for r, t in totals.items() if t >= 20)
+    assert sorted(str(r.run) for r in hits) == sorted(str(r) for r, t in totals.items() if t >= 20)
 
 
 def test_statuses(spark):

@@ -24,7 +24,7 @@ def write(path, calls):
 
 @pytest.mark.parametrize("limit", [10, 10**6])
 def test_ledger_over_three_runs_equals_batch(spark, tmp_path, monkeypatch, limit):
-    monkeypatch.setattr(prefix, "GROUP_LIMIT", limit)
+    monkeypatch.setattr(prefix, "BLOCK_ROWS", limit)
     rng = random.Random(1)
     calls = [call(rng, i) for i in range(120)]
     log = tmp_path / "log"
