@@ -409,12 +409,12 @@ def batch_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kept results as predictions; a response without content stands as its whole JSON."""
     kept = _judged(spark, sf_dir).where("verdict = 'keep'")
     records = batch.build_records(
-        kept.select("idx", F.col("response.body").alias("response"), F.to_json("response.body").alias("raw"))
+        kept.select("idx", F.col("response.body").alias("response"), "raw")
     )
-    return records.select("idx", F.when(F.startswith("pred", F.lit("{")), "whole").otherwise(F.col("pred")).alias("pred"))
+    return records.select("idx", F.md5("pred").alias("pred_md5"))
 
 
-BATCH_PREDICTIONS = f"{_JUDGED_CTE} SELECT idx, coalesce(content, 'whole') AS pred FROM judged WHERE verdict = 'keep'"
+BATCH_PREDICTIONS = f"{_JUDGED_CTE} SELECT idx, md5(coalesce(content, json_extract(response, '$.body')::VARCHAR)) AS pred_md5 FROM judged WHERE verdict = 'keep'"
 
 
 def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -445,7 +445,7 @@ RAW_EVERY = "SELECT event_id AS idx, event_type AS model FROM events WHERE event
 
 def calls_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw call records through their file form: predictions and records written, records read back."""
-    calls = derive(spark, sf_dir, inputs.CALLS).where(F.startswith("body", F.lit("{")))
+    calls = derive(spark, sf_dir, inputs.CALLS)
     records = calls.select(
         "idx",
         F.struct(
@@ -468,8 +468,8 @@ def calls_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CALLS_SCAN = f"""{_CALLS_CTE}
-SELECT idx, model, run AS user, round(walltime_min, 9) AS walltime_min, p AS prompt_tokens,
-  CASE WHEN o IS NOT NULL THEN i END AS input_tokens FROM used WHERE body LIKE '{{%'"""
+SELECT idx, model, run AS user, round(walltime_min, 9) AS walltime_min, CASE WHEN body LIKE '{{%' THEN p END AS prompt_tokens,
+  CASE WHEN body LIKE '{{%' AND o IS NOT NULL THEN i END AS input_tokens FROM used"""
 
 
 def predictions_file(spark: SparkSession, sf_dir: str) -> DataFrame:

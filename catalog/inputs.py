@@ -11,13 +11,15 @@ SELECT o_orderkey AS idx, CAST(o_orderkey AS STRING) AS example_id,
     WHEN '3-MEDIUM' THEN 'Complement' ELSE 'Irrelevant' END AS label
 FROM $orders"""
 
-RELEVANCE_PREDS = """
+RELEVANCE_REPLIES = """
 SELECT o_orderkey AS idx,
   CASE WHEN o_totalprice > 400000 THEN 'Exact match'
     WHEN o_totalprice > 250000 THEN concat(' ', CASE o_orderpriority WHEN '1-URGENT' THEN 'e'
       WHEN '2-HIGH' THEN 's' WHEN '3-MEDIUM' THEN 'C' ELSE 'I' END, chr(10))
     WHEN o_orderstatus = 'F' THEN 'E' WHEN o_orderstatus = 'O' THEN 's' ELSE ' C ' END AS pred
-FROM $orders WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00'"""
+FROM $orders"""
+
+RELEVANCE_PREDS = f"{RELEVANCE_REPLIES} WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00'"
 
 # Parts as products: gold values are words of the name, some parts state none.
 EXTRACTION = """
@@ -40,14 +42,16 @@ SELECT d.doc_id AS idx, concat('d', CAST(d.doc_id AS STRING)) AS id,
   CASE WHEN d.n_chars > 1500 THEN 'yes' ELSE 'no' END AS repetition_penalty, d.source AS source_id
 FROM $documents d LEFT JOIN $labels l ON d.doc_id = l.doc_id"""
 
-DETECTION_PREDS = """
+DETECTION_REPLIES = """
 SELECT doc_id AS idx,
   CASE WHEN n_chars < 200 THEN 'Machine: 0.9'
     WHEN n_chars < 600 THEN concat('  .', lpad(CAST(n_chars AS STRING), 4, '0'), chr(10))
     WHEN n_chars < 700 THEN '1e-1' WHEN n_chars < 800 THEN 'nan' WHEN n_chars < 900 THEN '0_0.2_5'
     WHEN n_chars < 950 THEN '0.9f' WHEN n_chars < 1000 THEN '1.0001' WHEN n_chars < 1050 THEN '-0'
     ELSE concat('0.', lpad(CAST(n_chars % 1000 AS STRING), 3, '0')) END AS pred
-FROM $documents WHERE n_chars <= 8000"""
+FROM $documents"""
+
+DETECTION_PREDS = f"{DETECTION_REPLIES} WHERE n_chars <= 8000"
 
 # Events as model calls: one run per user, one model per event type. The body forms cover plain
 # JSON, chunks, missing parts, chunks that lose the usage, empty bodies and failed calls.
@@ -80,7 +84,7 @@ SELECT event_id AS idx,
   CASE event_type
     WHEN 'click' THEN concat('{{"status_code": 200, "body": {{"choices": [{{"message": {{"role": "assistant", "content": "c', CAST(k AS STRING), ' "}}, "finish_reason": "stop"}}]}}}}')
     WHEN 'view' THEN concat('{{"status_code": 200, "body": {{"choices": [{{"message": {{"role": "assistant", "content": "v"}}, "finish_reason": "', CASE WHEN k < 30 THEN 'length' ELSE 'stop' END, '"}}]}}}}')
-    WHEN 'signup' THEN concat('{{"status_code": 403, "body": {{"error": {{"message": "no", "metadata": {{"', CASE WHEN k < 50 THEN 'flagged_input' ELSE 'provider_name' END, '": "x"}}}}}}}}')
+    WHEN 'signup' THEN concat('{{"status_code": 403, "request_id": "q", "body": {{"id": "r', CAST(event_id AS STRING), '", "provider": "p1", "error": {{"code": 403, "message": "no", "metadata": {{"', CASE WHEN k < 50 THEN 'flagged_input' ELSE 'provider_name' END, '": "x"}}}}}}}}')
     WHEN 'purchase' THEN CASE WHEN k < 50 THEN '{{"status_code": 200, "body": {{"choices": [{{"message": {{"role": "assistant", "content": null}}, "finish_reason": "content_filter"}}]}}}}'
       ELSE '{{"status_code": 200, "body": {{"choices": []}}}}' END
     ELSE '{{"status_code": 500, "body": {{"error": {{"message": "overloaded"}}}}}}' END AS response

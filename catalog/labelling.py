@@ -68,14 +68,14 @@ SELECT doc_id AS idx, 'maker/m-1' AS model, 1024 AS max_tokens, '{SYSTEM}' AS sy
 
 def reply_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies of logged responses; one without content stands as its whole text."""
-    calls = derive(spark, sf_dir, inputs.CALLS).where(F.startswith("body", F.lit("{")))
+    calls = derive(spark, sf_dir, inputs.CALLS)
     text = prediction_text(F.from_json("body", schemas.RESPONSE), F.col("body"))
     return calls.select("idx", F.md5(text).alias("pred_md5"))
 
 
 REPLY_CONTENT = f"""
-SELECT idx, md5(coalesce(json_extract_string(body, '$.choices[0].message.content'), body)) AS pred_md5
-FROM ({plain(inputs.CALLS)}) WHERE body LIKE '{{%'"""
+SELECT idx, md5(CASE WHEN body LIKE '{{%' THEN coalesce(json_extract_string(body, '$.choices[0].message.content'), body) ELSE body END) AS pred_md5
+FROM ({plain(inputs.CALLS)})"""
 
 
 def line_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +152,7 @@ def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of a supplied tokenizer."""
 
     def load():
-        return lambda text: len(text.split())
+        return lambda texts: [len(text.split()) for text in texts]
 
     count = teacher.token_counter(load)
     return _docs(spark, sf_dir).select("doc_id", count(F.col("text")).alias("n_tokens"))

@@ -102,7 +102,7 @@ def _relevance(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def relevance_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    preds = derive(spark, sf_dir, inputs.RELEVANCE_PREDS)
+    preds = derive(spark, sf_dir, inputs.RELEVANCE_REPLIES)
     return preds.select("idx", relevance_letter(F.col("pred")).alias("letter"))
 
 
@@ -120,7 +120,7 @@ def relevance_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LETTER = f"upper({strip_sql('pred')})"
 _USABLE = f"{_LETTER} IN ('E','S','C','I')"
 RELEVANCE_REPLIES = f"""
-WITH preds AS ({plain(inputs.RELEVANCE_PREDS)})
+WITH preds AS ({plain(inputs.RELEVANCE_REPLIES)})
 SELECT idx, CASE WHEN {_USABLE} THEN {_LETTER} ELSE '' END AS letter FROM preds"""
 
 _PAIRS_CTE = f"""
@@ -173,7 +173,7 @@ def _histogram(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def detection_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    preds = derive(spark, sf_dir, inputs.DETECTION_PREDS)
+    preds = derive(spark, sf_dir, inputs.DETECTION_REPLIES)
     return preds.select("idx", detection_score(F.col("pred")).alias("score"))
 
 
@@ -231,7 +231,7 @@ _FLOAT = f"(?i)[+-]?(?:{_DIGITS}(?:[.](?:{_DIGITS})?)?|[.]{_DIGITS})(?:e[+-]?{_D
 _PARSED = f"CASE WHEN regexp_full_match({_BARE}, '{_FLOAT}') THEN TRY_CAST(replace({_BARE}, '_', '') AS DOUBLE) END"
 _SCORE = f"CASE WHEN {_PARSED} BETWEEN 0 AND 1 THEN abs({_PARSED}) ELSE 0.5 END"
 
-DETECTION_REPLIES = f"WITH preds AS ({plain(inputs.DETECTION_PREDS)}) SELECT idx, {_SCORE} AS score FROM preds"
+DETECTION_REPLIES = f"WITH preds AS ({plain(inputs.DETECTION_REPLIES)}) SELECT idx, {_SCORE} AS score FROM preds"
 
 _SCORED_CTE = f"""
 WITH gold AS ({plain(inputs.DETECTION_GOLD)}), preds AS ({plain(inputs.DETECTION_PREDS)}),

@@ -83,7 +83,7 @@ def documents_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gradeline.functions.replies import detection_score
 
     root = fresh_path(spark, "replies")
-    derive(spark, sf_dir, inputs.DETECTION_PREDS).write.json(f"{root}/in")
+    derive(spark, sf_dir, inputs.DETECTION_REPLIES).write.json(f"{root}/in")
     for _ in range(2):
         replies = spark.readStream.schema("idx BIGINT, pred STRING").json(f"{root}/in")
         append_output(replies.select("idx", detection_score(F.col("pred")).alias("score")), f"{root}/out", f"{root}/checkpoint")

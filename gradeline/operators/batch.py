@@ -10,10 +10,10 @@ from gradeline.functions.usage import with_usage
 
 
 def triage(response: Column) -> Column:
-    """'keep' or why a result has to be sent again.
+    """The verdict on a result: 'keep', or the reason for asking once more.
 
-    Kept: an answer, a refusal with no content, and a moderation 403. Sent again: a missing result,
-    any other error, and an answer cut off at its length limit.
+    A reply stands if it came through with status 200 and was not cut at the token limit, with or
+    without content. So does a 403 of the moderation, which would only come back.
     """
     status, body = response["status_code"], response["body"]
     flagged = F.map_contains_key(F.coalesce(body["error"]["metadata"], F.create_map().cast("map<string,string>")), F.lit("flagged_input"))
@@ -28,8 +28,8 @@ def triage(response: Column) -> Column:
 
 
 def join_results(requests: DataFrame, results: DataFrame) -> DataFrame:
-    """Requests with their result, if any, and its verdict. Both keyed by ``idx``."""
-    return requests.join(results.select("idx", "response"), "idx", "left").withColumn(
+    """Requests with their result and its whole body, if any, and its verdict. Both keyed by ``idx``."""
+    return requests.join(results.select("idx", "response", "raw"), "idx", "left").withColumn(
         "verdict", triage(F.col("response"))
     )
 

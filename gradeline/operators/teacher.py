@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from gradeline.functions.requests import first_turn, prompt_completion, reply_content
 from gradeline.functions.text import count_words
 
+#: Rows of one model call.
 LOCAL_CHUNK = 50_000
 
 
@@ -55,14 +59,18 @@ def training_rows(rows: DataFrame) -> DataFrame:
     ).select(*kept, "row.*")
 
 
-def token_counter(load: Callable[[], Callable[[str], int]]) -> Callable[[Column], Column]:
-    """Count tokens with any tokenizer; ``load`` runs once per task and returns text -> count."""
+def token_counter(load: Callable[[], Callable[[list[str]], list[int]]]) -> Callable[[Column], Column]:
+    """Count tokens with any tokenizer; ``load`` runs once per task and returns texts -> their counts.
+
+    The function gets a whole Arrow batch, as tokenizers want it; a NULL text stays NULL.
+    """
 
     @F.pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokens = load()
         for batch in batches:
-            yield batch.map(tokens, na_action="ignore")
+            asked = batch.dropna()
+            yield pd.Series(tokens(asked.tolist()), index=asked.index, dtype="object").reindex(batch.index)
 
     return count
 
@@ -97,23 +105,39 @@ def window_fit(
 def label_rows(
     df: DataFrame, prompt: str, make_predict: Callable[[], Callable], chunk: int = LOCAL_CHUNK
 ) -> DataFrame:
-    """Add ``pred``: a supplied model's reply to each prompt, at most ``chunk`` rows per model call.
+    """Add ``pred``: a supplied model's reply to each prompt, ``chunk`` rows per model call.
 
     ``make_predict`` runs once per task and returns array of prompts -> sequence of replies; one
-    that caches its model in an importable module loads it once per worker. Arrow batches bound the
-    memory. A NULL prompt gets NULL without a call. Rows keep their columns, so the order is whatever ``idx`` says.
+    that caches its model in an importable module loads it once per worker. A task gathers Arrow
+    batches until it has ``chunk`` rows; its last call has what is left. A NULL prompt gets NULL
+    without a call. Rows keep their columns, so the order is whatever ``idx`` says. Each evaluation
+    asks the model again: write the result before using it twice.
     """
-
-    @F.pandas_udf("string")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = make_predict()
+    rows = df.drop("pred")
+    place = rows.columns.index(prompt)
+
+    def answered(model: Callable, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        prompts = table.column(place).to_pylist()
+        asked = [i for i, p in enumerate(prompts) if p is not None]
+        replies = [None] * len(prompts)
+        if asked:
+            for i, reply in zip(asked, model(np.array([prompts[i] for i in asked], dtype=object))):
+                replies[i] = reply
+        yield from table.append_column("pred", pa.array(replies, pa.string())).combine_chunks().to_batches()
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, held = None, None
         for batch in batches:
-            asked, replies = batch.dropna(), []
-            for start in range(0, len(asked), chunk):
-                replies.extend(model(asked.iloc[start : start + chunk].to_numpy()))
-            yield pd.Series(replies, index=asked.index, dtype="object").reindex(batch.index)
-
-    return df.withColumn("pred", predict(F.col(prompt)))
+            model = model or make_predict()
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new])
+            while held.num_rows >= chunk:
+                yield from answered(model, held.slice(0, chunk))
+                held = held.slice(chunk)
+        if held is not None and held.num_rows:
+            yield from answered(model, held)
+
+    return rows.mapInArrow(predict, StructType([*rows.schema.fields, StructField("pred", StringType())]))
 
 
 def local_response(text: Column, error: Column, n_prompt: Column, n_reply: Column) -> Column:

@@ -54,7 +54,7 @@ def collect_batch(
     judged = join_results(asked, results)
     kept = judged.where("verdict = 'keep'").select(
         "idx", F.lit(model).alias("model"), F.col("response.body").alias("response"),
-        F.to_json("response.body").alias("raw"),
+        "raw",
     )
     return parse_replies(build_records(kept, prices), kind), to_resend(judged).select("idx", "body")
 

@@ -38,10 +38,11 @@ RAW_CALL = (
 BATCH_REQUEST = f"custom_id STRING, body {REQUEST}"
 
 BATCH_RESULTS = (
-    "id STRING, status STRING, results ARRAY<STRUCT<custom_id: STRING, "
-    f"response: STRUCT<status_code: INT, body: {RESPONSE}>>>"
+    "id STRING, status STRING, results ARRAY<STRUCT<custom_id: STRING, response: STRING>>"
 )
 
+BATCH_RESULT = f"STRUCT<status_code: INT, body: {RESPONSE}>"
+
 CALL_HISTORY = (
     "time DOUBLE, run STRING, seq BIGINT, model STRING, path STRING, status_code INT, "
     "request STRING, response STRING"

@@ -152,9 +152,11 @@ def parse_batch_requests(requests: DataFrame) -> DataFrame:
 
 
 def parse_batch_results(batches: DataFrame) -> DataFrame:
-    """(idx, response) of finished batches: one row per result."""
+    """(idx, response, raw) of finished batches, a row per result: the parsed fields, and the whole body."""
     return batches.select(F.explode("results").alias("r")).select(
-        F.col("r.custom_id").cast("bigint").alias("idx"), F.col("r.response").alias("response")
+        F.col("r.custom_id").cast("bigint").alias("idx"),
+        F.from_json("r.response", schemas.BATCH_RESULT).alias("response"),
+        F.get_json_object("r.response", "$.body").alias("raw"),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradeline.functions.text import one_line
 from gradeline.operators.batch import keep_every
+from gradeline.session import pin
 
 
 def sample_tag(seed: int, num: int | None = None) -> str:
@@ -49,7 +50,11 @@ def write_fallback_labels(labels: DataFrame, path: str) -> None:
 
 
 def write_predictions(records: DataFrame, out_path: str, raw_path: str, raw_every: int = 1) -> None:
-    """One line per prediction in index order, and every k-th raw record as JSON."""
+    """One line per prediction in index order, and every k-th raw record as JSON.
+
+    The records are written once first, so a model among their columns answers each prompt once.
+    """
+    records = pin(records, "records")
     _ordered(records.select("idx", "pred")).select(one_line(F.col("pred")).alias("value")).write.text(out_path)
     raw = [c for c in ("idx", "request", "cost", "walltime_min", "response") if c in records.columns]
     _ordered(keep_every(records, raw_every).select(*raw)).write.json(raw_path)

@@ -38,7 +38,7 @@ def test_triage(spark):
 
 def test_resend_is_what_was_not_kept(spark):
     results = spark.createDataFrame([(1, answer(200, choices=choice("a", "stop"))), (2, answer(500))], "idx BIGINT, t STRING")
-    judged = batch.join_results(spark.range(4).withColumnRenamed("id", "idx"), results.select("idx", F.from_json("t", RESULT).alias("response")))
+    judged = batch.join_results(spark.range(4).withColumnRenamed("id", "idx"), results.select("idx", F.from_json("t", RESULT).alias("response"), F.lit(None).cast("string").alias("raw")))
     assert sorted(r.idx for r in batch.to_resend(judged).collect()) == [0, 2, 3]
     assert {r.verdict: r.n for r in batch.status_counts(judged).collect()} == {"missing": 2, "error": 1, "keep": 1}
 

@@ -8,6 +8,7 @@ from gradeline.functions.usage import with_usage
 from gradeline.operators.cost import mtok_cost
 from gradeline.plans import agent_run, labelling
 from gradeline.plans.tasks import TASKS
+from gradeline.sources.readers import parse_batch_results
 
 USAGE = {"prompt_tokens": 100, "completion_tokens": 7, "prompt_tokens_details": {"cached_tokens": 30, "cache_write_tokens": 20}}
 
@@ -51,7 +52,7 @@ def test_collect_batch(spark):
         (0, json.dumps({"status_code": 200, "body": {"choices": [{"message": {"content": " e "}}], "usage": USAGE}})),
         (1, json.dumps({"status_code": 500})),
     ]
-    results = spark.createDataFrame(answers, "idx BIGINT, t STRING").select("idx", F.from_json("t", f"STRUCT<status_code: INT, body: {schemas.RESPONSE}>").alias("response"))
+    results = spark.createDataFrame(answers, "idx BIGINT, t STRING").select("idx", F.from_json("t", schemas.BATCH_RESULT).alias("response"), F.get_json_object("t", "$.body").alias("raw"))
     prices = spark.createDataFrame([("m", "t", 2.0, 10.0, 0.2, 2.5, None)], schemas.PRICES)
     records, resend = labelling.collect_batch(asked, results, "relevance", prices, "m")
     row = records.first()
@@ -59,6 +60,16 @@ def test_collect_batch(spark):
     assert sorted(r.idx for r in resend.collect()) == [1, 2]
 
 
+def test_batch_bodies_stay_whole(spark):
+    body = {"id": "x", "provider": "p", "error": {"code": 403, "message": "no", "metadata": {"flagged_input": "y"}}}
+    line = json.dumps({"id": "b", "results": [{"custom_id": "5", "response": {"status_code": 403, "body": body}}]})
+    rows = spark.createDataFrame([(line,)], "t STRING").select(F.from_json("t", schemas.BATCH_RESULTS).alias("b")).select("b.*")
+    asked = spark.range(5, 6).select(F.col("id").alias("idx"), F.lit("b").alias("body"))
+    prices = spark.createDataFrame([("m", "t", 2.0, 10.0, 0.2, 2.5, None)], schemas.PRICES)
+    records, _ = labelling.collect_batch(asked, parse_batch_results(rows), "relevance", prices, "m")
+    assert json.loads(records.first().pred) == body
+
+
 def run(spark, budget):
     rows = [(i, "E", 2.0, 0.5, 1.0) for i in range(4)]
     records = spark.createDataFrame(rows, "idx BIGINT, pred STRING, mtok DOUBLE, usd DOUBLE, walltime_min DOUBLE")

@@ -37,7 +37,7 @@ def test_window_fit(spark):
 
 
 def test_supplied_tokenizer(spark):
-    count = teacher.token_counter(lambda: len)
+    count = teacher.token_counter(lambda: lambda texts: [len(t) for t in texts])
     df = spark.createDataFrame([(1, "abc"), (2, None)], "i INT, t STRING")
     assert [r.n for r in df.select("i", count(F.col("t")).alias("n")).orderBy("i").collect()] == [3, None]
 
@@ -85,3 +85,38 @@ def test_gain_and_primary_metric(spark):
     limits = spark.createDataFrame([("extraction", 0.1, 1.0), ("detection", 0.5, 0.5)], "task STRING, trivial DOUBLE, perfect DOUBLE")
     gains = {r.task: r.gain for r in report.normalized_gain(scored, limits).collect()}
     assert gains["extraction"] == pytest.approx(0.5) and gains["detection"] is None and gains["other"] is None
+
+
+def test_model_calls_have_the_chunk_size(spark):
+    def load():
+        def predict(texts):
+            return [str(len(texts))] * len(texts)
+
+        return predict
+
+    df = spark.range(25, numPartitions=1).select("id", F.struct("id").alias("s"), F.when(F.col("id") != 3, "p").alias("prompt"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = teacher.label_rows(df, "prompt", load, chunk=10).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [r.pred for r in got] == ["9"] * 3 + [None] + ["9"] * 6 + ["10"] * 10 + ["5"] * 5
+    assert [r.s.id for r in got] == list(range(25))
+
+
+def test_each_prompt_is_asked_once_when_predictions_are_written(spark, tmp_path):
+    from gradeline.sources.writers import write_predictions
+
+    asked = spark.sparkContext.accumulator(0)
+
+    def load():
+        def predict(texts):
+            asked.add(len(texts))
+            return ["a"] * len(texts)
+
+        return predict
+
+    df = spark.range(100).select(F.col("id").alias("idx"), F.lit("p").alias("prompt"))
+    records = teacher.label_rows(df, "prompt", load).withColumn("response", F.col("pred"))
+    write_predictions(records, f"{tmp_path}/out", f"{tmp_path}/raw")
+    assert asked.value == 100
