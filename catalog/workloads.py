@@ -125,13 +125,20 @@ SELECT p_partkey, p_type AS attribute, len(string_split(p_name, ' ')) AS n_evide
 LANGS = ("en", "fr", "de", "es")
 
 
+def _parts() -> list[F.Column]:
+    """A rule per part: a language each, and one part for all others."""
+    others = ~F.coalesce(F.col("lang").isin(*LANGS), F.lit(False))
+    return [F.col("lang") == lang for lang in LANGS] + [others]
+
+
 def union_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    merged = shaping.union_parts(*[docs.where(F.col("lang") == lang) for lang in LANGS])
+    merged = shaping.union_parts(*[docs.where(rule) for rule in _parts()])
     return merged.select("part_no", "doc_id", "lang")
 
 
-UNION_PARTS = "SELECT CAST(list_position(['en','fr','de','es'], lang) - 1 AS INTEGER) AS part_no, doc_id, lang FROM documents"
+_PART = "CAST(coalesce(list_position(['en','fr','de','es'], lang), 5) - 1 AS INTEGER)"
+UNION_PARTS = f"SELECT {_PART} AS part_no, doc_id, lang FROM documents"
 
 
 def labels_metadata_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,7 +268,7 @@ def views_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     full, out = fresh_path(spark, "full"), fresh_path(spark, "views")
     _write_lines(docs, F.to_json(F.struct("doc_id", "text", "lang", "source")), full)
     schema = "doc_id BIGINT, text STRING, lang STRING, source STRING"
-    workload.sample_full(spark, full, schema, out, ["text"], SEED)
+    workload.sample_full(spark, full, schema, out, ["text"], SEED, key="doc_id")
     tag = writers.sample_tag(SEED)
     questions, gold = workload.load_sample(spark, out, tag, "text STRING", "doc_id BIGINT, lang STRING, source STRING")
     offsets = writers.read_view(spark, f"{out}/{tag}_offsets", "idx BIGINT, line BIGINT, offset BIGINT")
@@ -278,25 +285,25 @@ def extraction_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     root = fresh_path(spark, "parts")
     paths = []
-    for lang in LANGS:
-        paths.append(f"{root}/{lang}")
-        rows = docs.where(F.col("lang") == lang).select(
+    for number, rule in enumerate(_parts()):
+        paths.append(f"{root}/{number}")
+        rows = docs.where(rule).select(
             F.col("doc_id").cast("string").alias("id"), F.col("source").alias("category"),
             F.array(F.struct("text", F.lit("text").alias("source"))).alias("paragraphs"),
             F.array(
                 F.struct(F.lit("lang").alias("key"), F.array(F.struct(F.col("lang").alias("value"))).alias("evidences"))
             ).alias("attributes"),
         )
-        writers.write_full(rows, paths[-1])
+        writers.write_full(rows, paths[-1], order_by=[F.col("id").cast("bigint")])
     lifted = sampling.lift_single_attribute(workload.build_extraction(spark, paths))
     return lifted.select(
-        "part_no", "id", "category", "attribute", F.col("evidences")[0]["value"].alias("value"),
+        "part_no", "line", "id", "category", "attribute", F.col("evidences")[0]["value"].alias("value"),
         F.md5(F.col("paragraphs")[0]["text"]).alias("text_md5"),
     )
 
 
-EXTRACTION_PARTS = """
-SELECT CAST(list_position(['en','fr','de','es'], lang) - 1 AS INTEGER) AS part_no, CAST(doc_id AS VARCHAR) AS id,
+EXTRACTION_PARTS = f"""
+SELECT {_PART} AS part_no, row_number() OVER (PARTITION BY {_PART} ORDER BY doc_id) - 1 AS line, CAST(doc_id AS VARCHAR) AS id,
   source AS category, 'lang' AS attribute, lang AS value, md5(text) AS text_md5 FROM documents"""
 
 

@@ -116,16 +116,16 @@ def lift_single_attribute(df: DataFrame) -> DataFrame:
 
 
 def first_wins(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    """The first row of every key in the given order.
+    """The first row of every key in the given order, which must order the rows of a key totally.
 
-    An aggregate, not a window: copies shrink to one row per task before the shuffle, so a key that
-    holds a third of the table costs no more than any other.
+    The smallest place per key is an aggregate over places only: copies shrink to one row per task
+    before the shuffle, so a key that holds a third of the table costs no more than any other. The
+    rows are then kept by key and place; as a struct, NULLs in either are equal.
     """
-    rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(
-        F.min_by(F.struct(*rest), F.struct(*order_by)).alias("_first")
-    )
-    return picked.select(*keys, "_first.*").select(*df.columns)
+    first = df.groupBy(*keys).agg(F.min(F.struct(*order_by)).alias("_place"))
+    first = first.select(F.struct(F.struct(*keys), "_place").alias("_row"))
+    rows = df.withColumn("_row", F.struct(F.struct(*keys), F.struct(*order_by).alias("_place")))
+    return rows.join(first, "_row", "left_semi").select(*df.columns)
 
 
 def duplicate_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -25,7 +25,7 @@ def shape_relevance(raw: DataFrame) -> DataFrame:
         F.col("product_locale").alias("locale"),
         F.col("large_version").cast("int").alias("large_version"),
         "split",
-        *[c for c in ("file_name", "row_index") if c in raw.columns],
+        *[c for c in ("file_path", "row_index") if c in raw.columns],
     )
 
 

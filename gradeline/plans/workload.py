@@ -25,7 +25,7 @@ WORKLOAD_ROWS = {"extraction": 4_767_579, "relevance": 2_621_288, "detection": 5
 def build_relevance(spark: SparkSession, shards: str) -> DataFrame:
     """Canonical relevance rows: the first of every example id in shard order."""
     shaped = shape_relevance(read_shards(spark, shards))
-    return first_wins(shaped, ["example_id"], ["file_name", "row_index"]).drop("file_name", "row_index")
+    return first_wins(shaped, ["example_id"], ["file_path", "row_index"]).drop("file_path", "row_index")
 
 
 def build_detection(spark: SparkSession, csv: str) -> DataFrame:
@@ -55,14 +55,18 @@ def sample_full(
     seed: int | None = None,
     num: int | None = None,
     single_attribute: bool = False,
+    key: str = "line",
 ) -> dict[str, str]:
     """Shuffle the canonical table by seed, keep ``num`` rows (all if None), write the three views.
 
+    The shuffle goes by ``key``. Name the record's own unique id: the sample is then the same however
+    the table was cut into files. By line number it is the same for the same order of lines only.
+
     The sample is written once; the views are read off it. Without a seed the clock gives one, and
     the returned paths name it. Asking for more rows than there are is an error.
     """
     seed = int(time.time()) if seed is None else seed
-    sample = seeded_order(read_full(spark, full_path, schema), "line", seed, num)
+    sample = seeded_order(read_full(spark, full_path, schema), key, seed, num)
     if single_attribute:
         sample = lift_single_attribute(sample)
     sample = pin(sample, "sample")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 from gradeline import schemas
@@ -15,14 +15,15 @@ from gradeline.session import fix_splits, pin
 def read_shards(spark: SparkSession, path: str, schema: str = schemas.RELEVANCE_RAW) -> DataFrame:
     """Parquet shards with only the schema's columns; ``split`` is the file name up to the first '-'.
 
-    ``file_name`` and ``row_index`` give the shard order that duplicate removal needs.
+    ``file_path`` and ``row_index`` give the shard order that duplicate removal needs; in two folders
+    file names may be equal.
     """
     wanted = [f.name for f in StructType.fromDDL(schema)]
     meta = F.col("_metadata")
     return spark.read.schema(schema).parquet(path).select(
         *wanted,
         F.split_part(meta["file_name"], F.lit("-"), F.lit(1)).alias("split"),
-        meta["file_name"].alias("file_name"),
+        meta["file_path"].alias("file_path"),
         meta["row_index"].alias("row_index"),
     )
 
@@ -52,8 +53,13 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_parts(spark: SparkSession, paths: Sequence[str], schema: str) -> DataFrame:
-    """Several JSON-lines files as one table, in the order given."""
-    return union_parts(*[read_json_lines(spark, p, schema) for p in paths])
+    """Several JSON-lines files as one table: (part_no, line) is the order of the files as given."""
+
+    def one(path: str) -> DataFrame:
+        lines = with_line_numbers(read_raw_lines(spark, path))
+        return lines.select(F.from_json("value", schema).alias("row"), "line").select("row.*", "line")
+
+    return union_parts(*[one(p) for p in paths])
 
 
 def read_raw_lines(spark: SparkSession, path: str, line_sep: str | None = "\n") -> DataFrame:
@@ -72,6 +78,13 @@ def read_raw_lines(spark: SparkSession, path: str, line_sep: str | None = "\n")
     )
 
 
+def _file_order(path: str) -> list[Column]:
+    """Folder, part number, name: as text, part 100000 would come before part 99999."""
+    name = F.regexp_extract(path, "([^/]*)$", 1)
+    number = F.regexp_extract(name, r"^part-([0-9]+)", 1).try_cast("bigint")
+    return [F.regexp_replace(path, "[^/]*$", ""), number, F.col(path)]
+
+
 def _split_starts(lines: DataFrame) -> DataFrame:
     """Per split of the scan: rows and bytes before it, and its first sequence number.
 
@@ -81,7 +94,7 @@ def _split_starts(lines: DataFrame) -> DataFrame:
     splits = lines.groupBy("file_path", "block_start").agg(
         F.count("*").alias("_n"), F.sum(size).alias("_bytes"), F.min("_seq").alias("_first")
     )
-    so_far = Window.orderBy("file_path", "block_start").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.orderBy(*_file_order("file_path"), "block_start").rowsBetween(Window.unboundedPreceding, -1)
     of_file = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.withColumns(
         {
@@ -104,7 +117,7 @@ def _numbered(lines: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def with_line_numbers(lines: DataFrame) -> DataFrame:
-    """Add ``line``: the row's 0-based position over all files in path order.
+    """Add ``line``: the row's 0-based position over all files by folder, part number and name.
 
     Splits are counted, the counts accumulated, and added to the position inside the split; the
     lines themselves are neither sorted nor shuffled.

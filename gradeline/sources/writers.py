@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradeline.functions.text import one_line
 from gradeline.operators.batch import keep_every
@@ -40,9 +40,10 @@ def read_view(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def write_full(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """The canonical table; JSON leaves NULL fields out."""
-    df.write.format(fmt).save(path)
+def write_full(df: DataFrame, path: str, fmt: str = "json", order_by: Sequence[str | Column] = ()) -> None:
+    """The canonical table, over the files in the given order if there is one; JSON leaves NULL fields out."""
+    rows = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by) if order_by else df
+    rows.write.format(fmt).save(path)
 
 
 def write_fallback_labels(labels: DataFrame, path: str) -> None:

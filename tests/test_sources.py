@@ -129,3 +129,25 @@ def test_documents_and_tags(spark, tmp_path):
     writers.write_document(spark.sql("SELECT 0.5 AS f1, 3L AS n, CAST(NULL AS STRING) AS note"), str(tmp_path / "m"))
     assert json.loads(spark.read.text(str(tmp_path / "m")).first().value) == {"f1": 0.5, "n": 3}
     assert writers.sample_tag(7) == "full_seed7" and writers.sample_tag(7, 10) == "n10_seed7"
+
+
+def test_the_sample_does_not_hang_on_the_files(spark, tmp_path):
+    from gradeline.sources.writers import read_view
+
+    rows = [(f"r{i}", f"text {i}") for i in range(200)]
+    got = []
+    for layout, order in ((1, rows), (7, rows[::-1])):
+        df = spark.createDataFrame(order, "id STRING, text STRING").repartition(layout)
+        df.write.json(f"{tmp_path}/full{layout}")
+        paths = workload.sample_full(
+            spark, f"{tmp_path}/full{layout}", "id STRING, text STRING", f"{tmp_path}/out{layout}", ["text"], 3, 50, key="id"
+        )
+        got.append([(r.idx, r.text) for r in read_view(spark, paths["questions"], "idx BIGINT, text STRING").orderBy("idx").collect()])
+    assert got[0] == got[1] and len(got[0]) == 50
+
+
+def test_part_numbers_order_lines(spark, tmp_path):
+    for number in (99999, 100000, 7):
+        (tmp_path / f"part-{number:05d}-x.txt").write_text(f"{number}\n")
+    lines = readers.with_line_numbers(readers.read_raw_lines(spark, str(tmp_path)))
+    assert [r.value for r in lines.orderBy("line").collect()] == ["7", "99999", "100000"]
