@@ -82,8 +82,9 @@ ALIGNMENT_GUARDS = " UNION ALL ".join(_guard_sql(case) for case in _GUARD_CASES)
 
 def expected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table that passed its row-count expectation; a wrong number raises."""
-    docs = table(spark, sf_dir, "documents")
-    n = table(spark, sf_dir, "documents").select("doc_id").distinct().count()
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id")
+    # the labelled documents and the others, counted apart, are as many as there are to be
+    n = labels.count() + docs.select("doc_id").join(labels, "doc_id", "left_anti").count()
     return checks.expect_at_least(checks.expect_rows(docs, n), n).groupBy("lang").agg(F.count("*").alias("n"))
 
 
@@ -210,20 +211,34 @@ SELECT (SELECT micro_f1 FROM ({scores.RELEVANCE_SCORE})) AS micro_f1, round(coun
   count(*) * 0.25::DOUBLE AS walltime_min FROM ({plain(inputs.RELEVANCE_PREDS)})"""
 
 
-def sweep_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Selection document of a sweep with one point per source: its mean text length as the loss."""
+def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One point per source: its text length as the loss."""
     docs = table(spark, sf_dir, "documents")
-    points = docs.groupBy("source").agg(F.sum("n_chars").cast("double").alias("eval_loss"), F.min("doc_id").alias("seq")).select(
+    return docs.groupBy("source").agg(F.sum("n_chars").cast("double").alias("eval_loss"), F.min("doc_id").alias("seq")).select(
         "seq", F.lit(1e-5).alias("learning_rate"), "eval_loss", F.col("source").alias("student_dir"), F.lit(1.0).alias("walltime_min")
     )
-    document = training.selection(points)
+
+
+def sweep_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selection document of a sweep."""
+    document = training.selection_summary(_sweep(spark, sf_dir))
     return document.select(
         F.get_json_object("metrics", "$.selected.student_dir").alias("student_dir"),
         F.get_json_object("metrics", "$.selected.eval_loss").cast("double").alias("eval_loss"),
-        F.size(F.from_json(F.get_json_object("metrics", "$.sweep"), "ARRAY<STRUCT<seq: BIGINT>>")).cast("bigint").alias("n_points"),
+        F.get_json_object("metrics", "$.n_points").cast("bigint").alias("n_points"),
     )
 
 
+def sweep_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of the same sweep as rows, the best one marked."""
+    return training.selection_rows(_sweep(spark, sf_dir)).select("seq", "student_dir", "eval_loss", "selected")
+
+
+SWEEP_ROWS = """
+WITH p AS (SELECT source, sum(n_chars)::DOUBLE AS eval_loss, min(doc_id) AS seq FROM documents GROUP BY source)
+SELECT seq, source AS student_dir, eval_loss, row_number() OVER (ORDER BY eval_loss, seq) = 1 AS selected FROM p"""
+
+
 SWEEP_SELECTION = """
 WITH p AS (SELECT source, sum(n_chars)::DOUBLE AS eval_loss, min(doc_id) AS seq FROM documents GROUP BY source)
 SELECT source AS student_dir, eval_loss, (SELECT count(*) FROM p) AS n_points FROM p ORDER BY eval_loss, seq LIMIT 1"""
@@ -239,4 +254,5 @@ QUERIES = {
     "agent_result": (agent_result, AGENT_RESULT),
     "run_document": (run_document, RUN_DOCUMENT),
     "sweep_selection": (sweep_selection, SWEEP_SELECTION),
+    "sweep_rows": (sweep_rows, SWEEP_ROWS),
 }

@@ -197,7 +197,10 @@ def detection_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grid(spark: SparkSession, sf_dir: str, tuned: bool) -> DataFrame:
-    grid = det.score_grid(*_histogram(spark, sf_dir), per_domain_tuning=tuned)
+    return _rounded(det.score_grid(*_histogram(spark, sf_dir), per_domain_tuning=tuned))
+
+
+def _rounded(grid: DataFrame) -> DataFrame:
     rounded = [c for c in grid.columns if c.startswith("accuracy") or c == "auroc"]
     return grid.withColumns({c: F.round(c, 9) for c in rounded})
 
@@ -214,6 +217,13 @@ def detection_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return det.headline(_grid(spark, sf_dir, tuned=False))
 
 
+def detection_report_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slice grid as it lies beside the metrics document, read back."""
+    path = fresh_path(spark, "report")
+    det.write_detection_report(*_detection(spark, sf_dir), path)
+    return _rounded(spark.read.parquet(f"{path}/grid"))
+
+
 def detection_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score(*_detection(spark, sf_dir), "detection")
     return out.select(
@@ -316,6 +326,7 @@ QUERIES = {
     "detection_auroc": (detection_auroc, DETECTION_AUROC),
     "detection_threshold": (detection_threshold, DETECTION_THRESHOLD),
     "detection_slices": (detection_slices, DETECTION_SLICES),
+    "detection_report_grid": (detection_report_grid, DETECTION_SLICES),
     "detection_slices_tuned": (detection_slices_tuned, DETECTION_SLICES_TUNED),
     "detection_headline": (detection_headline, DETECTION_HEADLINE),
     "detection_report": (detection_report, DETECTION_REPORT),

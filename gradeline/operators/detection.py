@@ -15,6 +15,7 @@ from gradeline.operators.checks import require
 from gradeline.operators.prefix import prefix_sums
 from gradeline.operators.scoring import align
 from gradeline.session import pin
+from gradeline.sources.writers import write_document
 
 HUMAN = "human"
 ALL = "all"
@@ -144,14 +145,17 @@ def score_grid(
     ranks: DataFrame,
     targets: Sequence[float] = TARGET_FPRS,
     per_domain_tuning: bool = False,
+    totals: DataFrame | None = None,
+    limits: DataFrame | None = None,
 ) -> DataFrame:
     """Accuracy per target and AUROC for every cell of the five axes, each with an 'all' level.
 
     Cells hold machine rows; human rows enter through the threshold and as AUROC negatives, those
     of the cell's domain where the domain is fixed. The cube runs over per-slice sums, not rows.
+    ``totals`` and ``limits`` are those of the ranks, if they are there already.
     """
-    totals = scope_totals(ranks)
-    limits = pin(thresholds(ranks, totals, targets), "limits")
+    totals = scope_totals(ranks) if totals is None else totals
+    limits = pin(thresholds(ranks, totals, targets), "limits") if limits is None else limits
     machine = hist.where(F.col("model") != HUMAN)
     overall = ranks.where(F.col("scope") == ALL).select(
         "score", F.col("neg").alias("neg_all"), F.col("neg_before").alias("below_all")
@@ -219,15 +223,29 @@ def headline(grid: DataFrame) -> DataFrame:
 
 def score_detection(gold: DataFrame, preds: DataFrame, auroc_only: bool = False) -> DataFrame:
     """All detection metrics of a run as one row with a nested ``score_agg``, like the other scorers."""
+    return detection_scores(gold, preds, auroc_only)[0]
+
+
+def detection_scores(
+    gold: DataFrame, preds: DataFrame, auroc_only: bool = False
+) -> tuple[DataFrame, DataFrame | None]:
+    """The row of ``score_detection``, and the cells of the slice grid that it was read off.
+
+    Without slices (``auroc_only``) there is no grid. It is written once, for both uses.
+    """
     hist = histogram(score_rows(gold, preds))
     ranks = human_ranks(hist)
     tallies = auroc(ranks)
     if auroc_only:
         agg = F.struct(F.struct("auroc").alias("all"))
-        return tallies.select(
+        only = tallies.select(
             agg.alias("score_agg"), F.lit(True).alias("auroc_only"), "n_scored", "distinct_preds", "n_human", "n_machine"
         )
-    rows = headline(score_grid(hist, ranks))
+        return only, None
+    totals = scope_totals(ranks)
+    every = pin(thresholds(ranks, totals), "limits")
+    grid = pin(score_grid(hist, ranks, totals=totals, limits=every), "grid")
+    rows = headline(grid)
     cell = F.struct(*[c for c in rows.columns if c != "headline"])
     both = rows.agg(
         F.struct(
@@ -235,10 +253,18 @@ def score_detection(gold: DataFrame, preds: DataFrame, auroc_only: bool = False)
             F.max(F.when(F.col("headline") == "no_adversarial", cell)).alias("no_adversarial"),
         ).alias("score_agg")
     )
-    limits = thresholds(ranks, scope_totals(ranks)).where(F.col("scope") == ALL).drop("scope")
-    return tallies.drop("auroc").select(
+    limits = every.where(F.col("scope") == ALL).drop("scope")
+    summary = tallies.drop("auroc").select(
         both.scalar().alias("score_agg"),
         "*",
         limits.select(F.struct("*")).scalar().alias("thresholds"),
         F.lit(False).alias("per_domain_tuning"),
     )
+    return summary, grid
+
+
+def write_detection_report(gold: DataFrame, preds: DataFrame, path: str) -> None:
+    """The metrics document below ``path``/summary and the cells of its slice grid below ``path``/grid."""
+    summary, grid = detection_scores(gold, preds)
+    write_document(summary, f"{path}/summary")
+    grid.write.parquet(f"{path}/grid")

@@ -32,8 +32,24 @@ def training_sets(
 
 
 def selection(sweep: DataFrame) -> DataFrame:
-    """The selection document: the best point and every point in order. A sweep is a handful of rows."""
+    """The selection document: the best point and every point in order, for a sweep of a handful of rows.
+
+    For a large one take ``selection_summary`` and ``selection_rows``, which gather nothing.
+    """
     points = F.array_sort(F.collect_list(F.struct("seq", "learning_rate", "eval_loss", "student_dir", "walltime_min")))
     return metrics_document(
         sweep.agg(points.alias("sweep")).withColumn("selected", best_point(sweep).select(F.struct("*")).scalar())
     )
+
+
+def selection_summary(sweep: DataFrame) -> DataFrame:
+    """The selection document without its points: the best one and how many there were."""
+    return metrics_document(
+        sweep.agg(F.count("*").alias("n_points")).withColumn("selected", best_point(sweep).select(F.struct("*")).scalar())
+    )
+
+
+def selection_rows(sweep: DataFrame) -> DataFrame:
+    """Every point of the sweep as a row, with ``selected`` on the best; the table beside the document."""
+    best = best_point(sweep).select("seq").scalar()
+    return sweep.withColumn("selected", F.coalesce(F.col("seq") == best, F.lit(False)))
