@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_SCOPE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
 
 
 def build_session(app: str = "gradeline", master: str | None = None, **conf: str) -> SparkSession:
@@ -55,14 +59,33 @@ def _app_folder(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below this application's part of the shared scratch folder."""
-    return f"{_app_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_app_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if (paths := _SCOPE.get()) is not None:
+        paths.append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what is pinned inside. Results that outlive the scope have to be written."""
+    before = _SCOPE.set([])
+    try:
+        yield
+    finally:
+        paths = _SCOPE.get()
+        _SCOPE.reset(before)
+        for path in paths:
+            _delete(spark, path)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what this application pinned. Call it when no result that reads a pin is needed."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_app_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _app_folder(spark))
 
 
 def pin(df: DataFrame, name: str = "pin") -> DataFrame:

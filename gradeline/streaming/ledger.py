@@ -10,6 +10,7 @@ from gradeline import schemas
 from gradeline.functions.usage import with_usage
 from gradeline.operators.cost import MTOK, mtok_cost
 from gradeline.operators.ledger import first_exhausted, running_ledger
+from gradeline.session import scratch_scope
 from gradeline.streaming.sinks import each_batch
 
 ORDER = ("time", "seq")
@@ -54,6 +55,10 @@ class LedgerStream:
         return f"{self.root}/{kind}/batch={number}"
 
     def handle(self, batch: DataFrame, number: int) -> None:
+        with scratch_scope(batch.sparkSession):
+            self._write(batch, number)
+
+    def _write(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         opening = spark.read.parquet(self._path("state", number - 1)) if number else None
         calls = metered(batch).select("run", *ORDER, "status_code", "usage_reason", "mtok")
