@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from gradeline.session import pin
+
 #: Code points of text that one task turns into Arrow rows before it hands them on.
 EMIT_CHARS = 4_000_000
 
@@ -24,6 +26,20 @@ def fold(key: Column, parts: int) -> Column:
     return F.crc32(key.cast("string")) % parts
 
 
+def sample_texts(docs: DataFrame, text: str, eligible: Column, most: int) -> DataFrame:
+    """(text) of at most ``most`` distinct texts among the rows that are ``eligible``, NULL excepted.
+
+    Those with the smallest hashes, so the choice hangs neither on layout nor on order. The hashes
+    alone are ordered, and only the chosen texts move, each once however often it is repeated.
+    """
+    rows = docs.where(F.col(text).isNotNull() & eligible).select(F.col(text).alias("text"))
+    hashes = pin(rows.select(F.xxhash64("text").alias("hash")).distinct(), "hashes")
+    last = hashes.orderBy("hash").limit(most).agg(F.max("hash")).first()[0]
+    chosen = rows.withColumn("hash", F.xxhash64("text"))
+    chosen = chosen.where("false") if last is None else chosen.where(F.col("hash") <= last)
+    return chosen.groupBy("hash").agg(F.min("text").alias("text")).select("text")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores behind until no column of ``df`` is called so in any case."""
     taken = {c.lower() for c in df.columns}

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from gradeline.llm.common import free_name, map_arrow
+from gradeline.llm.common import free_name, map_arrow, sample_texts
 
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<kind: string, start: bigint, end: bigint, base: boolean>>"
@@ -375,9 +375,7 @@ def learn(docs: DataFrame, text: str, sample: int, most_windows: int = 2500, see
     The texts with the smallest hashes are taken, each once as it is and once ``varied``; of their
     windows at most ``most_windows``, evenly. None if no text has a span.
     """
-    rows = docs.select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]"))
-    rows = rows.withColumn("hash", F.xxhash64("text")).orderBy("hash", "text").limit(sample)
-    texts = [r.text for r in rows.select("text").collect()]
+    texts = sorted(r.text for r in sample_texts(docs, text, F.col(text).rlike("[0-9@]"), sample).collect())
     rng = np.random.default_rng(seed)
     plain = [(t, base_spans(t, checked=False)) for t in texts]  # a tagger sees the form, not the check digit
     every = plain + [varied(t, s, rng) for t, s in plain if s]

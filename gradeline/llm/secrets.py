@@ -12,7 +12,7 @@ from collections.abc import Iterable
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from gradeline.llm.common import map_arrow
+from gradeline.llm.common import map_arrow, sample_texts
 
 #: Kinds in the order in which equal starts are listed; "random" is the models' own.
 KINDS = ("assign", "access", "hex", "random")
@@ -122,12 +122,8 @@ def samples(docs: DataFrame, text: str, per_label: int) -> tuple[list[str], list
     longest of a text. The texts with the smallest hashes are taken, so the choice hangs neither on
     layout nor on order; random strings come from the texts that hold what a base pattern needs.
     """
-    texts = docs.select(F.col(text).alias("text")).where("text IS NOT NULL")
-    marked = texts.where(F.col("text").rlike(r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}|[:=]"))
-    picked = [
-        rows.withColumn("hash", F.xxhash64("text")).orderBy("hash", "text").limit(per_label).select("text")
-        for rows in (marked, texts)
-    ]
+    marked = F.col(text).rlike(r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}|[:=]")
+    picked = [sample_texts(docs, text, rule, per_label) for rule in (marked, F.lit(True))]
 
     def start():
         def step(columns):
