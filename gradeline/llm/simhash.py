@@ -151,10 +151,10 @@ def share_apart(similarity: float) -> float:
 def sampled_masks(rows: int, similarity: float, recall: float, lanes: int, seed: int = 3) -> list[list[int]]:
     """Masks of randomly chosen bits, one per lane in each choice.
 
-    A choice has as many bits as keep blocks small (16 at least), and there are so many choices that
+    A choice has so many bits that there are as many blocks as rows, and there are so many choices that
     a pair of that similarity shares one with probability ``recall``.
     """
-    chosen = max(16, math.ceil(math.log2(max(rows, 1) + 1)) - 2)
+    chosen = max(12, math.ceil(math.log2(rows + 1)))
     count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share_apart(similarity)) ** chosen))
     rng = np.random.default_rng(seed)
     out = []
@@ -165,7 +165,7 @@ def sampled_masks(rows: int, similarity: float, recall: float, lanes: int, seed:
 
 
 def similar_groups(
-    docs: DataFrame, key: str, text: str, shingle: int = 5, similarity: float = 0.8, recall: float = 0.95, lanes: int = 2
+    docs: DataFrame, key: str, text: str, shingle: int = 5, similarity: float = 0.8, recall: float = 0.9, lanes: int = 2
 ) -> DataFrame:
     """``key`` and ``component`` of every row: texts of at least ``similarity`` are linked.
 
@@ -194,16 +194,20 @@ def similar_groups(
 def keep_one(docs: DataFrame, text: str, order: str, **options) -> DataFrame:
     """The rows of ``docs`` less all but one of each group of ``similar_groups``.
 
-    The row with the smallest ``order`` stays, NULL being the largest, on ties the first read; rows
-    have a number of their own for the while, so repeated or NULL ids do no harm.
+    The row with the smallest ``order`` stays, NULL being the largest, on ties that with the smaller
+    hash of its text. A row is known by its ``order`` and text, so nothing but these moves; of rows
+    equal in both one stays.
     """
-    row = free_name(docs, "_near_row")
-    rows = pin(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    groups = similar_groups(rows, row, text, **options).withColumnRenamed(row, "row")
-    ordered = rows.select(F.col(row).alias("row"), F.col(order).alias("order")).join(groups, "row")
-    best = F.min(F.struct(F.col("order").isNull().alias("none"), "order", "row")).alias("best")
-    kept = ordered.groupBy("component").agg(best).select(F.col("best.row").alias(row))
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+    key = free_name(docs, "_near_key")
+    marked = docs.withColumn(key, F.struct(F.col(order).alias("order"), F.xxhash64(text).alias("text")))
+    groups = similar_groups(marked, key, text, **options).withColumnRenamed(key, "key")
+    sized = groups.groupBy("component", "key").agg(F.count("*").alias("times"))
+    place = F.struct(F.col("key.order").isNull().alias("none"), F.col("key.order"), F.col("key.text"), "times")
+    kept = sized.groupBy("component").agg(F.min(place).alias("best"))
+    kept = pin(kept.select(F.struct("best.order", "best.text").alias(key), F.col("best.times").alias("times")), "kept")
+    once = marked.join(kept.where("times = 1").select(key), key, "left_semi")
+    more = marked.join(kept.where("times > 1").select(key), key, "left_semi").dropDuplicates([key])
+    return once.unionByName(more).select(*docs.columns)
 
 
 def near_groups(
