@@ -7,6 +7,7 @@ neighbours that the index ranks highest until its window is full, the last of th
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Callable
 
@@ -21,33 +22,71 @@ from gradeline.session import pin
 GRID = 16
 #: Documents of a shard, terms of a query, and the BM25 constants.
 SHARD, QUERY_TERMS, K1, B = 2048, 24, 1.2, 0.75
-#: Distinct words whose ids a task remembers before it starts anew.
-CACHE = 400_000
+#: Distinct pieces and words whose ids a task remembers before it starts anew.
+PIECES_KEPT, WORDS_KEPT = 600_000, 600_000
+#: What a word's last token ends with in such a vocabulary, and the marks split off its end here.
+WORD_END, MARKS = "</w>", string.punctuation
 
 
 def word_ids(path: str) -> Callable[[str], bytes]:
     """Text -> its ids, little-endian unsigned 32-bit, by a tokenizer that drops white space.
 
-    Such a tokenizer treats what blanks separate apart, so ids are remembered per piece between
-    blanks (space, line feed), and the whole text's ids are those of its pieces in a row.
+    Such a tokenizer treats what blanks separate apart, and lower-cases, so ids are remembered per
+    piece between blanks (space, line feed), and the whole text's ids are those of its pieces in a
+    row. New words of a text go through the tokenizer together.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    vocabulary = tokenizer.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+    ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
     known: dict[str, bytes] = {"": b""}
+    words: dict[str, bytes] = {"": b""}
+
+    def one(piece: str) -> bytes:
+        return np.array(tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def learn(fresh: list[str]) -> None:
+        """Ids of words of letters only: each is one run of ids up to the first that ends a word."""
+        ids = np.array(tokenizer.encode(" ".join(fresh), add_special_tokens=False).ids, dtype="<u4")
+        last = np.flatnonzero(ends[ids]) + 1
+        if len(last) != len(fresh):  # some letter is two characters in lower case
+            words.update((w, one(w)) for w in fresh)
+            return
+        raw, at = ids.tobytes(), 0
+        for word, end in zip(fresh, (4 * last).tolist()):
+            words[word] = raw[at:end]
+            at = end
 
     def encode(text: str) -> bytes:
         pieces = text.replace("\n", " ").split(" ")
-        missing = set(pieces).difference(known)
-        if missing:
-            if len(known) > CACHE:
+        found = list(map(known.get, pieces))
+        if None in found:
+            missing = {piece for piece, ids in zip(pieces, found) if ids is None}
+            if len(known) > PIECES_KEPT:
                 known.clear()
                 known[""] = b""
                 missing = set(pieces) - {""}
+            if len(words) > WORDS_KEPT:
+                words.clear()
+                words[""] = b""
+            split = []  # letters and closing marks are apart for the tokenizer too
             for piece in missing:
-                ids = tokenizer.encode(piece, add_special_tokens=False).ids
-                known[piece] = np.array(ids, dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, pieces))
+                word = piece.rstrip(MARKS)
+                low = word.lower()
+                if not word or (low.isalpha() and len(low) == len(word)):
+                    split.append((piece, low if word.isascii() else word, piece[len(word) :]))
+                    if split[-1][2] not in known:
+                        known[split[-1][2]] = one(split[-1][2])
+                else:
+                    known[piece] = one(piece)
+            if fresh := list({w for _, w, _ in split}.difference(words)):
+                learn(fresh)
+            for piece, word, mark in split:
+                known[piece] = words[word] + known[mark]
+            found = map(known.__getitem__, pieces)
+        return b"".join(found)
 
     return encode
 
@@ -156,7 +195,7 @@ def _shards(found: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(terms, dtype=np.int64), np.array(first, dtype=np.int64), np.array(spread, dtype=np.int64)
 
 
-PIECES = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+PIECE_ROW = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
 def _crc(marks: np.ndarray, a: int, b: int, size: int) -> int:
@@ -275,13 +314,13 @@ def pack(docs: DataFrame, key: str, text: str, path: str, end_id: int, window: i
         rows = sorted(found.to_pylist(), key=lambda r: r["id"]["row"])
         pieces = pack_shard(rows, rows[0]["shard"], weights, window)
         ids = pa.array([rows[p[0]]["id"]["key"] for p in pieces], type=found.schema.field("id").type.field("key").type)
-        names = [f.split()[0] for f in PIECES.split(", ")]
+        names = [f.split()[0] for f in PIECE_ROW.split(", ")]
         values = [pa.array([p[i] for p in pieces], type=pa.int64()) for i in range(1, 7)]
         return pa.Table.from_arrays([ids, *values], names=["key", *names])
 
     rows = map_arrow(shapes, f"id {kind}, {_SHAPE}, shard bigint", dealt)
     key_kind = dict(docs.dtypes)[key]
-    return rows.groupBy("shard").applyInArrow(packed, f"key {key_kind}, {PIECES}").withColumnRenamed("key", key)
+    return rows.groupBy("shard").applyInArrow(packed, f"key {key_kind}, {PIECE_ROW}").withColumnRenamed("key", key)
 
 
 def sequences(pieces: DataFrame, tokens: DataFrame, key: str) -> DataFrame:

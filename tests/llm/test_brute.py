@@ -256,6 +256,21 @@ def test_packing(spark, texts):
     assert {r.sequence_id: bytes(r.ids) for r in made} == expected
 
 
+def test_word_ids_are_those_of_the_whole_text():
+    from tokenizers import Tokenizer
+
+    from gradeline.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, encode = Tokenizer.from_file(path), packing.word_ids(path)
+    hard = (
+        "Σας ΟΔΟΣ, İstanbul. İ, don't stop's it's <|endoftext|> x<|startoftext|>y a.b... !? ...;: ſtraße K1 é e\u0301 "
+        "a\u0300! \u1100\u1161. A\tB\rC\x1cD\u2003E\u00a0F\x85G 中文,字 ١٢ ǅ ﬁ. ŉ, … The THE the, the."
+    )
+    for text in [hard, *hard.split(" "), "", "  ", "\n", "...", "İ", "İ İ the"]:
+        assert np.frombuffer(encode(text), dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_retrieval_prefers_like_texts(spark):
     from gradeline.llm import packing
 
