@@ -9,6 +9,7 @@ of near copies costs a star and not its square.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -21,6 +22,8 @@ from gradeline.session import pin
 BITS = 64
 #: Hashes of one text that are turned into bits at once.
 HASHES = 1 << 18
+#: Standard deviations over the expected distance up to which a pair is a candidate.
+SPREAD = 3
 
 
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -41,10 +44,29 @@ def _remixed(hashes: np.ndarray) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = 4, lanes: int = 1) -> DataFrame:
-    """``key`` and ``fingerprint`` (bigint, the 64 bits) of every row's whole text.
+def _hashed(text: str, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of every run of ``shingle`` words, in order and HASHES at once; no words give none."""
+    from xxhash import xxh64_intdigest
+
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+    last = ends[shingle - 1 :] - 1 if len(words) >= shingle else ends[-1:] - 1
+    first = np.concatenate(([0], ends))[: len(last)]
+    for a in range(0, len(last), HASHES):
+        spans = zip(first[a : a + HASHES].tolist(), last[a : a + HASHES].tolist())
+        yield np.array([xxh64_intdigest(line[i:j], 42) for i, j in spans], dtype=np.uint64)
+
 
-    More than one of ``lanes`` makes it an array of so many bigint, whose first is the same.
+def _majority(counts: np.ndarray, hashes: int) -> int:
+    """The bits that are set in over half of the hashes, as a signed number."""
+    return _signed(sum(1 << i for i in np.flatnonzero(counts * 2 > hashes).tolist()))
+
+
+def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = 4) -> DataFrame:
+    """``key`` and ``fingerprint`` (bigint, the 64 bits) of every row's whole text.
 
     ASCII letters are lower-cased, words are what ASCII white space separates, and each run of
     ``shingle`` words, repeats included, is hashed by XXH64 with seed 42; a text of fewer words is
@@ -53,34 +75,67 @@ def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = 4, lanes:
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def start():
-        from xxhash import xxh64_intdigest
+        def bits(t: str) -> int:
+            counts, size = np.zeros(BITS, dtype=np.int64), 0
+            for found in _hashed(t, shingle):
+                counts += _bit_counts(found)
+                size += len(found)
+            return _majority(counts, size)
 
-        def bits(t: str) -> list[int]:
-            words = t.encode("utf-8", "surrogatepass").lower().split()
-            if not words:
-                return [0] * lanes
-            line = b" ".join(words)
-            ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-            last = ends[shingle - 1 :] - 1 if len(words) >= shingle else ends[-1:] - 1
-            first = np.concatenate(([0], ends))[: len(last)]
-            counts = np.zeros((lanes, BITS), dtype=np.int64)
-            for a in range(0, len(last), HASHES):
-                spans = zip(first[a : a + HASHES].tolist(), last[a : a + HASHES].tolist())
-                found = np.array([xxh64_intdigest(line[i:j], 42) for i, j in spans], dtype=np.uint64)
-                for lane in range(lanes):
-                    counts[lane] += _bit_counts(found)
-                    found = _remixed(found) if lane + 1 < lanes else found
-            return [_signed(sum(1 << i for i in np.flatnonzero(c * 2 > len(last)).tolist())) for c in counts]
-
-        def step(columns):
-            found = [bits(t) for t in columns[1]]
-            return [columns[0], found if lanes > 1 else [f[0] for f in found]]
-
-        return step
+        return lambda columns: [columns[0], [bits(t) for t in columns[1]]]
 
     kind = dict(rows.dtypes)["key"]
-    out = "bigint" if lanes == 1 else "array<bigint>"
-    return map_arrow(rows, f"key {kind}, fingerprint {out}", start).select(F.col("key").alias(key), "fingerprint")
+    return map_arrow(rows, f"key {kind}, fingerprint bigint", start).select(F.col("key").alias(key), "fingerprint")
+
+
+def _shingle_set(text: str, shingle: int) -> np.ndarray:
+    """The distinct hashes of the text's shingles, sorted; empty without words."""
+    return np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *_hashed(text, shingle)]))
+
+
+def _set_prints(rows: DataFrame, shingle: int, lanes: int) -> DataFrame:
+    """(key, at, fp) of the rows (key, at, text).
+
+    ``fp`` is of the set of distinct shingles: 64 bits a lane, the set's size and a hash of the set.
+    """
+
+    def start():
+        from xxhash import xxh64_intdigest
+
+        def made(t: str) -> dict:
+            found = whole = _shingle_set(t, shingle)
+            bits = []
+            for _ in range(lanes):
+                counts = sum((_bit_counts(found[a : a + HASHES]) for a in range(0, len(found), HASHES)), np.zeros(BITS))
+                bits.append(_majority(counts, len(found)))
+                found = _remixed(found)
+            return {"bits": bits, "size": len(whole), "mark": _signed(xxh64_intdigest(whole.tobytes()))}
+
+        return lambda columns: [*columns[:2], [made(t) for t in columns[2]]]
+
+    kinds = dict(rows.dtypes)
+    out = f"key {kinds['key']}, at {kinds['at']}, fp struct<bits: array<bigint>, size: bigint, mark: bigint>"
+    return map_arrow(rows, out, start)
+
+
+def _sets(rows: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, set) of ``nodes`` (node, at): the shingle hashes of the row of ``rows`` (at, text) it names."""
+    texts = rows.select("at", "text").join(nodes, "at").select("node", "text")
+
+    def start():
+        return lambda columns: [columns[0], [_shingle_set(t, shingle).view(np.int64) for t in columns[1]]]
+
+    return map_arrow(texts, "node bigint, set array<bigint>", start).dropDuplicates(["node"])
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose sets have a Jaccard similarity of at least ``similarity``."""
+    left = sets.select(F.col("node").alias("a"), F.col("set").alias("set"))
+    right = sets.select(F.col("node").alias("b"), F.col("set").alias("set2"))
+    both = pairs.join(left, "a").join(right, "b")
+    both = both.withColumn("shared", F.size(F.array_intersect("set", "set2")))
+    union = F.size("set") + F.size("set2") - F.col("shared")
+    return both.where(F.col("shared") >= F.lit(similarity) * union).select("a", "b")
 
 
 def block_masks(distance: int, blocks: int) -> list[int]:
@@ -104,32 +159,86 @@ def _close(distance: int) -> Column:
     return F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= distance
 
 
-def _linked(values: DataFrame, blocks: Column, close: Column) -> DataFrame:
-    """(node, group) of ``values`` (node bigint, fp, n: its rows): group is the smallest node linked.
+def _stars(values: DataFrame, blocks: Column, close: Column) -> DataFrame:
+    """(node, node2, n2) of ``values`` (node bigint, fp, n: its rows): node2 heads a block of node and is ``close``.
 
-    ``blocks`` are a row's keys: rows that share one and are ``close`` are linked.
+    ``blocks`` are a row's keys; a block's most frequent row heads it.
     """
     keyed = values.withColumn("block", F.explode(blocks))
     heads = keyed.groupBy("block").agg(F.max(F.struct("n", "node", "fp")).alias("head"), F.count("*").alias("size"))
-    heads = heads.where("size > 1").select("block", F.col("head.node").alias("node2"), F.col("head.fp").alias("fp2"))
+    heads = heads.where("size > 1").select(
+        "block", F.col("head.n").alias("n2"), F.col("head.node").alias("node2"), F.col("head.fp").alias("fp2")
+    )
     stars = keyed.join(heads, "block").where((F.col("node") != F.col("node2")) & close)
-    first = connected(stars.select(F.col("node").alias("a"), F.col("node2").alias("b")))
-    grouped = values.select("node", "fp").join(first, "node", "left")
-    grouped = pin(grouped.select("node", "fp", F.coalesce("component", "node").alias("group")), "groups")
+    return stars.select("node", "node2", "n2")
+
 
-    # two close fingerprints of different groups share a block, and one is not of its largest group
-    keyed = grouped.select("fp", "group").withColumn("block", F.explode(blocks))
+def _across(grouped: DataFrame, blocks: Column, close: Column) -> DataFrame:
+    """(node, group, node2, group2) of the ``close`` rows of ``grouped`` (node, fp, group) that share a block, not a group.
+
+    Of two groups in a block one is not its largest, so the others are joined with all.
+    """
+    keyed = grouped.select("node", "fp", "group").withColumn("block", F.explode(blocks))
     sizes = keyed.groupBy("block", "group").agg(F.count("*").alias("size"))
     main = sizes.groupBy("block").agg(F.max(F.struct("size", "group")).alias("main"), F.count("*").alias("groups"))
     main = main.where("groups > 1").select("block", F.col("main.group").alias("main"))
     rest = keyed.join(main, "block").where("group <> main")
-    rest = rest.select("block", F.col("fp").alias("fp2"), F.col("group").alias("group2"))
+    rest = rest.select("block", F.col("node").alias("node2"), F.col("fp").alias("fp2"), F.col("group").alias("group2"))
     pairs = rest.join(keyed, "block").where((F.col("group2") != F.col("group")) & close)
-    second = connected(pairs.select(F.col("group2").alias("a"), F.col("group").alias("b")))
-    final = grouped.select("node", "group").join(second.withColumnRenamed("node", "group"), "group", "left")
+    return pairs.select("node", "group", "node2", "group2")
+
+
+def _grouped(values: DataFrame, components: DataFrame) -> DataFrame:
+    """(node, fp, group) of ``values``: its component, or itself."""
+    found = values.select("node", "fp").join(components, "node", "left")
+    return pin(found.select("node", "fp", F.coalesce("component", "node").alias("group")), "groups")
+
+
+def _regrouped(grouped: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, group) after groups joined by ``edges`` (a, b) have become one."""
+    merged = connected(edges).withColumnRenamed("node", "group")
+    final = grouped.select("node", "group").join(merged, "group", "left")
     return final.select("node", F.coalesce("component", "group").alias("group"))
 
 
+def _linked(values: DataFrame, blocks: Column, close: Column) -> DataFrame:
+    """(node, group) of ``values``: rows that share a block and are ``close`` are linked; group is the smallest node."""
+    stars = _stars(values, blocks, close)
+    grouped = _grouped(values, connected(stars.select(F.col("node").alias("a"), F.col("node2").alias("b"))))
+    pairs = _across(grouped, blocks, close)
+    return _regrouped(grouped, pairs.select(F.col("group2").alias("a"), F.col("group").alias("b")))
+
+
+def _verified(
+    values: DataFrame, blocks: Column, close: Column, sets: Callable[[DataFrame], DataFrame], similarity: float
+) -> DataFrame:
+    """As ``_linked``, but of the pairs that share a block and are ``close`` only those that ``_alike`` keeps link.
+
+    ``sets`` gives (node, set) of the nodes (node) it is asked for. A row is first held against the
+    most frequent of its heads, then against one head of each other group; what is left in different
+    groups is compared pair by pair, so groups of copies need few comparisons and no pair is left out.
+    """
+    stars = pin(_stars(values, blocks, close).distinct(), "stars")
+    known = pin(sets(stars.select("node").union(stars.select("node2")).distinct()), "sets")
+    best = F.max(F.struct("n2", "node2")).alias("head")
+    once = stars.groupBy("node").agg(best).select(F.col("node").alias("a"), F.col("head.node2").alias("b"))
+    links = pin(_alike(once, known, similarity), "links")
+    group = _grouped(values, connected(links)).select("node", "group")
+    other = group.select(F.col("node").alias("node2"), F.col("group").alias("group2"))
+    left = stars.join(group, "node").join(other, "node2").where("group <> group2").groupBy("node", "group2").agg(best)
+    more = left.select(F.col("node").alias("a"), F.col("head.node2").alias("b"))
+    links = pin(links.unionByName(_alike(more, known, similarity)), "links")
+    grouped = _grouped(values, connected(links))
+    pairs = _across(grouped, blocks, close)
+    pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+    pairs = pin(pairs.distinct(), "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    links = _alike(pairs, pin(sets(nodes), "sets"), similarity)
+    names = grouped.select(F.col("node").alias("b"), F.col("group").alias("to"))
+    links = links.join(grouped.select(F.col("node").alias("a"), "group"), "a").join(names, "b")
+    return _regrouped(grouped, links.select(F.col("group").alias("a"), F.col("to").alias("b")))
+
+
 def linked(values: DataFrame, distance: int, blocks: int | None = None) -> DataFrame:
     """(fp, group) of the distinct fingerprints ``values`` (fp bigint, n: its rows).
 
@@ -169,26 +278,35 @@ def similar_groups(
 ) -> DataFrame:
     """``key`` and ``component`` of every row: texts of at least ``similarity`` are linked.
 
-    For links wider than a few bits no blocks are both sure and selective. Here the fingerprint has
-    64 bits per lane, a block is a random choice of bits, and a pair that shares one is linked if it
-    differs in no more bits than texts of ``similarity`` (Jaccard, of shingles) are expected to. A
-    pair just at ``similarity`` shares a block with probability ``recall``, a closer one more likely.
-    Otherwise as ``near_groups``.
+    ``similarity`` is the Jaccard similarity of the sets of shingles. For links wider than a few bits
+    no blocks are both sure and selective. Here the fingerprint, of the distinct shingles, has 64 bits
+    per lane and a block is a random choice of bits. A pair that shares one and differs in no more
+    bits than SPREAD standard deviations over what texts of ``similarity`` are expected to is a
+    candidate, and it is linked if the sets themselves are that similar: no other pair is. A pair just
+    at ``similarity`` shares a block with probability ``recall``, a closer one more likely.
+    Texts with the same set are one. Otherwise as ``near_groups``.
     """
-    rows = fingerprints(docs, key, text, shingle, lanes).select(F.col(key).alias("key"), F.col("fingerprint").alias("fp"))
-    rows = pin(rows, "fingerprints")
-    values = rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("key").alias("least"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(key).alias("key"), F.struct(F.col(key).alias("key"), F.xxhash64(whole).alias("body")).alias("at"), whole.alias("text"))
+    prints = pin(_set_prints(rows, shingle, lanes), "fingerprints")
+    values = prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("key").alias("least"), F.min("at").alias("at"))
     values = pin(values.withColumn("node", F.monotonically_increasing_id()), "values")
     masks = sampled_masks(values.count(), similarity, recall, lanes)
-    parts = [[F.col("fp")[lane].bitwiseAND(F.lit(m)) for lane, m in enumerate(mask)] for mask in masks]
+    parts = [[F.col("fp.bits")[lane].bitwiseAND(F.lit(m)) for lane, m in enumerate(mask)] for mask in masks]
     keys = F.array(*[F.xxhash64(F.lit(i), *part) for i, part in enumerate(parts)])
-    apart = sum(F.bit_count(F.col("fp")[lane].bitwiseXOR(F.col("fp2")[lane])) for lane in range(lanes))
-    close = apart <= round(BITS * lanes * share_apart(similarity))
-    groups = _linked(values.select("node", "fp", "n"), keys, close)
+    apart = sum(F.bit_count(F.col("fp.bits")[lane].bitwiseXOR(F.col("fp2.bits")[lane])) for lane in range(lanes))
+    share, width = share_apart(similarity), BITS * lanes
+    most = math.ceil(width * share + SPREAD * math.sqrt(width * share * (1 - share)))
+    sizes = F.least("fp.size", "fp2.size") >= F.lit(similarity) * F.greatest("fp.size", "fp2.size")
+    named = values.select("node", "at")
+    groups = _verified(
+        values.select("node", "fp", "n"), keys, (apart <= most) & sizes,
+        lambda nodes: _sets(rows, named.join(nodes, "node"), shingle), similarity,
+    )
     groups = pin(values.select("node", "fp", "least").join(groups, "node"), "groups")
     names = groups.groupBy("group").agg(F.min("least").alias("component"))
-    named = groups.join(names, "group").select("fp", "component")
-    return rows.join(named, "fp").select(F.col("key").alias(key), "component")
+    found = groups.join(names, "group").select("fp", "component")
+    return prints.join(found, "fp").select(F.col("key").alias(key), "component")
 
 
 def keep_one(docs: DataFrame, text: str, order: str, **options) -> DataFrame:

@@ -119,3 +119,33 @@ def test_empty_documents(spark):
     for _, stage in pipeline.STAGES:
         docs = pin(stage(spark, docs, SF))
         assert docs.count() == 0
+
+
+def edited_pairs(count, words, changed):
+    """Pairs of texts, the second with ``changed`` single words replaced far from each other, and their similarity."""
+    out = []
+    for i in range(count):
+        text = [f"w{i}x{j}" for j in range(words)]
+        other = [f"e{i}" if j % (words // changed) == words // changed // 2 and j // (words // changed) < changed else w for j, w in enumerate(text)]
+        out.append((" ".join(text), " ".join(other), jaccard(shingles(" ".join(text)), shingles(" ".join(other)))))
+    return out
+
+
+@pytest.mark.parametrize("changed, low, high", [(3, 0.86, 0.9), (5, 0.8, 0.81), (6, 0.75, 0.8)])
+def test_links_are_similar_sets(spark, changed, low, high):
+    pairs = edited_pairs(100, 240, changed)
+    assert all(low <= j < high for _, _, j in pairs)
+    data = [(2 * i + k, p[k], "x", "en", len(p[k])) for i, p in enumerate(pairs) for k in (0, 1)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, lang string, n_chars long")
+    kept = {r.doc_id for r in pipeline.near_stage(spark, docs, SF).collect()}
+    linked = sum(2 * i + 1 not in kept for i in range(len(pairs)))
+    assert all(2 * i in kept for i in range(len(pairs)))
+    assert linked >= 80 if low >= 0.8 else linked == 0
+
+
+def test_repeats_do_not_hide_a_copy(spark):
+    """Similarity is of sets: a passage repeated many times is one."""
+    text, passage = " ".join(f"w{j}" for j in range(240)), " ".join(f"p{j}" for j in range(40))
+    data = [(1, f"{text} {passage}", 0), (2, f"{text} " + f"{passage} " * 30, 0)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, n_chars long")
+    assert [r.doc_id for r in pipeline.near_stage(spark, docs, SF).collect()] == [1]
