@@ -23,7 +23,9 @@ BITS = 64
 #: Hashes of one text that are turned into bits at once.
 HASHES = 1 << 18
 #: Standard deviations over the expected distance up to which a pair is a candidate.
-SPREAD = 3
+SPREAD = 4
+#: Smallest hashes that make the key of a block of sets, and hashes that are reordered at once.
+MINIMA, CHUNK = 4, 4096
 
 
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -93,28 +95,43 @@ def _shingle_set(text: str, shingle: int) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *_hashed(text, shingle)]))
 
 
-def _set_prints(rows: DataFrame, shingle: int, lanes: int) -> DataFrame:
-    """(key, at, fp) of the rows (key, at, text).
+def _minima(hashes: np.ndarray, count: int, seed: int = 3) -> np.ndarray:
+    """The smallest of the hashes under each of ``count`` reorderings."""
+    rng = np.random.default_rng(seed)
+    flips, factors = rng.integers(0, 1 << 63, (2, count, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(count, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for a in range(0, len(hashes), CHUNK):
+        mixed = (hashes[a : a + CHUNK] ^ flips) * factors
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=1))
+    return least
+
 
-    ``fp`` is of the set of distinct shingles: 64 bits a lane, the set's size and a hash of the set.
+def _set_prints(rows: DataFrame, shingle: int, lanes: int, blocks: int) -> DataFrame:
+    """(key, at, mark, size, bits, blocks) of the rows (key, at, text), all of the set of distinct shingles.
+
+    A hash of the set, its size, the fingerprint of 64 bits a lane, and the keys of its blocks: each
+    is of the MINIMA smallest hashes under as many reorderings, so that two sets share a key with
+    probability Jaccard similarity to the power of MINIMA, whatever the number of rows.
     """
 
     def start():
         from xxhash import xxh64_intdigest
 
-        def made(t: str) -> dict:
+        def made(t: str) -> tuple:
             found = whole = _shingle_set(t, shingle)
             bits = []
             for _ in range(lanes):
                 counts = sum((_bit_counts(found[a : a + HASHES]) for a in range(0, len(found), HASHES)), np.zeros(BITS))
                 bits.append(_majority(counts, len(found)))
                 found = _remixed(found)
-            return {"bits": bits, "size": len(whole), "mark": _signed(xxh64_intdigest(whole.tobytes()))}
+            least = _minima(whole, blocks * MINIMA).reshape(blocks, MINIMA)
+            keys = [_signed(xxh64_intdigest(row.tobytes(), i)) for i, row in enumerate(least)]
+            return _signed(xxh64_intdigest(whole.tobytes())), len(whole), bits, keys
 
-        return lambda columns: [*columns[:2], [made(t) for t in columns[2]]]
+        return lambda columns: [*columns[:2], *map(list, zip(*[made(t) for t in columns[2]]))]
 
     kinds = dict(rows.dtypes)
-    out = f"key {kinds['key']}, at {kinds['at']}, fp struct<bits: array<bigint>, size: bigint, mark: bigint>"
+    out = f"key {kinds['key']}, at {kinds['at']}, mark bigint, size bigint, bits array<bigint>, blocks array<bigint>"
     return map_arrow(rows, out, start)
 
 
@@ -164,7 +181,7 @@ def _stars(values: DataFrame, blocks: Column, close: Column) -> DataFrame:
 
     ``blocks`` are a row's keys; a block's most frequent row heads it.
     """
-    keyed = values.withColumn("block", F.explode(blocks))
+    keyed = values.select("node", "fp", "n", F.explode(blocks).alias("block"))
     heads = keyed.groupBy("block").agg(F.max(F.struct("n", "node", "fp")).alias("head"), F.count("*").alias("size"))
     heads = heads.where("size > 1").select(
         "block", F.col("head.n").alias("n2"), F.col("head.node").alias("node2"), F.col("head.fp").alias("fp2")
@@ -178,7 +195,7 @@ def _across(grouped: DataFrame, blocks: Column, close: Column) -> DataFrame:
 
     Of two groups in a block one is not its largest, so the others are joined with all.
     """
-    keyed = grouped.select("node", "fp", "group").withColumn("block", F.explode(blocks))
+    keyed = grouped.select("node", "fp", "group", F.explode(blocks).alias("block"))
     sizes = keyed.groupBy("block", "group").agg(F.count("*").alias("size"))
     main = sizes.groupBy("block").agg(F.max(F.struct("size", "group")).alias("main"), F.count("*").alias("groups"))
     main = main.where("groups > 1").select("block", F.col("main.group").alias("main"))
@@ -210,15 +227,15 @@ def _linked(values: DataFrame, blocks: Column, close: Column) -> DataFrame:
 
 
 def _verified(
-    values: DataFrame, blocks: Column, close: Column, sets: Callable[[DataFrame], DataFrame], similarity: float
+    values: DataFrame, close: Column, sets: Callable[[DataFrame], DataFrame], similarity: float
 ) -> DataFrame:
-    """As ``_linked``, but of the pairs that share a block and are ``close`` only those that ``_alike`` keeps link.
+    """As ``_linked`` by the column ``blocks``, but of the pairs that share a block and are ``close`` only those that ``_alike`` keeps link.
 
     ``sets`` gives (node, set) of the nodes (node) it is asked for. A row is first held against the
     most frequent of its heads, then against one head of each other group; what is left in different
     groups is compared pair by pair, so groups of copies need few comparisons and no pair is left out.
     """
-    stars = pin(_stars(values, blocks, close).distinct(), "stars")
+    stars = pin(_stars(values, F.col("blocks"), close).distinct(), "stars")
     known = pin(sets(stars.select("node").union(stars.select("node2")).distinct()), "sets")
     best = F.max(F.struct("n2", "node2")).alias("head")
     once = stars.groupBy("node").agg(best).select(F.col("node").alias("a"), F.col("head.node2").alias("b"))
@@ -229,7 +246,7 @@ def _verified(
     more = left.select(F.col("node").alias("a"), F.col("head.node2").alias("b"))
     links = pin(links.unionByName(_alike(more, known, similarity)), "links")
     grouped = _grouped(values, connected(links))
-    pairs = _across(grouped, blocks, close)
+    pairs = _across(grouped.join(values.select("node", "blocks"), "node"), F.col("blocks"), close)
     pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
     pairs = pin(pairs.distinct(), "pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -257,56 +274,47 @@ def share_apart(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def sampled_masks(rows: int, similarity: float, recall: float, lanes: int, seed: int = 3) -> list[list[int]]:
-    """Masks of randomly chosen bits, one per lane in each choice.
-
-    A choice has so many bits that there are as many blocks as rows, and there are so many choices that
-    a pair of that similarity shares one with probability ``recall``.
-    """
-    chosen = max(12, math.ceil(math.log2(rows + 1)))
-    count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share_apart(similarity)) ** chosen))
-    rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(count):
-        bits = rng.permutation(BITS * lanes)[:chosen].tolist()
-        out.append([_signed(sum(1 << b % BITS for b in bits if b // BITS == lane)) for lane in range(lanes)])
-    return out
+def block_total(similarity: float, recall: float) -> int:
+    """How many blocks a pair of that Jaccard similarity needs to share one with probability ``recall``."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**MINIMA))
 
 
 def similar_groups(
-    docs: DataFrame, key: str, text: str, shingle: int = 5, similarity: float = 0.8, recall: float = 0.9, lanes: int = 2
+    docs: DataFrame, key: str, text: str, shingle: int = 5, similarity: float = 0.8, recall: float = 0.999, lanes: int = 2
 ) -> DataFrame:
     """``key`` and ``component`` of every row: texts of at least ``similarity`` are linked.
 
     ``similarity`` is the Jaccard similarity of the sets of shingles. For links wider than a few bits
-    no blocks are both sure and selective. Here the fingerprint, of the distinct shingles, has 64 bits
-    per lane and a block is a random choice of bits. A pair that shares one and differs in no more
-    bits than SPREAD standard deviations over what texts of ``similarity`` are expected to is a
-    candidate, and it is linked if the sets themselves are that similar: no other pair is. A pair just
-    at ``similarity`` shares a block with probability ``recall``, a closer one more likely.
-    Texts with the same set are one. Otherwise as ``near_groups``.
+    no blocks of bits are both sure and selective, so blocks are of the sets' smallest hashes. A pair
+    that shares one and whose fingerprints, of 64 bits a lane, differ in no more than SPREAD standard
+    deviations over what texts of ``similarity`` are expected to is a candidate, and it is linked if
+    the sets themselves are that similar: no other pair is. A pair just at ``similarity`` shares a
+    block with probability ``recall``, a closer one more likely. Texts with the same set are one.
+    Otherwise as ``near_groups``.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("key"), F.struct(F.col(key).alias("key"), F.xxhash64(whole).alias("body")).alias("at"), whole.alias("text"))
-    prints = pin(_set_prints(rows, shingle, lanes), "fingerprints")
-    values = prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("key").alias("least"), F.min("at").alias("at"))
+    at = F.struct(F.col(key).alias("key"), F.xxhash64(whole).alias("body")).alias("at")
+    rows = docs.select(F.col(key).alias("key"), at, whole.alias("text"))
+    prints = pin(_set_prints(rows, shingle, lanes, block_total(similarity, recall)), "fingerprints")
+    parts = [F.col("bits")[lane].alias(f"lane{lane}") for lane in range(lanes)]
+    alone = prints.groupBy("mark", "size", "bits", "blocks").agg(
+        F.count("*").alias("n"), F.min("key").alias("least"), F.min("at").alias("at")
+    )
+    values = alone.select("mark", "least", "at", "n", "blocks", F.struct("size", *parts).alias("fp"))
     values = pin(values.withColumn("node", F.monotonically_increasing_id()), "values")
-    masks = sampled_masks(values.count(), similarity, recall, lanes)
-    parts = [[F.col("fp.bits")[lane].bitwiseAND(F.lit(m)) for lane, m in enumerate(mask)] for mask in masks]
-    keys = F.array(*[F.xxhash64(F.lit(i), *part) for i, part in enumerate(parts)])
-    apart = sum(F.bit_count(F.col("fp.bits")[lane].bitwiseXOR(F.col("fp2.bits")[lane])) for lane in range(lanes))
+    apart = sum(F.bit_count(F.col(f"fp.lane{i}").bitwiseXOR(F.col(f"fp2.lane{i}"))) for i in range(lanes))
     share, width = share_apart(similarity), BITS * lanes
     most = math.ceil(width * share + SPREAD * math.sqrt(width * share * (1 - share)))
     sizes = F.least("fp.size", "fp2.size") >= F.lit(similarity) * F.greatest("fp.size", "fp2.size")
     named = values.select("node", "at")
     groups = _verified(
-        values.select("node", "fp", "n"), keys, (apart <= most) & sizes,
+        values.select("node", "fp", "n", "blocks"), (apart <= most) & sizes,
         lambda nodes: _sets(rows, named.join(nodes, "node"), shingle), similarity,
     )
-    groups = pin(values.select("node", "fp", "least").join(groups, "node"), "groups")
+    groups = pin(values.select("node", "mark", F.col("fp.size").alias("size"), "least").join(groups, "node"), "groups")
     names = groups.groupBy("group").agg(F.min("least").alias("component"))
-    found = groups.join(names, "group").select("fp", "component")
-    return prints.join(found, "fp").select(F.col("key").alias(key), "component")
+    found = groups.join(names, "group").select("mark", "size", "component")
+    return prints.select("key", "mark", "size").join(found, ["mark", "size"]).select(F.col("key").alias(key), "component")
 
 
 def keep_one(docs: DataFrame, text: str, order: str, **options) -> DataFrame:
