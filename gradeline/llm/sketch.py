@@ -2,15 +2,16 @@
 
 A sketch keeps every distinct shingle hash below a fixed fraction of the hash range, and the smallest
 hash whatever it is. Two sketches merge by union (``merged``); as the fraction is fixed, the share of
-one sketch found in another estimates containment, however unequal the documents are.
+one sketch found in another estimates containment, however unequal the documents are. A smallest hash
+above the fraction takes no part in that: the other sketch would hold it by chance only.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: One hash in so many is kept.
-SCALE = 16
+#: One hash in so many is kept. With 1 all are, and every share is exact: most texts are too short for less.
+SCALE = 1
 SHINGLE = 5
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Rows of a bucket that ``followed`` aims at, segments of equal counts, and the most buckets.
@@ -43,10 +44,16 @@ def merged(sketch: Column, other: Column, scale: int = SCALE) -> Column:
     return F.filter(both, lambda h, i: (h <= _limit(scale)) | (i == 0))
 
 
-def containment(sketch: Column, other: Column) -> Column:
-    """Estimated share (0 to 1) of the first's shingles that the second has; an empty first: 1 if both are."""
-    share = F.size(F.array_intersect(sketch, other)) / F.size(sketch)
-    return F.when(F.size(sketch) > 0, share).otherwise((F.size(other) == 0).cast("double"))
+def containment(sketch: Column, other: Column, scale: int = SCALE) -> Column:
+    """Estimated share (0 to 1) of the first's shingles that the second has; an empty first: 1 if both are.
+
+    Of the hashes below the limit. A first with none is judged by its smallest hash alone: 1 if the
+    second has it, 0 if the second is empty, else NULL, as nothing is known.
+    """
+    below = F.filter(sketch, lambda h: h <= _limit(scale))
+    share = F.size(F.array_intersect(below, other)) / F.size(below)
+    lone = F.when(F.arrays_overlap(sketch, other), 1.0).when(F.size(other) == 0, 0.0)
+    return F.when(F.size(below) > 0, share).when(F.size(sketch) > 0, lone).otherwise((F.size(other) == 0).cast("double"))
 
 
 def resemblance(sketch: Column, other: Column) -> Column:
@@ -114,13 +121,13 @@ def edited_sketches(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE
     Rows with equal keys and texts stay; no other column is read, whatever it is called.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = sketched(rows, "text", "sketch", shingle, scale).withColumn("tie", F.xxhash64("text"))
-    carry = F.struct(F.col("text").alias("text"), F.col("sketch").alias("sketch"))
-    rows = followed(rows, "key", "tie", carry, "next").withColumn("n_chars", F.length("text").cast("bigint"))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    # sketches are made where the texts have met: they would be the larger part of what moves
+    rows = followed(rows, "key", "tie", F.col("text"), "next").withColumn("n_chars", F.length("text").cast("bigint"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    edited = F.concat(F.left("text", F.col("n_chars").cast("int") - half), F.left("next.text", half))
-    rows = sketched(rows.withColumn("edited", edited), "edited", "edited_sketch", shingle, scale)
+    rows = rows.withColumn("edited", F.concat(F.left("text", F.col("n_chars").cast("int") - half), F.left("next", half)))
+    for column, name in (("text", "sketch"), ("edited", "edited_sketch"), ("next", "next_sketch")):
+        rows = sketched(rows, column, name, shingle, scale)
     return rows.select(
-        F.col("key").alias(key), "n_chars", "text", "sketch", "edited", "edited_sketch",
-        F.col("next.sketch").alias("next_sketch"),
+        F.col("key").alias(key), "n_chars", "text", "sketch", "edited", "edited_sketch", "next_sketch"
     )

@@ -142,3 +142,28 @@ def test_vectors(spark):
             expected += [(q, n + 1, k, -s) for n, (s, k) in enumerate(sorted(scored)[:3])]
     assert sorted(tuple(r) for r in got) == sorted(expected)
     assert topk.top_k(df.limit(0), "vec_id", "embedding", every=20).collect() == []
+
+
+def test_containment_by_length(spark):
+    """A passage inside a long text, and half of a text of any length."""
+    words = [f"w{i}" for i in range(4000)]
+    data = [(f"{n}@{a}", " ".join(words), " ".join(words[a : a + n]), 1.0) for n in (5, 14, 34, 54) for a in range(0, 3900, 150)]
+    data += [
+        (f"half {n}@{a}", " ".join(words[a : a + n] + words[3000:]), " ".join(words[a : a + 2 * n]), (n - 4) / (2 * n - 4))
+        for n in (10, 30, 75) for a in range(0, 2000, 100)
+    ]
+    df = spark.createDataFrame(data, "id string, a string, b string, share double")
+    for name in "ab":
+        df = sketch.sketched(df, name, f"s{name}")
+    rows = df.select("id", "share", sketch.containment(df.sb, df.sa).alias("found")).collect()
+    assert [r for r in rows if r.found is None or abs(r.found - r.share) > 0.1] == []
+
+
+def test_smallest_hash_takes_no_part_in_containment(spark):
+    words = [f"w{i}" for i in range(4000)]
+    data = [(i, " ".join(words), " ".join(words[i : i + 8])) for i in range(0, 3900, 100)]
+    df = spark.createDataFrame(data, "id int, a string, b string")
+    for name in "ab":
+        df = sketch.sketched(df, name, f"s{name}", scale=16)
+    found = [r.found for r in df.select(sketch.containment(df.sb, df.sa, 16).alias("found")).collect()]
+    assert set(found) <= {None, 1.0} and None in found
