@@ -34,6 +34,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _CODE = np.full(128, len(ALPHABET), dtype=np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 WIDTH = len(ALPHABET) + 2  # one for all else, one for the start
+#: Times that the models are fitted at most.
+REFITS = 10
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -69,15 +71,25 @@ class Ratio:
     def __init__(self, random: list[str], ordinary: list[str], smooth: float = 0.5, margin: float = 0.3):
         """Fit both models by smoothed transition counts.
 
-        ``margin`` places the threshold between the highest score of the ordinary and the lowest of
-        the random samples' middle 98 %. With no sample of either kind nothing is ever flagged.
+        Ordinary samples that score as random, closer to the random samples' middle than to the
+        ordinary ones', are unlabelled tokens: both models are fitted again without them, until none
+        is left. ``margin`` places the threshold between the 0.999 quantile of the ordinary scores
+        and the lowest of the random samples' middle 98 %. With no sample of either kind nothing is
+        ever flagged.
         """
-        self.table = self._log(random, smooth) - self._log(ordinary, smooth)
         self.threshold = float("inf")
-        if random and ordinary:
-            low, high = np.quantile(self.scores(random), 0.01), np.quantile(self.scores(ordinary), 0.999)
-            top = max(high, self.scores(ordinary).max())
-            self.threshold = float(top + margin * (low - top)) if low > top else float(top)
+        for _ in range(REFITS):
+            self.table = self._log(random, smooth) - self._log(ordinary, smooth)
+            if not (random and ordinary):
+                return
+            scores, drawn = self.scores(ordinary), self.scores(random)
+            middle = (np.median(scores) + np.median(drawn)) / 2
+            clean = [w for w, score in zip(ordinary, scores.tolist()) if score <= middle]
+            if len(clean) == len(ordinary):
+                break
+            ordinary = clean
+        low, high = np.quantile(self.scores(random), 0.01), np.quantile(self.scores(ordinary), 0.999)
+        self.threshold = float(high + margin * (low - high)) if low > high else float(high)
 
     @staticmethod
     def _log(strings: list[str], smooth: float) -> np.ndarray:

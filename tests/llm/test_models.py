@@ -115,3 +115,19 @@ def test_tagger_learns_and_reconciles_windows(spark):
         moved = "x" * shift + " from +1 (212) 555-0147 to"
         spans = [(a, b) for k, a, b in model.tag([moved])[0] if k == "phone"]
         assert (shift + 6, shift + 23) in spans or pii.base_spans(moved)
+
+
+@pytest.mark.parametrize("bare", [0, 5, 20])
+def test_bare_tokens_among_ordinary_samples(spark, bare):
+    import random
+    import string
+
+    rng, docs = random.Random(5), spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labelled, ordinary = secrets.samples(docs, "text", queries.SECRET_SAMPLE)
+
+    def token():
+        return "x" + "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(31))
+
+    model = secrets.Ratio(labelled, ordinary + [token() for _ in range(bare)])
+    assert np.mean(model.scores([token() for _ in range(500)]) > model.threshold) > 0.8
+    assert np.mean(model.scores([w for w in ordinary if len(w) >= 16] or ["internationalization"]) > model.threshold) < 0.01
