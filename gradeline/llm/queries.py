@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gradeline.llm import bpe, language, lines, packing, pii, secrets, simhash, sketch, topk, toxicity
+from gradeline.llm import bisector, bpe, compression, language, lines, packing, pii, runs, secrets, simhash, sketch, topk, toxicity
 from gradeline.llm.common import fold, table
 
 
@@ -178,6 +178,86 @@ WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
 QUALIFY row_number() OVER best <= 20
 """
 
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = runs.periodic_runs(docs, "doc_id", "text", least=6, exponent=4, edit=runs.repeat_tail)
+    order = lambda r: F.struct((-r.length).alias("length"), r.start.alias("start"), r.period.alias("period"))
+    best = F.array_min(F.transform("runs", order))
+    line = lambda r: F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string"))
+    listed = F.concat_ws("", F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        (-F.col("best.length")).alias("length"),
+        "best.period",
+        F.expr("1000 * -best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compression.judge_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"), (~failed & F.col("in_bands")).alias("kept"), "ratio", "outside",
+    )
+
+
+#: Clusters and rounds of the centroid clustering.
+CLUSTERS, ROUNDS = 8, 10
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bisector.cluster(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", k=CLUSTERS, rounds=ROUNDS)
+    centroid = F.array_join(F.col("centroid").cast("array<string>"), ",")
+    return found.select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(centroid, 256).alias("centroid_sha256")
+    )
+
+
+def _op13_sql() -> str:
+    """The rounds one after the other: centroids c0, c1, ... and the assignments a0, a1, ... to them."""
+    assigned = """a{0} AS MATERIALIZED (
+  SELECT r, vec_id, v, arg_min(cluster, (distance, cluster)) AS cluster, min(distance) AS distance FROM (
+    SELECT r, vec_id, v, cluster,
+      CAST(list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS BIGINT) AS distance
+    FROM kept, c{0}
+  ) GROUP BY r, vec_id, v
+)"""
+    moved = """c{1} AS MATERIALIZED (
+  SELECT cluster, coalesce(m.c, o.c) AS c FROM c{0} o LEFT JOIN (
+    SELECT cluster, list(mean ORDER BY i) AS c FROM (
+      SELECT cluster, i, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS mean
+      FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{0}) GROUP BY cluster, i
+    ) GROUP BY cluster
+  ) m USING (cluster)
+)"""
+    steps = [part.format(i, i + 1) for i in range(ROUNDS) for part in (assigned, moved)]
+    steps.append(assigned.format(ROUNDS))
+    body = ",\n".join(steps)
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id,
+    list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS INTEGER) AS cluster, v AS c
+  FROM kept WHERE vec_id IS NOT NULL QUALIFY cluster < {CLUSTERS}
+),
+{body}
+SELECT vec_id, cluster, distance,
+  CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{ROUNDS} JOIN c{ROUNDS} USING (cluster)
+"""
+
+
 QUERIES = {
     "op1_language_id": (op1_language_id, None),
     "op2_scaled_sketch": (op2_scaled_sketch, None),
@@ -189,4 +269,7 @@ QUERIES = {
     "op7_toxicity": (op7_toxicity, None),
     "op9_packing": (op9_packing, None),
     "op10_top_k": (op10_top_k, OP10_SQL),
+    "op11_periodic_runs": (op11_periodic_runs, None),
+    "op12_quality_rules": (op12_quality_rules, None),
+    "op13_centroid_clusters": (op13_centroid_clusters, _op13_sql()),
 }
