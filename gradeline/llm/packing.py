@@ -20,8 +20,10 @@ from gradeline.session import pin
 
 #: A rest is cut at multiples of so many ids, whose running checksums its row carries.
 GRID = 16
-#: Documents of a shard, terms of a query, and the BM25 constants.
-SHARD, QUERY_TERMS, K1, B = 2048, 24, 1.2, 0.75
+#: Documents of a shard, and the BM25 constants.
+SHARD, K1, B = 2048, 1.2, 0.75
+#: A term in more than one in so many of a shard's documents has a weight for each instead of postings.
+OFTEN = 16
 #: Distinct pieces and words whose ids a task remembers before it starts anew.
 PIECES_KEPT, WORDS_KEPT = 600_000, 600_000
 #: What a word's last token ends with in such a vocabulary, and the marks split off its end here.
@@ -206,25 +208,36 @@ def _crc(marks: np.ndarray, a: int, b: int, size: int) -> int:
 
 
 class _Index:
-    """Inverted index of a shard: postings (document, weight) by term."""
+    """Inverted index of a shard: postings (document, weight) by term; frequent terms as whole rows."""
 
     def __init__(self, rows: list[dict], weights: Weights):
-        terms = [np.frombuffer(r["terms"], dtype="<u4") for r in rows]
-        scored = [weights.of(t, np.frombuffer(r["counts"], dtype="<u4"), r["n_ids"]) for t, r in zip(terms, rows)]
+        self.query = [np.frombuffer(r["terms"], dtype="<u4") for r in rows]
+        counts = [np.frombuffer(r["counts"], dtype="<u4") for r in rows]
+        scored = [weights.of(t, c, r["n_ids"]) for t, c, r in zip(self.query, counts, rows)]
         self.n = len(rows)
-        self.query = [t[np.argsort(-s, kind="stable")[:QUERY_TERMS]] for t, s in zip(terms, scored)]
-        every = np.concatenate(terms) if terms else np.zeros(0, dtype="<u4")
+        every = np.concatenate(self.query)
         order = np.argsort(every, kind="stable")
-        self.terms = every[order]
-        self.docs = np.repeat(np.arange(self.n), [len(t) for t in terms])[order]
-        self.weights = np.concatenate(scored)[order] if scored else np.zeros(0)
+        docs = np.repeat(np.arange(self.n), [len(t) for t in self.query])[order]
+        value = np.concatenate(scored)[order]
+        self.terms, number, size = np.unique(every[order], return_inverse=True, return_counts=True)
+        often = size * OFTEN > self.n
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.whole = np.zeros((int(often.sum()), self.n))
+        held = often[number]
+        self.whole[self.row[number[held]], docs[held]] = value[held]
+        self.docs, self.weights = docs[~held], value[~held]
+        self.ends = np.cumsum(np.where(often, 0, size))
+        self.sizes = np.where(often, 0, size)
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of every document of the shard for the seed's most telling terms."""
-        asked = self.query[seed]
-        a, b = np.searchsorted(self.terms, asked), np.searchsorted(self.terms, asked, side="right")
-        hits = np.concatenate([np.arange(x, y) for x, y in zip(a, b)]) if len(asked) else np.zeros(0, dtype=int)
-        return np.bincount(self.docs[hits], self.weights[hits], minlength=self.n)
+        """BM25 of every document of the shard for all terms of the seed."""
+        asked = np.searchsorted(self.terms, self.query[seed])
+        size = self.sizes[asked]
+        step = np.cumsum(size)
+        hits = np.repeat(self.ends[asked] - step, size) + np.arange(step[-1] if len(step) else 0)
+        rare = np.bincount(self.docs[hits], self.weights[hits], minlength=self.n)
+        rows = self.row[asked]
+        return rare + self.whole[rows[rows >= 0]].sum(axis=0)
 
 
 def pack_shard(rows: list[dict], shard: int, weights: Weights, window: int) -> list[tuple]:

@@ -282,3 +282,45 @@ def test_retrieval_prefers_like_texts(spark):
     for r in pieces:
         kinds.setdefault(r.sequence_id, set()).add(r.doc_id % 2)
     assert sum(len(k) > 1 for k in kinds.values()) <= 1
+
+
+def test_index_scores_are_bm25_of_all_terms():
+    from gradeline.llm import packing
+
+    rng = np.random.default_rng(4)
+    rows, counts = [], np.zeros(500, dtype=int)
+    for _ in range(90):
+        terms = np.unique(np.minimum(rng.zipf(1.3, 200) - 1, 499)).astype("<u4")
+        times = rng.integers(1, 6, len(terms)).astype("<u4")
+        counts[terms] += 1
+        rows.append({"terms": terms.tobytes(), "counts": times.tobytes(), "n_ids": int(times.sum()) + 1})
+    rows.append({"terms": b"", "counts": b"", "n_ids": 1})
+    mean = np.mean([r["n_ids"] for r in rows])
+    weights = packing.Weights(counts, len(rows), mean)
+    index = packing._Index(rows, weights)
+
+    def bag(row):
+        return dict(zip(*(np.frombuffer(row[k], dtype="<u4").tolist() for k in ("terms", "counts"))))
+
+    def plain(query, row):
+        total = 0.0
+        for term, times in bag(row).items():
+            if term in bag(query):
+                idf = np.log(1 + (len(rows) - counts[term] + 0.5) / (counts[term] + 0.5))
+                total += idf * times * 2.2 / (times + 1.2 * (0.25 + 0.75 * row["n_ids"] / mean))
+        return total
+
+    for seed in (0, 17, 90):
+        assert np.allclose(index.scores(seed), [plain(rows[seed], row) for row in rows])
+
+
+def test_packing_of_hard_rows(spark):
+    from gradeline.llm import packing
+
+    data = [(1, "a b c", 5), (1, "a b c", 5), (None, None, 1), (2, "", 2), (3, " \n ", 3), (4, "word " * 9000, 4), (None, "x", 6)]
+    df = spark.createDataFrame(data, "doc_id long, text string, `start` int").selectExpr("*", "start AS key", "start AS shard", "start AS ids")
+    pieces = packing.pack(df, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), 1).collect()
+    tokens = {}
+    for r in pieces:
+        tokens[r.doc_id] = tokens.get(r.doc_id, 0) + r.length
+    assert tokens == {1: 8, None: 3, 2: 1, 3: 1, 4: 9001}
