@@ -63,13 +63,22 @@ def spread_lines(docs: DataFrame, text: str, site: str, least_sites: int) -> Dat
 def boilerplate_places(docs: DataFrame, key: str, text: str, site: str, least_sites: int) -> DataFrame:
     """(key, places) of the rows with boilerplate: 0-based numbers of the lines to remove.
 
-    ``key`` must name a row; a NULL key has none.
+    ``key`` must name a row; a NULL key has none. A text whose every line would go has none if the
+    same text is on several rows: it is a copy, and near-duplicate removal chooses among copies.
     """
     spread = pin(spread_lines(docs, text, site, least_sites).select("line"), "boilerplate")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
-    found = rows.select("key", F.posexplode(_hashes(split_lines(F.col("text")))).alias("place", "line"))
+    rows = rows.withColumn("hashes", _hashes(split_lines(F.col("text"))))
+    lines = F.size(F.filter("hashes", lambda line: line.isNotNull()))
+    body = F.struct(F.xxhash64("text").alias("a"), F.hash("text").alias("b"), lines.alias("lines"))
+    rows = rows.select("key", "hashes", body.alias("body"))
+    found = rows.select("key", "body", F.posexplode("hashes").alias("place", "line"))
     found = found.where("line IS NOT NULL").join(spread, "line", "left_semi")
-    return found.groupBy("key").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    found = found.groupBy("key").agg(F.array_sort(F.collect_set("place")).alias("places"), F.first("body").alias("body"))
+    found = pin(found, "places")
+    emptied = F.size("places") == F.col("body.lines")
+    copies = found.where(emptied).groupBy("body").agg(F.count("*").alias("rows")).where("rows > 1").select("body")
+    return found.join(copies, "body", "left_anti").select("key", "places")
 
 
 def without_lines(text: Column, places: Column) -> Column:
@@ -80,15 +89,16 @@ def without_lines(text: Column, places: Column) -> Column:
 
 
 def remove_boilerplate(
-    docs: DataFrame, text: str, site: str, least_sites: int, most_share: float = 0.5, counted: str | None = None
+    docs: DataFrame, text: str, site: str, least_sites: int, counted: str | None = None
 ) -> DataFrame:
     """The rows and columns of ``docs``, without the lines found on ``least_sites`` sites or more.
 
-    Lines are what line feeds separate, compared without surrounding blanks; blank lines stay. A
-    text that would lose more than ``most_share`` of its code points stays as it is: it is a copy of
-    other texts, not a text in their frame, and near-duplicate removal has to choose among copies. A
-    row with a NULL site has its lines removed like any other but adds to no line's spread; a NULL
-    text stays NULL, an empty one empty. Rows stay, in whatever number they come; every row gets a number of its own for the while, so repeated or NULL ids do no harm.
+    Lines are what line feeds separate, compared without surrounding blanks; blank lines stay. Only a
+    text that is on several rows and of which nothing would be left stays as it is: it is a copy, and
+    near-duplicate removal has to choose among copies. A row with a NULL site has its lines removed
+    like any other but adds to no line's spread; a NULL text stays NULL, an empty one empty. Rows
+    stay, in whatever number they come; every row gets a number of its own for the while, so
+    repeated or NULL ids do no harm.
     ``counted`` names a column that is set to the new text's length where lines went.
     """
     row, places, kept = (free_name(docs, n) for n in ("_line_row", "_line_places", "_line_kept"))
@@ -96,8 +106,8 @@ def remove_boilerplate(
     found = boilerplate_places(rows, row, text, site, least_sites)
     joined = rows.join(found.select(F.col("key").alias(row), F.col("places").alias(places)), row, "left")
     joined = joined.withColumn(kept, without_lines(F.col(text), F.col(places)))
-    changed = F.col(places).isNotNull() & (F.length(kept) >= (1 - most_share) * F.length(text))
-    new = {text: F.when(changed, F.col(kept)).otherwise(F.col(text))}
+    changed = F.col(places).isNotNull()
+    new = {text: F.col(kept)}
     if counted and counted in docs.columns:
         length = F.length(kept).cast(dict(docs.dtypes)[counted])
         new[counted] = F.when(changed, length).otherwise(F.col(counted))

@@ -111,10 +111,11 @@ WITH lines AS (
   FROM numbered
 ), short AS (
   SELECT r, coalesce(string_agg(line, chr(10) ORDER BY place)
-    FILTER (trim(line, ' ') NOT IN (SELECT line FROM spread)), '') AS text
+    FILTER (trim(line, ' ') NOT IN (SELECT line FROM spread)), '') AS text,
+    count(*) FILTER (trim(line, ' ') <> '' AND trim(line, ' ') NOT IN (SELECT line FROM spread)) AS own
   FROM cut GROUP BY r
 ), kept AS (
-  SELECT doc_id, CASE WHEN length(s.text) >= 0.5 * length(n.text) THEN s.text ELSE n.text END AS text
+  SELECT doc_id, CASE WHEN own = 0 AND count(*) OVER (PARTITION BY n.text) > 1 THEN n.text ELSE s.text END AS text
   FROM numbered n LEFT JOIN short s USING (r)
 )
 SELECT doc_id, CAST(length(text) AS BIGINT) AS kept_chars, md5(text) AS kept_md5 FROM kept

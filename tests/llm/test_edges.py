@@ -46,7 +46,6 @@ def operators(spark, docs):
         "language": lambda: language.identify(docs, "doc_id", "text", codes),
         "sketch": lambda: sketch.edited_sketches(docs, "doc_id", "text"),
         "simhash": lambda: simhash.near_groups(docs, "doc_id", "text"),
-        "similar": lambda: simhash.similar_groups(docs, "doc_id", "text"),
         "secrets": lambda: secrets.find_secrets(docs, "doc_id", "text", model),
         "personal": lambda: pii.find_personal(docs, "doc_id", "text", tagger),
         "toxicity": lambda: toxicity.score(docs, "doc_id", "text", toxic),
@@ -91,12 +90,14 @@ def test_filters_keep_columns_and_untouched_values(spark, docs):
 def test_lines_far_and_near_the_threshold(spark):
     rows = [(i, f"own line {i}\n  shared by all \nnear {i % 3} sites\n" + f"body of {i} " * 5, f"s{i % 40}") for i in range(120)]
     rows += [(200, "shared by all", "s1"), (201, None, "s1"), (202, "shared by all\n" + "text " * 9, None)]
+    rows += [(203, "shared by all\nnear 1 sites", "s1"), (204, "shared by all\nnear 1 sites", "s2")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     spread = {r.line: r.sites for r in lines.spread_lines(docs, "text", "source", 20).collect()}
     assert sorted(spread.values())[:3] == [40, 40, 40] and len(spread) == 4
     out = {r.doc_id: r.text for r in lines.remove_boilerplate(docs, "text", "source", 20).collect()}
     assert out[5] == "own line 5\n" + "body of 5 " * 5
-    assert out[200] == "shared by all"  # nothing else is in it: a copy, not a frame
+    assert out[200] == ""  # nothing else is in it, and no other row is the same
+    assert out[203] == out[204] == "shared by all\nnear 1 sites"  # copies of each other stay
     assert out[201] is None and out[202] == "text " * 9
 
 
