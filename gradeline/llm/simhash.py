@@ -8,8 +8,7 @@ of near copies costs a star and not its square.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -22,10 +21,6 @@ from gradeline.session import pin
 BITS = 64
 #: Hashes of one text that are turned into bits at once.
 HASHES = 1 << 18
-#: Standard deviations over the expected distance up to which a pair is a candidate.
-SPREAD = 4
-#: Smallest hashes that make the key of a block of sets, and hashes that are reordered at once.
-MINIMA, CHUNK = 4, 4096
 
 
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -40,12 +35,6 @@ def _signed(value: int) -> int:
     return value - (1 << BITS) if value >> (BITS - 1) else value
 
 
-def _remixed(hashes: np.ndarray) -> np.ndarray:
-    """Other 64 bits from each hash, for a longer fingerprint."""
-    mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-
-
 def _hashed(text: str, shingle: int) -> Iterator[np.ndarray]:
     """XXH64 (seed 42) of every run of ``shingle`` words, in order and HASHES at once; no words give none."""
     from xxhash import xxh64_intdigest
@@ -90,71 +79,6 @@ def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = 4) -> Data
     return map_arrow(rows, f"key {kind}, fingerprint bigint", start).select(F.col("key").alias(key), "fingerprint")
 
 
-def _shingle_set(text: str, shingle: int) -> np.ndarray:
-    """The distinct hashes of the text's shingles, sorted; empty without words."""
-    return np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *_hashed(text, shingle)]))
-
-
-def _minima(hashes: np.ndarray, count: int, seed: int = 3) -> np.ndarray:
-    """The smallest of the hashes under each of ``count`` reorderings."""
-    rng = np.random.default_rng(seed)
-    flips, factors = rng.integers(0, 1 << 63, (2, count, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    least = np.full(count, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for a in range(0, len(hashes), CHUNK):
-        mixed = (hashes[a : a + CHUNK] ^ flips) * factors
-        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=1))
-    return least
-
-
-def _set_prints(rows: DataFrame, shingle: int, lanes: int, blocks: int) -> DataFrame:
-    """(key, at, mark, size, bits, blocks) of the rows (key, at, text), all of the set of distinct shingles.
-
-    A hash of the set, its size, the fingerprint of 64 bits a lane, and the keys of its blocks: each
-    is of the MINIMA smallest hashes under as many reorderings, so that two sets share a key with
-    probability Jaccard similarity to the power of MINIMA, whatever the number of rows.
-    """
-
-    def start():
-        from xxhash import xxh64_intdigest
-
-        def made(t: str) -> tuple:
-            found = whole = _shingle_set(t, shingle)
-            bits = []
-            for _ in range(lanes):
-                counts = sum((_bit_counts(found[a : a + HASHES]) for a in range(0, len(found), HASHES)), np.zeros(BITS))
-                bits.append(_majority(counts, len(found)))
-                found = _remixed(found)
-            least = _minima(whole, blocks * MINIMA).reshape(blocks, MINIMA)
-            keys = [_signed(xxh64_intdigest(row.tobytes(), i)) for i, row in enumerate(least)]
-            return _signed(xxh64_intdigest(whole.tobytes())), len(whole), bits, keys
-
-        return lambda columns: [*columns[:2], *map(list, zip(*[made(t) for t in columns[2]]))]
-
-    kinds = dict(rows.dtypes)
-    out = f"key {kinds['key']}, at {kinds['at']}, mark bigint, size bigint, bits array<bigint>, blocks array<bigint>"
-    return map_arrow(rows, out, start)
-
-
-def _sets(rows: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(node, set) of ``nodes`` (node, at): the shingle hashes of the row of ``rows`` (at, text) it names."""
-    texts = rows.select("at", "text").join(nodes, "at").select("node", "text")
-
-    def start():
-        return lambda columns: [columns[0], [_shingle_set(t, shingle).view(np.int64) for t in columns[1]]]
-
-    return map_arrow(texts, "node bigint, set array<bigint>", start).dropDuplicates(["node"])
-
-
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) whose sets have a Jaccard similarity of at least ``similarity``."""
-    left = sets.select(F.col("node").alias("a"), F.col("set").alias("set"))
-    right = sets.select(F.col("node").alias("b"), F.col("set").alias("set2"))
-    both = pairs.join(left, "a").join(right, "b")
-    both = both.withColumn("shared", F.size(F.array_intersect("set", "set2")))
-    union = F.size("set") + F.size("set2") - F.col("shared")
-    return both.where(F.col("shared") >= F.lit(similarity) * union).select("a", "b")
-
-
 def block_masks(distance: int, blocks: int) -> list[int]:
     """A mask for each choice of ``blocks`` - ``distance`` of the blocks of 64 bits."""
     edges = [BITS * i // blocks for i in range(blocks + 1)]
@@ -226,36 +150,6 @@ def _linked(values: DataFrame, blocks: Column, close: Column) -> DataFrame:
     return _regrouped(grouped, pairs.select(F.col("group2").alias("a"), F.col("group").alias("b")))
 
 
-def _verified(
-    values: DataFrame, close: Column, sets: Callable[[DataFrame], DataFrame], similarity: float
-) -> DataFrame:
-    """As ``_linked`` by the column ``blocks``, but of the pairs that share a block and are ``close`` only those that ``_alike`` keeps link.
-
-    ``sets`` gives (node, set) of the nodes (node) it is asked for. A row is first held against the
-    most frequent of its heads, then against one head of each other group; what is left in different
-    groups is compared pair by pair, so groups of copies need few comparisons and no pair is left out.
-    """
-    stars = pin(_stars(values, F.col("blocks"), close).distinct(), "stars")
-    known = pin(sets(stars.select("node").union(stars.select("node2")).distinct()), "sets")
-    best = F.max(F.struct("n2", "node2")).alias("head")
-    once = stars.groupBy("node").agg(best).select(F.col("node").alias("a"), F.col("head.node2").alias("b"))
-    links = pin(_alike(once, known, similarity), "links")
-    group = _grouped(values, connected(links)).select("node", "group")
-    other = group.select(F.col("node").alias("node2"), F.col("group").alias("group2"))
-    left = stars.join(group, "node").join(other, "node2").where("group <> group2").groupBy("node", "group2").agg(best)
-    more = left.select(F.col("node").alias("a"), F.col("head.node2").alias("b"))
-    links = pin(links.unionByName(_alike(more, known, similarity)), "links")
-    grouped = _grouped(values, connected(links))
-    pairs = _across(grouped.join(values.select("node", "blocks"), "node"), F.col("blocks"), close)
-    pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
-    pairs = pin(pairs.distinct(), "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    links = _alike(pairs, pin(sets(nodes), "sets"), similarity)
-    names = grouped.select(F.col("node").alias("b"), F.col("group").alias("to"))
-    links = links.join(grouped.select(F.col("node").alias("a"), "group"), "a").join(names, "b")
-    return _regrouped(grouped, links.select(F.col("group").alias("a"), F.col("to").alias("b")))
-
-
 def linked(values: DataFrame, distance: int, blocks: int | None = None) -> DataFrame:
     """(fp, group) of the distinct fingerprints ``values`` (fp bigint, n: its rows).
 
@@ -269,73 +163,6 @@ def linked(values: DataFrame, distance: int, blocks: int | None = None) -> DataF
     return _linked(nodes, F.array(*keys), _close(distance)).withColumnRenamed("node", "fp")
 
 
-def share_apart(similarity: float) -> float:
-    """Expected share of differing bits of two shingle sets with that Jaccard similarity."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
-def block_total(similarity: float, recall: float) -> int:
-    """How many blocks a pair of that Jaccard similarity needs to share one with probability ``recall``."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**MINIMA))
-
-
-def similar_groups(
-    docs: DataFrame, key: str, text: str, shingle: int = 5, similarity: float = 0.8, recall: float = 0.999, lanes: int = 2
-) -> DataFrame:
-    """``key`` and ``component`` of every row: texts of at least ``similarity`` are linked.
-
-    ``similarity`` is the Jaccard similarity of the sets of shingles. For links wider than a few bits
-    no blocks of bits are both sure and selective, so blocks are of the sets' smallest hashes. A pair
-    that shares one and whose fingerprints, of 64 bits a lane, differ in no more than SPREAD standard
-    deviations over what texts of ``similarity`` are expected to is a candidate, and it is linked if
-    the sets themselves are that similar: no other pair is. A pair just at ``similarity`` shares a
-    block with probability ``recall``, a closer one more likely. Texts with the same set are one.
-    Otherwise as ``near_groups``.
-    """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    at = F.struct(F.col(key).alias("key"), F.xxhash64(whole).alias("body")).alias("at")
-    rows = docs.select(F.col(key).alias("key"), at, whole.alias("text"))
-    prints = pin(_set_prints(rows, shingle, lanes, block_total(similarity, recall)), "fingerprints")
-    parts = [F.col("bits")[lane].alias(f"lane{lane}") for lane in range(lanes)]
-    alone = prints.groupBy("mark", "size", "bits", "blocks").agg(
-        F.count("*").alias("n"), F.min("key").alias("least"), F.min("at").alias("at")
-    )
-    values = alone.select("mark", "least", "at", "n", "blocks", F.struct("size", *parts).alias("fp"))
-    values = pin(values.withColumn("node", F.monotonically_increasing_id()), "values")
-    apart = sum(F.bit_count(F.col(f"fp.lane{i}").bitwiseXOR(F.col(f"fp2.lane{i}"))) for i in range(lanes))
-    share, width = share_apart(similarity), BITS * lanes
-    most = math.ceil(width * share + SPREAD * math.sqrt(width * share * (1 - share)))
-    sizes = F.least("fp.size", "fp2.size") >= F.lit(similarity) * F.greatest("fp.size", "fp2.size")
-    named = values.select("node", "at")
-    groups = _verified(
-        values.select("node", "fp", "n", "blocks"), (apart <= most) & sizes,
-        lambda nodes: _sets(rows, named.join(nodes, "node"), shingle), similarity,
-    )
-    groups = pin(values.select("node", "mark", F.col("fp.size").alias("size"), "least").join(groups, "node"), "groups")
-    names = groups.groupBy("group").agg(F.min("least").alias("component"))
-    found = groups.join(names, "group").select("mark", "size", "component")
-    return prints.select("key", "mark", "size").join(found, ["mark", "size"]).select(F.col("key").alias(key), "component")
-
-
-def keep_one(docs: DataFrame, text: str, order: str, **options) -> DataFrame:
-    """The rows of ``docs`` less all but one of each group of ``similar_groups``.
-
-    The row with the smallest ``order`` stays, NULL being the largest, on ties that with the smaller
-    hash of its text. A row is known by its ``order`` and text, so nothing but these moves; of rows
-    equal in both one stays.
-    """
-    key = free_name(docs, "_near_key")
-    marked = docs.withColumn(key, F.struct(F.col(order).alias("order"), F.xxhash64(text).alias("text")))
-    groups = similar_groups(marked, key, text, **options).withColumnRenamed(key, "key")
-    sized = groups.groupBy("component", "key").agg(F.count("*").alias("times"))
-    place = F.struct(F.col("key.order").isNull().alias("none"), F.col("key.order"), F.col("key.text"), "times")
-    kept = sized.groupBy("component").agg(F.min(place).alias("best"))
-    kept = pin(kept.select(F.struct("best.order", "best.text").alias(key), F.col("best.times").alias("times")), "kept")
-    once = marked.join(kept.where("times = 1").select(key), key, "left_semi")
-    more = marked.join(kept.where("times > 1").select(key), key, "left_semi").dropDuplicates([key])
-    return once.unionByName(more).select(*docs.columns)
-
-
 def near_groups(
     docs: DataFrame, key: str, text: str, shingle: int = 4, distance: int = 4, blocks: int | None = None
 ) -> DataFrame:
@@ -356,3 +183,22 @@ def near_groups(
     return rows.join(named, "fp").select(
         F.col("key").alias(key), F.col("fp").alias("fingerprint"), "component"
     )
+
+
+def keep_one(docs: DataFrame, text: str, order: str, shingle: int = 4, distance: int = 4) -> DataFrame:
+    """The rows of ``docs`` less all but one of each group of ``near_groups``.
+
+    The row with the smallest ``order`` stays, NULL being the largest, on ties that with the smaller
+    hash of its text. A row is known by its ``order`` and text, so nothing but these moves; of rows
+    equal in both one stays. Texts without words are one group.
+    """
+    key = free_name(docs, "_near_key")
+    marked = docs.withColumn(key, F.struct(F.col(order).alias("order"), F.xxhash64(text).alias("text")))
+    groups = near_groups(marked, key, text, shingle, distance).withColumnRenamed(key, "key")
+    sized = groups.groupBy("component", "key").agg(F.count("*").alias("times"))
+    place = F.struct(F.col("key.order").isNull().alias("none"), F.col("key.order"), F.col("key.text"), "times")
+    kept = sized.groupBy("component").agg(F.min(place).alias("best"))
+    kept = pin(kept.select(F.struct("best.order", "best.text").alias(key), F.col("best.times").alias("times")), "kept")
+    once = marked.join(kept.where("times = 1").select(key), key, "left_semi")
+    more = marked.join(kept.where("times > 1").select(key), key, "left_semi").dropDuplicates([key])
+    return once.unionByName(more).select(*docs.columns)
