@@ -36,8 +36,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row, with the smallest doc_id, of each group of texts that are 0.8 similar."""
-    return simhash.keep_one(docs, "text", "doc_id", shingle=5, similarity=0.8)
+    """Keep one row, with the smallest doc_id, of each group of near duplicates by SimHash."""
+    return simhash.keep_one(docs, "text", "doc_id", shingle=4, distance=4)
 
 
 def personal_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
