@@ -50,8 +50,8 @@ def op2_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("edited", 256).alias("edited_sha256"),
         sketch.as_text(own).alias("fingerprint"),
         sketch.as_text(edited).alias("edited_fingerprint"),
-        sketch.containment(own, edited).alias("near_edited"),
-        sketch.containment(own, after).alias("near_next"),
+        F.coalesce(sketch.containment(own, edited), F.lit(0.0)).alias("near_edited"),
+        F.coalesce(sketch.containment(own, after), F.lit(0.0)).alias("near_next"),
         sketch.resemblance(own, edited).alias("resembles_edited"),
         sketch.resemblance(own, after).alias("resembles_next"),
     )

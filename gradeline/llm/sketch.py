@@ -10,8 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: One hash in so many is kept. With 1 all are, and every share is exact: most texts are too short for less.
-SCALE = 1
+#: One hash in so many is kept.
+SCALE = 2
 SHINGLE = 5
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Rows of a bucket that ``followed`` aims at, segments of equal counts, and the most buckets.
@@ -81,11 +81,11 @@ def _buckets(rows: DataFrame, key: str) -> Column:
     if not seen.n:
         return F.lit(-1).cast("bigint")
     per = min(MOST_BUCKETS // SEGMENTS, -(-seen.n // (SEGMENTS * BUCKET_ROWS)))
-    edges = [seen.low, *sorted(set(c for c in seen.cuts if c > seen.low)), seen.high + 1]
+    edges = [seen.low, *sorted(set(c for c in seen.cuts if seen.low < c < seen.high)), seen.high]
     starts = F.array(*[F.lit(e).cast("bigint") for e in edges])
-    place = F.size(F.filter(starts, lambda e: e <= F.col(key)))
+    place = F.least(F.size(F.filter(starts, lambda e: e <= F.col(key))), F.lit(max(1, len(edges) - 1)))
     low, high = F.element_at(starts, place), F.element_at(starts, place + 1)
-    inside = F.floor((F.col(key) - low).cast("double") / (high - low).cast("double") * per)
+    inside = F.floor((F.col(key).cast("double") - low) / F.greatest(F.coalesce(high, low).cast("double") - low, F.lit(1.0)) * per)
     return F.when(F.col(key).isNull(), -1).otherwise((place - 1) * per + F.least(inside, F.lit(per - 1))).cast("bigint")
 
 
