@@ -162,16 +162,18 @@ def billed_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.round(value, 9).alias(name)
 
     return annotated.select(
-        "idx", read("input_mtok"), read("output_mtok"), read("cache_read_input_mtok"), read("total_cost_mtok"),
+        "idx", read("input_mtok"), read("output_mtok"), read("cache_read_input_mtok"), read("cache_creation_input_mtok"),
+        read("total_cost_mtok"),
         F.get_json_object(document, "$.usage.prompt_tokens").cast("bigint").alias("prompt_tokens"),
-        (F.size(F.split("annotated", "\n")) == F.size(F.split("body", "\n"))).alias("same_lines"),
+        F.md5(F.regexp_replace("annotated", ', "harness_billed_usage": \\{[^}]*\\}', "")).alias("rest_md5"),
     )
 
 
 BILLED_ANNOTATION = f"""{_CALLS_CTE}
 SELECT idx, CASE WHEN mtok IS NOT NULL THEN round(i / 1e6, 9) END AS input_mtok, CASE WHEN mtok IS NOT NULL THEN round(o / 1e6, 9) END AS output_mtok,
-  CASE WHEN mtok IS NOT NULL THEN round(r / 1e6, 9) END AS cache_read_input_mtok, {_num_sql('mtok', 'total_cost_mtok')},
-  p AS prompt_tokens, true AS same_lines FROM paid"""
+  CASE WHEN mtok IS NOT NULL THEN round(r / 1e6, 9) END AS cache_read_input_mtok,
+  CASE WHEN mtok IS NOT NULL THEN round(w / 1e6, 9) END AS cache_creation_input_mtok, {_num_sql('mtok', 'total_cost_mtok')},
+  p AS prompt_tokens, md5(body) AS rest_md5 FROM paid"""
 
 
 def reasoning_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -414,7 +416,9 @@ def batch_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("idx", F.md5("pred").alias("pred_md5"))
 
 
-BATCH_PREDICTIONS = f"{_JUDGED_CTE} SELECT idx, md5(coalesce(content, json_extract(response, '$.body')::VARCHAR)) AS pred_md5 FROM judged WHERE verdict = 'keep'"
+# the body stands as it was logged, between its key and the closing brace
+_BODY_TEXT = "substr(response, strpos(response, '\"body\": ') + 8, length(response) - strpos(response, '\"body\": ') - 8)"
+BATCH_PREDICTIONS = f"{_JUDGED_CTE} SELECT idx, md5(coalesce(content, {_BODY_TEXT})) AS pred_md5 FROM judged WHERE verdict = 'keep'"
 
 
 def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,24 +30,36 @@ def _carries_data(line: Column) -> Column:
     return F.startswith(line, F.lit(_DATA)) & ~payload.isin("", "[DONE]")
 
 
-def last_data_chunk(body: Column) -> Column:
-    """Payload of the last ``data:`` line that is neither empty nor the end mark; NULL if none."""
-    lines = F.filter(F.split(body, LINE_BREAK), _carries_data)
-    return F.substring(F.try_element_at(lines, F.lit(-1)), len(_DATA) + 1, 1 << 30)
+def usage_documents(body: Column) -> Column:
+    """The JSON texts of a body in order: the body itself, or the payload of every chunk."""
+    chunks = F.filter(F.split(body, LINE_BREAK), _carries_data)
+    payloads = F.transform(chunks, lambda line: F.substring(line, len(_DATA) + 1, 1 << 30))
+    return F.when(is_json_body(body), F.array(body)).otherwise(payloads)
 
 
 def usage_document(body: Column) -> Column:
     """The JSON text that should carry the usage: the body itself, or its last chunk."""
-    return F.when(is_json_body(body), body).otherwise(last_data_chunk(body))
+    return F.try_element_at(usage_documents(body), F.lit(-1))
+
+
+# Usage as text, so that only broken JSON is malformed, whatever the fields hold.
+_CHUNK = "usage STRING, _malformed STRING"
+_STRICT = {"columnNameOfCorruptRecord": "_malformed", "allowSingleQuotes": "false"}
 
 
 def with_usage(df: DataFrame, body: str = "body") -> DataFrame:
     """Add ``usage`` (struct of four counters, NULL if unusable) and ``usage_reason`` (NULL if fine).
 
-    Prompt tokens include cache reads and writes, so both are taken out of the input counter.
+    Usage is that of the last chunk, but every chunk of a stream has to be a JSON object: a malformed
+    one anywhere leaves the call without usage. Prompt tokens include cache reads and writes, so both
+    are taken out of the input counter.
     """
-    raw = F.from_json(usage_document(F.col(body)), f"STRUCT<usage: {schemas.USAGE}>")["usage"]
-    parsed = df.withColumn("_raw", raw)
+    documents = usage_documents(F.col(body))
+    chunks = F.transform(documents, lambda d: F.from_json(d, _CHUNK, _STRICT))
+    broken = F.exists(documents, lambda d: ~is_json_body(d)) | F.exists("_chunks", lambda c: c["_malformed"].isNotNull())
+    parsed = df.withColumn("_chunks", chunks).withColumn("_broken", ~is_json_body(F.col(body)) & broken)
+    last = F.try_element_at("_chunks", F.lit(-1))["usage"]
+    parsed = parsed.withColumn("_raw", F.when(~F.coalesce("_broken", F.lit(False)), F.from_json(last, schemas.USAGE)))
     cached = F.col("_raw.prompt_tokens_details.cached_tokens")
     written = F.col("_raw.prompt_tokens_details.cache_write_tokens")
     values = (
@@ -59,11 +71,12 @@ def with_usage(df: DataFrame, body: str = "body") -> DataFrame:
     complete = values[0].isNotNull() & values[1].isNotNull()
     reason = (
         F.when(F.coalesce(F.col(body), F.lit("")) == "", "empty body")
+        .when(F.col("_broken"), "malformed chunk")
         .when(F.col("_raw").isNull(), "usage missing")
         .when(~complete, "usage incomplete")
     )
     usage = F.when(complete, F.struct(*[v.alias(n) for v, n in zip(values, COUNTERS)]))
-    return parsed.withColumn("usage_reason", reason).withColumn("usage", usage).drop("_raw")
+    return parsed.withColumn("usage_reason", reason).withColumn("usage", usage).drop("_raw", "_chunks", "_broken")
 
 
 def billed_usage(usage: Column, mtok: Column) -> Column:

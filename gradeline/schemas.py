@@ -41,6 +41,14 @@ BATCH_RESULTS = (
     "id STRING, status STRING, results ARRAY<STRUCT<custom_id: STRING, response: STRING>>"
 )
 
+# As files are read: a string field takes the bytes of whatever value stands there.
+RAW_CALL_FILE = f"idx BIGINT, request {REQUEST}, cost STRUCT<mtok: DOUBLE, usd: DOUBLE>, walltime_min DOUBLE, response STRING"
+
+BATCH_RESULTS_FILE = (
+    "id STRING, status STRING, "
+    "results ARRAY<STRUCT<custom_id: STRING, response: STRUCT<status_code: INT, body: STRING>>>"
+)
+
 BATCH_RESULT = f"STRUCT<status_code: INT, body: {RESPONSE}>"
 
 CALL_HISTORY = (

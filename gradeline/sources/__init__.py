@@ -1 +1,7 @@
-"""Scans and sinks."""
+"""Scans and sinks. Their task functions are pickled by value, so workers need no install."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 from gradeline import schemas
 from gradeline.operators.shaping import union_parts
 from gradeline.session import fix_splits, pin
+from gradeline.sources.quoted import csv_records, parse_records
 
 
 def read_shards(spark: SparkSession, path: str, schema: str = schemas.RELEVANCE_RAW) -> DataFrame:
@@ -31,20 +32,11 @@ def read_shards(spark: SparkSession, path: str, schema: str = schemas.RELEVANCE_
 def read_quoted_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """CSV with header, quoted line breaks, doubled quotes and fields of any length; all strings.
 
-    ``columns`` are found by their names in the header; others are not read. Empty fields stay
-    empty strings. A quoted line break means a file cannot be cut, so one large file is one task:
-    keep such data in many files.
+    ``columns`` are found by their names in each file's header; others are not kept. Empty fields stay
+    empty strings. Files are cut like any text, also inside quoted fields, so one large file is read
+    by many tasks; the records found are written once. Quote marks inside unquoted fields are not CSV.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("maxCharsPerColumn", -1)
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
-    return raw.select(*columns).na.fill("")
+    return parse_records(csv_records(read_raw_lines(spark, path)), columns)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -148,7 +140,10 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_calls(lines: DataFrame, text: str = "value") -> DataFrame:
-    """Raw call records from their JSON text; ``raw`` keeps the response exactly as logged."""
+    """Raw call records from their JSON text; ``raw`` is the response as compact JSON of equal values.
+
+    ``read_calls`` has it byte for byte.
+    """
     return lines.select(
         F.from_json(F.col(text), schemas.RAW_CALL).alias("r"),
         F.get_json_object(F.col(text), "$.response").alias("raw"),
@@ -156,7 +151,10 @@ def parse_calls(lines: DataFrame, text: str = "value") -> DataFrame:
 
 
 def read_calls(spark: SparkSession, path: str) -> DataFrame:
-    return parse_calls(spark.read.option("lineSep", "\n").text(path))
+    """Raw call records; ``raw`` keeps the response exactly as logged, which the file reader cuts out."""
+    calls = read_json_lines(spark, path, schemas.RAW_CALL_FILE).withColumnRenamed("response", "raw")
+    parsed = F.from_json("raw", schemas.RESPONSE).alias("response")
+    return calls.select("idx", "request", "cost", "walltime_min", parsed, "raw")
 
 
 def parse_batch_requests(requests: DataFrame) -> DataFrame:
@@ -165,7 +163,10 @@ def parse_batch_requests(requests: DataFrame) -> DataFrame:
 
 
 def parse_batch_results(batches: DataFrame) -> DataFrame:
-    """(idx, response, raw) of finished batches, a row per result: the parsed fields, and the whole body."""
+    """(idx, response, raw) of finished batches, a row per result: the parsed fields, and the whole body.
+
+    ``raw`` is compact JSON of equal values; ``read_batch_results`` has the body byte for byte.
+    """
     return batches.select(F.explode("results").alias("r")).select(
         F.col("r.custom_id").cast("bigint").alias("idx"),
         F.from_json("r.response", schemas.BATCH_RESULT).alias("response"),
@@ -178,7 +179,15 @@ def read_batch_requests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_batch_results(spark: SparkSession, path: str) -> DataFrame:
-    return parse_batch_results(read_json_lines(spark, path, schemas.BATCH_RESULTS))
+    """(idx, response, raw) of finished batches, a row per result; ``raw`` is the body exactly as logged."""
+    batches = read_json_lines(spark, path, schemas.BATCH_RESULTS_FILE)
+    body = F.from_json("r.response.body", schemas.RESPONSE)
+    response = F.struct(F.col("r.response.status_code").alias("status_code"), body.alias("body"))
+    return batches.select(F.explode("results").alias("r")).select(
+        F.col("r.custom_id").cast("bigint").alias("idx"),
+        F.when(F.col("r.response").isNotNull(), response).alias("response"),
+        F.col("r.response.body").alias("raw"),
+    )
 
 
 def read_prices(spark: SparkSession, *paths: str) -> DataFrame:

@@ -56,9 +56,19 @@ def write_predictions(records: DataFrame, out_path: str, raw_path: str, raw_ever
     The records are written once first, so a model among their columns answers each prompt once.
     """
     records = pin(records, "records")
-    _ordered(records.select("idx", "pred")).select(one_line(F.col("pred")).alias("value")).write.text(out_path)
+    write_prediction_lines(records, out_path)
+    write_raw_records(keep_every(records, raw_every), raw_path)
+
+
+def write_prediction_lines(preds: DataFrame, path: str) -> None:
+    """One line per prediction in index order."""
+    _ordered(preds.select("idx", "pred")).select(one_line(F.col("pred")).alias("value")).write.text(path)
+
+
+def write_raw_records(records: DataFrame, path: str) -> None:
+    """The raw columns of the records as JSON lines in index order."""
     raw = [c for c in ("idx", "request", "cost", "walltime_min", "response") if c in records.columns]
-    _ordered(keep_every(records, raw_every).select(*raw)).write.json(raw_path)
+    _ordered(records.select(*raw)).write.json(path)
 
 
 def write_batch_requests(requests: DataFrame, path: str) -> None:
