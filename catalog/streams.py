@@ -9,23 +9,42 @@ from catalog.base import derive, table
 from gradeline.session import fresh_path
 from gradeline.streaming.ledger import LedgerStream, metered, read_call_log, spend_totals
 from gradeline.streaming.requests import read_request_log, request_totals
-from gradeline.streaming.sinks import append_output, latest_snapshot, write_snapshots
+from gradeline.streaming.sinks import append_output, read_totals, write_totals
 
 _SECONDS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) / 1e6"
 
 
-def _call_log(spark: SparkSession, sf_dir: str) -> str:
-    """Events written as a call log in JSON lines."""
-    path = fresh_path(spark, "calls")
-    calls = derive(spark, sf_dir, inputs.CALLS).select(
+def _logged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive(spark, sf_dir, inputs.CALLS).select(
         F.expr(_SECONDS).alias("time"), "run", F.col("idx").alias("seq"), "model",
         F.lit("/api/v1/chat/completions").alias("path"), F.col("status_code").cast("int").alias("status_code"),
         F.lit("{}").alias("request"), F.col("body").alias("response"),
     )
-    calls.write.json(path)
+
+
+def _call_log(spark: SparkSession, sf_dir: str) -> str:
+    """Events written as a call log in JSON lines."""
+    path = fresh_path(spark, "calls")
+    _logged(spark, sf_dir).write.json(path)
     return path
 
 
+#: Times that the log of a growing stream is read.
+ARRIVALS = 6
+
+
+def _growing_ledger(spark: SparkSession, sf_dir: str) -> LedgerStream:
+    """A ledger whose log grows in order of time, read after each arrival."""
+    calls, path = _logged(spark, sf_dir), fresh_path(spark, "calls")
+    stream = LedgerStream(fresh_path(spark, "ledger"), accounting.BUDGET)
+    cuts = calls.approxQuantile("time", [i / ARRIVALS for i in range(1, ARRIVALS)], 0.01)
+    arrival = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: F.col("time") >= cut))
+    for number in range(ARRIVALS):
+        calls.where(arrival == number).write.mode("append").json(path)
+        stream.run(read_call_log(spark, path))
+    return stream
+
+
 def _ledger_stream(spark: SparkSession, sf_dir: str) -> LedgerStream:
     stream = LedgerStream(fresh_path(spark, "ledger"), accounting.BUDGET)
     stream.run(read_call_log(spark, _call_log(spark, sf_dir)))
@@ -40,15 +59,26 @@ def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exhausted_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signals = _ledger_stream(spark, sf_dir).exhausted(spark)
+    """The signals of a log that grew over several micro-batches."""
+    signals = _growing_ledger(spark, sf_dir).exhausted(spark)
     return signals.select("run", F.col("seq").alias("idx"), accounting._num("spent_after"))
 
 
+def balances_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every run has spent after several micro-batches, from the balances kept for the next one."""
+    balances = _growing_ledger(spark, sf_dir).balances(spark)
+    return balances.select("run", accounting._num("opening").alias("spent_mtok"))
+
+
+BALANCES_STREAM = f"""{accounting._CALLS_CTE}
+SELECT run, {accounting._num_sql('coalesce(sum(mtok), 0)', 'spent_mtok')} FROM paid GROUP BY run"""
+
+
 def spend_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = read_call_log(spark, _call_log(spark, sf_dir))
     root = fresh_path(spark, "spend")
-    write_snapshots(spend_totals(calls), f"{root}/totals", f"{root}/checkpoint")
-    totals = latest_snapshot(spark, f"{root}/totals")
+    write_totals(spend_totals(calls), f"{root}/totals", f"{root}/checkpoint", ["run"])
+    totals = read_totals(spark, f"{root}/totals", ["run"])
     return totals.select("run", "n_billed", "n_calls", accounting._num("spent_mtok"))
 
 
@@ -71,11 +101,15 @@ SELECT idx, run, {accounting._num_sql('mtok')}, CASE WHEN body = '' THEN 'empty
 
 
 def request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = fresh_path(spark, "requests")
-    pages = table(spark, sf_dir, "pages")
-    pages.select("url", F.when(F.contains("url", F.lit("https")), 200).otherwise(301).alias("status_code")).write.json(f"{root}/log")
-    write_snapshots(request_totals(read_request_log(spark, f"{root}/log"), audits.GROUPS), f"{root}/totals", f"{root}/checkpoint")
-    return latest_snapshot(spark, f"{root}/totals")
+    """Request totals of a log that grew over several micro-batches, of which each wrote what it changed."""
+    root, keys = fresh_path(spark, "requests"), ["status_code", "blocked_by", "loopback"]
+    status = F.when(F.contains("url", F.lit("https")), 200).otherwise(301).alias("status_code")
+    for number in range(ARRIVALS):
+        some = table(spark, sf_dir, "pages").where(F.col("page_id") % ARRIVALS == number)
+        some.select("url", status).write.mode("append").json(f"{root}/log")
+        totals = request_totals(read_request_log(spark, f"{root}/log"), audits.GROUPS)
+        write_totals(totals, f"{root}/totals", f"{root}/checkpoint", keys)
+    return read_totals(spark, f"{root}/totals", keys)
 
 
 def documents_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +127,7 @@ def documents_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "ledger_stream": (ledger_stream, accounting.RUNNING_LEDGER),
     "exhausted_stream": (exhausted_stream, accounting.FIRST_EXHAUSTED),
+    "balances_stream": (balances_stream, BALANCES_STREAM),
     "spend_stream": (spend_stream, SPEND_STREAM),
     "metered_stream": (metered_stream, METERED_STREAM),
     "request_stream": (request_stream, audits.REQUEST_COUNTS),

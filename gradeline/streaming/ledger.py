@@ -11,6 +11,7 @@ from gradeline.functions.usage import with_usage
 from gradeline.operators.cost import MTOK, mtok_cost
 from gradeline.operators.ledger import first_exhausted, running_ledger
 from gradeline.session import scratch_scope
+from gradeline.streaming.keyed import KeyedTable
 from gradeline.streaming.sinks import each_batch
 
 ORDER = ("time", "seq")
@@ -41,15 +42,17 @@ def spend_totals(calls: DataFrame) -> DataFrame:
 
 
 class LedgerStream:
-    """Balances per call, kept below ``root``: ledger/, exhausted/ and state/ by batch number.
+    """Balances per call, kept below ``root``: ledger/ and exhausted/ by batch number, and state/.
 
-    A batch is one distributed prefix sum plus the balances the previous batch left (one row per
-    run), so a run that dominates a batch is still split over tasks. Writing a batch again gives
-    the same files. Calls count in order of arrival; inside a batch by time and sequence number.
+    A batch is one distributed prefix sum that starts from the balances of the runs it touches, so a
+    run that dominates a batch is still split over tasks, and only touched balances are written.
+    Writing a batch again gives the same files. Calls count in order of arrival; inside a batch by
+    time and sequence number.
     """
 
     def __init__(self, root: str, budget: float | str | Decimal):
         self.root, self.budget = root, budget
+        self.state = KeyedTable(f"{root}/state", ["run"])
 
     def _path(self, kind: str, number: int) -> str:
         return f"{self.root}/{kind}/batch={number}"
@@ -60,17 +63,21 @@ class LedgerStream:
 
     def _write(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        opening = spark.read.parquet(self._path("state", number - 1)) if number else None
         calls = metered(batch).select("run", *ORDER, "status_code", "usage_reason", "mtok")
+        opening = self.state.before(spark, number)
+        if opening is not None:
+            touched = batch.select(F.col("run").alias("touched")).distinct()
+            opening = opening.join(touched, F.col("run").eqNullSafe(F.col("touched")), "left_semi")
         ledger = running_ledger(calls, self.budget, ORDER, opening=opening)
         ledger.write.mode("overwrite").parquet(self._path("ledger", number))
         written = spark.read.parquet(self._path("ledger", number))
         first_exhausted(written, self.budget).write.mode("overwrite").parquet(self._path("exhausted", number))
-        state = written.groupBy("run").agg(F.max("spent_after").alias("opening"))
-        if opening is not None:
-            # balances never fall, so the larger one is the later one
-            state = state.unionByName(opening).groupBy("run").agg(F.max("opening").alias("opening"))
-        state.write.mode("overwrite").parquet(self._path("state", number))
+        # balances never fall, so the largest of a batch is its last
+        self.state.write(written.groupBy("run").agg(F.max("spent_after").alias("opening")), number)
+
+    def balances(self, spark: SparkSession) -> DataFrame:
+        """(run, opening): the balance of every run after the last batch."""
+        return self.state.current(spark)
 
     def run(self, calls: DataFrame) -> None:
         """Process what has arrived since the last run and stop."""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from gradeline.streaming.keyed import KeyedTable
 
 
 def append_output(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> None:
@@ -32,16 +34,11 @@ def each_batch(
     query.awaitTermination()
 
 
-def write_snapshots(aggregate: DataFrame, path: str, checkpoint: str) -> None:
-    """Keep the whole state of a streaming aggregate per micro-batch below ``path``/batch=N."""
-
-    def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    each_batch(aggregate, save, checkpoint, mode="complete")
+def write_totals(aggregate: DataFrame, path: str, checkpoint: str, keys: Sequence[str]) -> None:
+    """Keep the rows of a streaming aggregate by its ``keys``: a micro-batch writes those it changed."""
+    each_batch(aggregate, KeyedTable(path, keys).write, checkpoint, mode="update")
 
 
-def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    stored = spark.read.parquet(path)
-    newest = stored.agg(F.max("batch").alias("batch"))
-    return stored.where(F.col("batch") == newest.scalar()).drop("batch")
+def read_totals(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The rows that ``write_totals`` keeps, as of the last micro-batch."""
+    return KeyedTable(path, keys).current(spark)

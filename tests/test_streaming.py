@@ -8,7 +8,8 @@ from gradeline.operators import prefix
 from gradeline.operators.ledger import first_exhausted, running_ledger
 from gradeline.streaming.ledger import ORDER, LedgerStream, metered, read_call_log, spend_totals
 from gradeline.streaming.requests import read_request_log, request_totals
-from gradeline.streaming.sinks import append_output, latest_snapshot, write_snapshots
+from gradeline.streaming.keyed import KeyedTable, cover
+from gradeline.streaming.sinks import append_output, read_totals, write_totals
 
 
 def call(rng, seq):
@@ -77,8 +78,8 @@ def test_spend_totals_grow(spark, tmp_path):
     for part in range(2):
         write(tmp_path / "log" / f"{part}.json", calls[part * 30 : part * 30 + 30])
         stream = spend_totals(read_call_log(spark, str(tmp_path / "log"), files_per_batch=1))
-        write_snapshots(stream, str(tmp_path / "totals"), str(tmp_path / "ck"))
-    totals = {r.run: r for r in latest_snapshot(spark, str(tmp_path / "totals")).collect()}
+        write_totals(stream, str(tmp_path / "totals"), str(tmp_path / "ck"), ["run"])
+    totals = {r.run: r for r in read_totals(spark, str(tmp_path / "totals"), ["run"]).collect()}
     assert sum(r.n_calls for r in totals.values()) == 60
     billed = [c for c in calls if c["status_code"] == 200 and c["response"]]
     assert sum(r.n_billed for r in totals.values()) == len(billed)
@@ -91,8 +92,9 @@ def test_request_totals(spark, tmp_path):
     (tmp_path / "log").mkdir()
     urls = ["http://bad.com/x", "http://bad.com/y", "http://localhost/", "http://fine.com/"]
     write(tmp_path / "log" / "0.json", [{"url": u, "status_code": 403 if i < 3 else 200} for i, u in enumerate(urls)])
-    write_snapshots(request_totals(read_request_log(spark, str(tmp_path / "log")), [["bad.com"]]), str(tmp_path / "t"), str(tmp_path / "ck"))
-    got = {tuple(r) for r in latest_snapshot(spark, str(tmp_path / "t")).select("status_code", "blocked_by", "loopback", "n").collect()}
+    keys = ["status_code", "blocked_by", "loopback"]
+    write_totals(request_totals(read_request_log(spark, str(tmp_path / "log")), [["bad.com"]]), str(tmp_path / "t"), str(tmp_path / "ck"), keys)
+    got = {tuple(r) for r in read_totals(spark, str(tmp_path / "t"), keys).select("status_code", "blocked_by", "loopback", "n").collect()}
     assert got == {(403, 0, False, 2), (403, None, True, 1), (200, None, False, 1)}
 
 
@@ -103,3 +105,31 @@ def test_output_is_resumed_without_repeats(spark, tmp_path):
         stream = spark.readStream.schema("idx BIGINT").json(str(tmp_path / "in"))
         append_output(stream, str(tmp_path / "out"), str(tmp_path / "ck"))
     assert sorted(r.idx for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(30))
+
+
+def test_cover_is_every_batch_once():
+    def span(last):
+        return (last + 1) & -(last + 1)
+
+    for n in range(300):
+        held = [b for last in cover(n) for b in range(last - span(last) + 1, last + 1)]
+        assert sorted(held) == list(range(n)) and len(cover(n)) == n.bit_count()
+
+
+def test_keyed_table_keeps_the_newest_row_in_few_files(spark, tmp_path):
+    rng, newest, written = random.Random(6), {}, []
+    table = KeyedTable(str(tmp_path / "t"), ["key"])
+    base = [(k, 0) for k in [None, *map(str, range(40))]]
+    for number in range(10):
+        rows = base if number == 0 else [(k, number) for k, _ in rng.sample(base, 3)]
+        changed = spark.createDataFrame(rows, "key string, value int")
+        table.write(changed, number)
+        if number in (4, 7):
+            table.write(changed, number)  # a repeated batch
+        newest.update(rows)
+        folders = {int(p.name[6:]) for p in (tmp_path / "t").glob("batch=*")}
+        assert folders <= {number, *cover(number)} and len(folders) <= 5
+        written.append(spark.read.parquet(str(tmp_path / "t" / f"batch={number}")).count())
+        if number in (0, 5, 9):
+            assert {r.key: r.value for r in table.current(spark).collect()} == newest
+    assert all(n <= 6 for n in written[2::4]) and written[8] == 3  # only what batches touched
