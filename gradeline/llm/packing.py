@@ -24,6 +24,8 @@ GRID = 16
 SHARD, K1, B = 2048, 1.2, 0.75
 #: A term in more than one in so many of a shard's documents has a weight for each instead of postings.
 OFTEN = 16
+#: Seeds whose frequent terms are looked up together.
+SEEDS = 64
 #: Distinct pieces and words whose ids a task remembers before it starts anew.
 PIECES_KEPT, WORDS_KEPT = 600_000, 600_000
 #: What a word's last token ends with in such a vocabulary, and the marks split off its end here.
@@ -228,16 +230,23 @@ class _Index:
         self.docs, self.weights = docs[~held], value[~held]
         self.ends = np.cumsum(np.where(often, 0, size))
         self.sizes = np.where(often, 0, size)
+        self.ready: dict[int, np.ndarray] = {}
+
+    def prepare(self, seeds: list[int]) -> None:
+        """Work out together what the frequent terms of the next seeds give every document."""
+        asked = np.zeros((len(seeds), len(self.whole)))
+        for i, seed in enumerate(seeds):
+            rows = self.row[np.searchsorted(self.terms, self.query[seed])]
+            asked[i, rows[rows >= 0]] = 1
+        self.ready = dict(zip(seeds, asked @ self.whole))
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of every document of the shard for all terms of the seed."""
+        """BM25 of every document of the shard for all terms of the seed, which is prepared."""
         asked = np.searchsorted(self.terms, self.query[seed])
         size = self.sizes[asked]
         step = np.cumsum(size)
         hits = np.repeat(self.ends[asked] - step, size) + np.arange(step[-1] if len(step) else 0)
-        rare = np.bincount(self.docs[hits], self.weights[hits], minlength=self.n)
-        rows = self.row[asked]
-        return rare + self.whole[rows[rows >= 0]].sum(axis=0)
+        return self.ready[seed] + np.bincount(self.docs[hits], self.weights[hits], minlength=self.n)
 
 
 def pack_shard(rows: list[dict], shard: int, weights: Weights, window: int) -> list[tuple]:
@@ -266,8 +275,11 @@ def pack_shard(rows: list[dict], shard: int, weights: Weights, window: int) -> l
         left[i] -= n
         return n
 
-    for seed in np.argsort(-size, kind="stable").tolist():
+    order = np.argsort(-size, kind="stable")
+    for at, seed in enumerate(order.tolist()):
         while left[seed]:
+            if seed not in index.ready:
+                index.prepare([s for s in order[at : at + 2 * SEEDS].tolist() if left[s]][:SEEDS])
             used = place(seed, 0, window)
             if window - used >= GRID:
                 scores = index.scores(seed)
