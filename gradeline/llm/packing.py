@@ -27,7 +27,7 @@ OFTEN = 16
 #: Seeds whose frequent terms are looked up together.
 SEEDS = 64
 #: Distinct pieces and words whose ids a task remembers before it starts anew.
-PIECES_KEPT, WORDS_KEPT = 600_000, 600_000
+PIECES_KEPT, WORDS_KEPT = 300_000, 300_000
 #: What a word's last token ends with in such a vocabulary, and the marks split off its end here.
 WORD_END, MARKS = "</w>", string.punctuation
 
