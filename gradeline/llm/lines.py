@@ -104,7 +104,9 @@ def remove_boilerplate(
     row, places, kept = (free_name(docs, n) for n in ("_line_row", "_line_places", "_line_kept"))
     rows = pin(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     found = boilerplate_places(rows, row, text, site, least_sites)
-    joined = rows.join(found.select(F.col("key").alias(row), F.col("places").alias(places)), row, "left")
+    # merged at every size: a small table of places must not be broadcast to all texts and a large one not
+    found = found.select(F.col("key").alias(row), F.col("places").alias(places)).hint("merge")
+    joined = rows.join(found, row, "left")
     joined = joined.withColumn(kept, without_lines(F.col(text), F.col(places)))
     changed = F.col(places).isNotNull()
     new = {text: F.col(kept)}
