@@ -37,14 +37,17 @@ def word_ids(path: str) -> Callable[[str], bytes]:
 
     Such a tokenizer treats what blanks separate apart, and lower-cases, so ids are remembered per
     piece between blanks (space, line feed), and the whole text's ids are those of its pieces in a
-    row. New words of a text go through the tokenizer together.
+    row. A new word of ASCII letters has nothing else to normalise, so its merges are asked of the
+    model itself; other new words of a text go through the tokenizer together.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    vocabulary = tokenizer.get_vocab()
-    ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+    vocabulary, merge = tokenizer.get_vocab(), tokenizer.model.tokenize
+    size = max(vocabulary.values()) + 1
+    ends = np.zeros(size, dtype=bool)
     ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+    packed = [i.to_bytes(4, "little") for i in range(size)]
     known: dict[str, bytes] = {"": b""}
     words: dict[str, bytes] = {"": b""}
 
@@ -63,6 +66,12 @@ def word_ids(path: str) -> Callable[[str], bytes]:
             words[word] = raw[at:end]
             at = end
 
+    def marked(mark: str) -> bytes:
+        """Ids of closing marks, which are apart from the letters for the tokenizer too."""
+        if mark not in known:
+            known[mark] = one(mark)
+        return known[mark]
+
     def encode(text: str) -> bytes:
         pieces = text.replace("\n", " ").split(" ")
         found = list(map(known.get, pieces))
@@ -75,20 +84,23 @@ def word_ids(path: str) -> Callable[[str], bytes]:
             if len(words) > WORDS_KEPT:
                 words.clear()
                 words[""] = b""
-            split = []  # letters and closing marks are apart for the tokenizer too
+            split = []
             for piece in missing:
                 word = piece.rstrip(MARKS)
-                low = word.lower()
-                if not word or (low.isalpha() and len(low) == len(word)):
-                    split.append((piece, low if word.isascii() else word, piece[len(word) :]))
-                    if split[-1][2] not in known:
-                        known[split[-1][2]] = one(split[-1][2])
+                if word.isascii() and word.isalpha():
+                    low = word.lower()
+                    ids = words.get(low)
+                    if ids is None:
+                        ids = words[low] = b"".join([packed[t.id] for t in merge(low)])
+                    known[piece] = ids + marked(piece[len(word) :])
+                elif not word or (word.lower().isalpha() and len(word.lower()) == len(word)):
+                    split.append((piece, word, marked(piece[len(word) :])))
                 else:
                     known[piece] = one(piece)
             if fresh := list({w for _, w, _ in split}.difference(words)):
                 learn(fresh)
             for piece, word, mark in split:
-                known[piece] = words[word] + known[mark]
+                known[piece] = words[word] + mark
             found = map(known.__getitem__, pieces)
         return b"".join(found)
 
