@@ -46,6 +46,22 @@ def shipped_blocklists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
+def blocklist_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages against a list as long as there are hosts and languages; a host may be part of another."""
+    pages = table(spark, sf_dir, "pages")
+    parts = F.split(F.upper("url"), "/")
+    group = F.array(F.get(parts, F.lit(2)), F.concat(F.lit("/"), F.get(parts, F.lit(3)), F.lit("/")))
+    groups = pages.groupBy(group.alias("parts")).agg(F.min("page_id").cast("int").alias("position"))
+    return audit.blocked_by_list(pages, groups).select("page_id", "blocked_by")
+
+
+BLOCKLIST_INDEX = """
+WITH g AS (SELECT split_part(lower(url), '/', 3) AS host, '/' || split_part(lower(url), '/', 4) || '/' AS lang,
+  CAST(min(page_id) AS INTEGER) AS position FROM pages GROUP BY ALL)
+SELECT page_id, min(position) AS blocked_by FROM pages LEFT JOIN g ON contains(lower(url), host) AND contains(lower(url), lang)
+GROUP BY page_id"""
+
+
 def _list_sql(name: str, groups: list[list[str]]) -> str:
     values = ", ".join(f"({i}, '{'/' + '/'.join(g).lower()}')" for i, g in enumerate(groups))
     parts = ", ".join(f"({i}, '{p.lower()}')" for i, g in enumerate(groups) for p in g)
@@ -141,6 +157,7 @@ WHERE role = 'assistant' OR (role = 'user' AND turn = 0) GROUP BY conv_id"""
 QUERIES = {
     "url_blocklist": (url_blocklist, URL_BLOCKLIST),
     "shipped_blocklists": (shipped_blocklists, SHIPPED_BLOCKLISTS),
+    "blocklist_index": (blocklist_index, BLOCKLIST_INDEX),
     "loopback": (loopback, LOOPBACK),
     "url_hosts": (url_hosts, URL_HOSTS),
     "endpoint_match": (endpoint_match, ENDPOINT_MATCH),

@@ -180,6 +180,23 @@ SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, doc_id,
 FROM documents"""
 
 
+def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The byte at which each line starts in its file; a file holds 250 consecutive ids."""
+    docs, path = _docs(spark, sf_dir), fresh_path(spark, "offsets")
+    value = F.concat_ws(" ", F.col("doc_id").cast("string"), one_line(F.col("text"))).alias("value")
+    lines = docs.select("doc_id", F.floor(F.col("doc_id") / 250).alias("file"), value)
+    lines.repartition("file").sortWithinPartitions("file", "doc_id").select("file", "value").write.partitionBy("file").text(path)
+    raw = readers.read_raw_lines(spark, path)
+    starts = readers.split_starts(raw)
+    numbered = readers.with_line_numbers(raw, starts).join(readers.line_offsets(raw, starts), "line")
+    return numbered.select(F.split_part("value", F.lit(" "), F.lit(1)).cast("bigint").alias("doc_id"), "offset")
+
+
+LINE_OFFSETS = f"""
+SELECT doc_id, CAST(coalesce(sum(n_bytes + 1) OVER (PARTITION BY doc_id // 250 ORDER BY doc_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset FROM ({LINE_NUMBERS})"""
+
+
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     path = fresh_path(spark, "csv")
@@ -331,6 +348,7 @@ QUERIES = {
     "union_parts": (union_parts, UNION_PARTS),
     "labels_metadata_join": (labels_metadata_join, LABELS_METADATA_JOIN),
     "line_numbers": (line_numbers, LINE_NUMBERS),
+    "line_offsets": (line_offsets, LINE_OFFSETS),
     "csv_roundtrip": (csv_roundtrip, CSV_ROUNDTRIP),
     "json_roundtrip": (json_roundtrip, JSON_ROUNDTRIP),
     "shape_relevance": (shape_relevance, SHAPE_RELEVANCE),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -120,12 +122,15 @@ def first_wins(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> D
 
     The smallest place per key is an aggregate over places only: copies shrink to one row per task
     before the shuffle, so a key that holds a third of the table costs no more than any other. The
-    rows are then kept by key and place; as a struct, NULLs in either are equal.
+    rows are then kept by key and place, NULLs in either being equal; the columns themselves are the
+    join keys, so a row moves without a second copy of them.
     """
+    marks = [f"_first_{i}" for i in range(len(keys) + len(order_by))]
     first = df.groupBy(*keys).agg(F.min(F.struct(*order_by)).alias("_place"))
-    first = first.select(F.struct(F.struct(*keys), "_place").alias("_row"))
-    rows = df.withColumn("_row", F.struct(F.struct(*keys), F.struct(*order_by).alias("_place")))
-    return rows.join(first, "_row", "left_semi").select(*df.columns)
+    place = [F.col("_place")[c].alias(mark) for c, mark in zip(order_by, marks[len(keys) :])]
+    first = first.select(*[F.col(k).alias(mark) for k, mark in zip(keys, marks)], *place)
+    same = [F.col(c).eqNullSafe(F.col(mark)) for c, mark in zip((*keys, *order_by), marks)]
+    return df.join(first, reduce(and_, same), "left_semi")
 
 
 def duplicate_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from gradeline.operators.shaping import join_metadata, shape_detection, shape_re
 from gradeline.schemas import DETECTION_GOLD, EXTRACTION_FULL
 from gradeline.session import pin
 from gradeline.sources.readers import (
-    line_offsets, read_parts, read_quoted_csv, read_raw_lines, read_shards, with_line_numbers,
+    line_offsets, read_parts, read_quoted_csv, read_raw_lines, read_shards, split_starts, with_line_numbers,
 )
 from gradeline.sources.writers import read_view, sample_tag, write_views
 
@@ -42,7 +42,10 @@ def build_from_metadata(labels: DataFrame, metadata: DataFrame, key: str, paragr
 
 def read_full(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A canonical JSON-lines table with each row's ``line``."""
-    lines = with_line_numbers(read_raw_lines(spark, path))
+    return _parsed(with_line_numbers(read_raw_lines(spark, path)), schema)
+
+
+def _parsed(lines: DataFrame, schema: str) -> DataFrame:
     return lines.select("line", F.from_json("value", schema).alias("row")).select("line", "row.*")
 
 
@@ -66,13 +69,15 @@ def sample_full(
     the returned paths name it. Asking for more rows than there are is an error.
     """
     seed = int(time.time()) if seed is None else seed
-    sample = seeded_order(read_full(spark, full_path, schema), key, seed, num)
+    lines = read_raw_lines(spark, full_path)
+    starts = split_starts(lines)  # of both the line numbers and the offsets
+    sample = seeded_order(_parsed(with_line_numbers(lines, starts), schema), key, seed, num)
     if single_attribute:
         sample = lift_single_attribute(sample)
     sample = pin(sample, "sample")
     if num is not None:
         expect_at_least(sample, num)
-    offsets = sample.select("idx", "line").join(line_offsets(read_raw_lines(spark, full_path)), "line")
+    offsets = sample.select("idx", "line").join(line_offsets(lines, starts), "line")
     shown = [f for f in question_fields if f in sample.columns]
     gold = [c for c in sample.columns if c not in (*shown, "idx", "line")]
     questions, gold_view = views(sample, shown, gold)

@@ -77,10 +77,11 @@ def _file_order(path: str) -> list[Column]:
     return [F.regexp_replace(path, "[^/]*$", ""), number, F.col(path)]
 
 
-def _split_starts(lines: DataFrame) -> DataFrame:
+def split_starts(lines: DataFrame) -> DataFrame:
     """Per split of the scan: rows and bytes before it, and its first sequence number.
 
-    One row per split, written: joins then know its size and need not move the lines to meet it.
+    One row per split, written: joins then know its size and need not move the lines to meet it. The
+    same table serves every scan of the files that cuts them alike.
     """
     size = F.octet_length("value").cast("bigint") + 1
     splits = lines.groupBy("file_path", "block_start").agg(
@@ -108,24 +109,27 @@ def _numbered(lines: DataFrame, starts: DataFrame) -> DataFrame:
     return placed.withColumn("line", line).drop("_place")
 
 
-def with_line_numbers(lines: DataFrame) -> DataFrame:
+def with_line_numbers(lines: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """Add ``line``: the row's 0-based position over all files by folder, part number and name.
 
     Splits are counted, the counts accumulated, and added to the position inside the split; the
-    lines themselves are neither sorted nor shuffled.
+    lines themselves are neither sorted nor shuffled. ``starts`` are their ``split_starts``, if known.
     """
-    return _numbered(lines, _split_starts(lines)).drop(
+    starts = split_starts(lines) if starts is None else starts
+    return _numbered(lines, starts).drop(
         "_n", "_rows_before", "_bytes_before", "_first"
     )
 
 
-def line_offsets(lines: DataFrame) -> DataFrame:
+def line_offsets(lines: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """(line, offset): the byte at which each line starts in its file ('\\n'-separated files).
 
-    Only lengths are shuffled, and the window runs inside one split at a time.
+    Only lengths are shuffled, and the window runs inside one split at a time. ``starts`` are the
+    lines' ``split_starts``, if known.
     """
     size = F.octet_length("value").cast("bigint") + 1
-    narrow = _numbered(lines, _split_starts(lines)).select(
+    starts = split_starts(lines) if starts is None else starts
+    narrow = _numbered(lines, starts).select(
         "file_path", "block_start", "line", "_bytes_before", size.alias("_size")
     )
     inside = Window.partitionBy("file_path", "block_start").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)

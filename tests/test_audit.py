@@ -1,5 +1,6 @@
 import ipaddress
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -30,6 +31,24 @@ def test_longest_blocklist_compiles(spark):
     assert blocklists.EXTRACTION[got[2]] == ["2404.15592"]
 
 
+def test_list_of_groups_against_its_branches(spark):
+    rng = random.Random(3)
+
+    def word(least, most):
+        return "".join(rng.choice("abAB.") for _ in range(rng.randint(least, most)))
+
+    groups = [[word(0, 9) for _ in range(rng.randint(1, 3))] for _ in range(60)] + [["a"], ["zzz", "b"]]
+    for chosen in (groups, groups + [[]], []):
+        urls = [word(0, 30) for _ in range(300)] * 2 + [None, "", "ä" * 12]
+        rows = spark.createDataFrame(list(enumerate(urls)), "i INT, url STRING")
+        listed = spark.createDataFrame(list(enumerate(chosen)), "position INT, parts ARRAY<STRING>")
+        got = {r.i: r.blocked_by for r in audit.blocked_by_list(rows, listed).collect()}
+        assert len(got) == len(urls) and rows.columns + ["blocked_by"] == audit.blocked_by_list(rows, listed).columns
+        for i, url in enumerate(urls):
+            hits = [] if url is None else [n for n, g in enumerate(chosen) if all(p.lower() in url.lower() for p in g)]
+            assert got[i] == min(hits, default=None)
+
+
 def is_local(host):
     try:
         address = ipaddress.ip_address(host)

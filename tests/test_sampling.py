@@ -42,6 +42,14 @@ def test_first_wins(spark):
     assert tuple(counts) == (4, 2, 2)
 
 
+def test_first_wins_keeps_null_keys_and_moves_a_key_once(spark):
+    rows = [(None, 3, "x"), (None, None, "y"), ("a", 2, "z"), ("a", 1, "w")]
+    df = spark.createDataFrame(rows, "k STRING, place INT, v STRING")
+    kept = sampling.first_wins(df, ["k"], ["place"])
+    assert sorted(r.v for r in kept.collect()) == ["w", "y"] and kept.columns == df.columns
+    assert "named_struct(k" not in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_first_wins_with_a_hot_key(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id")).alias("k"), (3000 - F.col("id")).alias("row"))
     kept = {r.k: r.row for r in sampling.first_wins(df, ["k"], ["row"]).collect()}
