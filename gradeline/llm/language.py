@@ -26,6 +26,8 @@ SPACE = np.array([32], dtype=np.uint32)
 MIX, SPREAD = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 #: Up to this many languages every two-way split of them is a bit.
 EXHAUSTIVE = 5
+#: Parts of a language's hashes that are cut to the wanted number each before they meet.
+PARTS = 64
 
 
 def codewords(classes: int, seed: int = 7) -> np.ndarray:
@@ -140,9 +142,11 @@ def learn(labelled: DataFrame, text: str, lang: str, per_language: int) -> Codes
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & (F.length(F.trim("text")) > 0))
     rows = rows.withColumn("hash", F.xxhash64("text"))
-    first = Window.partitionBy("lang").orderBy("hash")
-    picked = rows.select("lang", "hash").distinct().withColumn("nth", F.row_number().over(first))
-    picked = picked.where(F.col("nth") <= per_language).select("lang", "hash")
+    picked = rows.select("lang", "hash").distinct().withColumn("part", F.pmod("hash", F.lit(PARTS)))
+    for keys in (["lang", "part"], ["lang"]):  # of a language that most rows have, parts go on, each cut already
+        first = Window.partitionBy(*keys).orderBy("hash")
+        picked = picked.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_language)
+    picked = picked.select("lang", "hash")
     chosen = rows.join(F.broadcast(picked), ["lang", "hash"]).dropDuplicates(["lang", "hash"])  # per_language rows each
     found = sorted((r.lang, r.text) for r in chosen.select("lang", "text").collect() if has_letter(r.text))
     return Codes.fit([t for _, t in found], [label for label, _ in found])
