@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -14,6 +15,7 @@ from gradeline.operators import detection as det, scoring
 from gradeline.operators.sampling import fallback_labels
 from gradeline.plans.tasks import TASKS, score
 from gradeline.session import fresh_path
+from gradeline.sources import stored
 from gradeline.sources.writers import write_fallback_labels
 
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -113,6 +115,15 @@ def relevance_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same score from gold and predictions that were stored by idx: the join moves neither."""
+    gold, preds = _relevance(spark, sf_dir)
+    found = stored.store_views({"gt": gold, "pred": preds}, f"v{uuid.uuid4().hex}", fresh_path(spark, "stored"))
+    return score(found["gt"], found["pred"], "relevance").select(
+        F.round("micro_f1", 9).alias("micro_f1"), F.round("macro_f1", 9).alias("macro_f1"), "n_scored"
+    )
+
+
 def relevance_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.confusion(scoring.relevance_predictions(*_relevance(spark, sf_dir)))
 
@@ -318,6 +329,7 @@ QUERIES = {
     "extraction_score": (extraction_score, EXTRACTION_SCORE),
     "relevance_replies": (relevance_replies, RELEVANCE_REPLIES),
     "relevance_score": (relevance_score, RELEVANCE_SCORE),
+    "stored_relevance": (stored_relevance, RELEVANCE_SCORE),
     "relevance_confusion": (relevance_confusion, RELEVANCE_CONFUSION),
     "fallback_lookup": (fallback_lookup, FALLBACK_LOOKUP),
     "fallback_inline": (fallback_inline, FALLBACK_INLINE),

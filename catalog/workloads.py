@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalog.base import table
@@ -10,7 +12,7 @@ from gradeline.functions.text import one_line
 from gradeline.operators import sampling, shaping
 from gradeline.plans import workload
 from gradeline.session import fresh_path
-from gradeline.sources import readers, writers
+from gradeline.sources import readers, stored, writers
 
 SEED = 7
 
@@ -107,6 +109,30 @@ DEDUP_COUNTS = """
 SELECT count(*) AS n_read, count(DISTINCT text) AS n_kept, count(*) - count(DISTINCT text) AS n_dropped FROM documents"""
 
 
+def dedup_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kept rows as files, per language, beside the counts that the write took of all rows."""
+    path = fresh_path(spark, "kept")
+    counts = writers.write_first_wins(_docs(spark, sf_dir), ["text"], ["doc_id"], path)
+    per_lang = spark.read.parquet(path).groupBy("lang").agg(F.count("*").alias("n_stored"), F.sum("doc_id").alias("doc_ids"))
+    return per_lang.withColumns({name: F.lit(n).cast("bigint") for name, n in counts.items()})
+
+
+DEDUP_WRITTEN = """
+WITH kept AS (SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1)
+SELECT lang, count(*) AS n_stored, CAST(sum(doc_id) AS BIGINT) AS doc_ids, (SELECT count(*) FROM documents) AS n_read,
+  (SELECT count(*) FROM kept) AS n_kept, (SELECT count(*) FROM documents) - (SELECT count(*) FROM kept) AS n_dropped
+FROM kept GROUP BY lang"""
+
+
+def stored_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question and gold view stored by idx and merged without moving either."""
+    questions, gold = _views(spark, sf_dir)
+    root = fresh_path(spark, "stored")
+    found = stored.store_views({"questions": questions, "gt": gold}, f"v{uuid.uuid4().hex}", root)
+    merged = sampling.merge_views(found["questions"], found["gt"])
+    return merged.select("idx", "doc_id", "lang", "source", F.md5("text").alias("text_md5"))
+
+
 def attribute_unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     values = F.transform(F.split("p_name", " "), lambda w: F.struct(w.alias("value")))
@@ -344,6 +370,8 @@ QUERIES = {
     "holdout_split": (holdout_split, HOLDOUT_SPLIT),
     "first_wins_dedup": (first_wins_dedup, FIRST_WINS_DEDUP),
     "dedup_counts": (dedup_counts, DEDUP_COUNTS),
+    "dedup_written": (dedup_written, DEDUP_WRITTEN),
+    "stored_views": (stored_views, VIEWS_MERGED),
     "attribute_unnest": (attribute_unnest, ATTRIBUTE_UNNEST),
     "union_parts": (union_parts, UNION_PARTS),
     "labels_metadata_join": (labels_metadata_join, LABELS_METADATA_JOIN),

@@ -117,20 +117,25 @@ def lift_single_attribute(df: DataFrame) -> DataFrame:
     )
 
 
-def first_wins(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+def first_wins(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], copies: str | None = None) -> DataFrame:
     """The first row of every key in the given order, which must order the rows of a key totally.
 
     The smallest place per key is an aggregate over places only: copies shrink to one row per task
     before the shuffle, so a key that holds a third of the table costs no more than any other. The
     rows are then kept by key and place, NULLs in either being equal; the columns themselves are the
-    join keys, so a row moves without a second copy of them.
+    join keys, so a row moves without a second copy of them. ``copies`` names a column to be added:
+    how many rows had the key, which the same aggregate counts.
     """
     marks = [f"_first_{i}" for i in range(len(keys) + len(order_by))]
-    first = df.groupBy(*keys).agg(F.min(F.struct(*order_by)).alias("_place"))
+    found = [F.min(F.struct(*order_by)).alias("_place"), *([F.count("*").alias(copies)] if copies else [])]
+    first = df.groupBy(*keys).agg(*found)
     place = [F.col("_place")[c].alias(mark) for c, mark in zip(order_by, marks[len(keys) :])]
-    first = first.select(*[F.col(k).alias(mark) for k, mark in zip(keys, marks)], *place)
+    counted = [copies] if copies else []
+    first = first.select(*[F.col(k).alias(mark) for k, mark in zip(keys, marks)], *place, *counted)
     same = [F.col(c).eqNullSafe(F.col(mark)) for c, mark in zip((*keys, *order_by), marks)]
-    return df.join(first, reduce(and_, same), "left_semi")
+    if copies is None:
+        return df.join(first, reduce(and_, same), "left_semi")
+    return df.join(first, reduce(and_, same)).drop(*marks)
 
 
 def duplicate_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:

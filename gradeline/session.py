@@ -65,7 +65,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of files, on whatever file system it is."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
@@ -80,12 +81,12 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
         paths = _SCOPE.get()
         _SCOPE.reset(before)
         for path in paths:
-            _delete(spark, path)
+            delete(spark, path)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what this application pinned. Call it when no result that reads a pin is needed."""
-    _delete(spark, _app_folder(spark))
+    delete(spark, _app_folder(spark))
 
 
 def pin(df: DataFrame, name: str = "pin") -> DataFrame:

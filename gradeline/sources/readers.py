@@ -81,21 +81,32 @@ def split_starts(lines: DataFrame) -> DataFrame:
     """Per split of the scan: rows and bytes before it, and its first sequence number.
 
     One row per split, written: joins then know its size and need not move the lines to meet it. The
-    same table serves every scan of the files that cuts them alike.
+    same table serves every scan of the files that cuts them alike. Sums go up by level, splits in
+    their file, files in their folder, then folders, so no task sees the splits of all files.
     """
     size = F.octet_length("value").cast("bigint") + 1
     splits = lines.groupBy("file_path", "block_start").agg(
         F.count("*").alias("_n"), F.sum(size).alias("_bytes"), F.min("_seq").alias("_first")
     )
-    so_far = Window.orderBy(*_file_order("file_path"), "block_start").rowsBetween(Window.unboundedPreceding, -1)
-    of_file = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
-    starts = splits.withColumns(
+    def before(amount: str, *within: str, order: list) -> Column:
+        earlier = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(amount).over(earlier), F.lit(0))
+
+    folder, number, name = _file_order("file_path")
+    splits = splits.withColumns(
         {
-            "_rows_before": F.coalesce(F.sum("_n").over(so_far), F.lit(0)),
-            "_bytes_before": F.coalesce(F.sum("_bytes").over(of_file), F.lit(0)),
+            "_in_file": before("_n", "file_path", order=["block_start"]),
+            "_bytes_before": before("_bytes", "file_path", order=["block_start"]),
         }
     )
-    return pin(starts.drop("_bytes"), "splits")
+    files = splits.groupBy("file_path").agg(F.sum("_n").alias("_file_n")).withColumn("_folder", folder)
+    files = files.withColumn("_in_folder", before("_file_n", "_folder", order=[number, name]))
+    folders = files.groupBy("_folder").agg(F.sum("_file_n").alias("_folder_n"))
+    folders = folders.withColumn("_before_folder", before("_folder_n", order=["_folder"])).drop("_folder_n")
+    starts = splits.join(files.join(folders, "_folder"), "file_path")
+    rows_before = F.col("_before_folder") + F.col("_in_folder") + F.col("_in_file")
+    kept = ["file_path", "block_start", "_n", "_first", rows_before.alias("_rows_before"), "_bytes_before"]
+    return pin(starts.select(*kept), "splits")
 
 
 def _numbered(lines: DataFrame, starts: DataFrame) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from gradeline.functions.text import one_line
 from gradeline.operators.batch import keep_every
-from gradeline.session import pin
+from gradeline.operators.sampling import first_wins
+from gradeline.session import delete, pin
 
 
 def sample_tag(seed: int, num: int | None = None) -> str:
@@ -46,6 +47,40 @@ def write_full(df: DataFrame, path: str, fmt: str = "json", order_by: Sequence[s
     rows.write.format(fmt).save(path)
 
 
+def write_counted(
+    df: DataFrame,
+    path: str,
+    counts: Mapping[str, Column] | None = None,
+    hidden: Sequence[str] = (),
+    expected: int | None = None,
+    fmt: str = "parquet",
+) -> dict:
+    """Write ``df`` and return ``n_rows`` and ``counts`` (name -> aggregate), which the write itself took.
+
+    Nothing is read again to count it. Rows are counted in the tasks that write them, where a task
+    run twice counts once. ``hidden`` columns serve the counts only and are not written. If it is
+    not ``expected`` rows, the files are deleted again and an error raised.
+    """
+    seen = Observation()
+    measured = [F.count("*").alias("n_rows"), *[c.alias(name) for name, c in (counts or {}).items()]]
+    df.observe(seen, *measured).drop(*hidden).write.format(fmt).save(path)
+    found = seen.get
+    if expected is not None and found["n_rows"] != expected:
+        delete(df.sparkSession, path)
+        raise ValueError(f"expected {expected:,} rows, found {found['n_rows']:,}")
+    return found
+
+
+def write_first_wins(
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], path: str, expected: int | None = None, fmt: str = "parquet"
+) -> dict[str, int]:
+    """Write the first row of every key; returns n_read, n_kept and n_dropped, all taken by that write."""
+    kept = first_wins(df, keys, order_by, copies="_copies")
+    n_read = {"n_read": F.coalesce(F.sum("_copies"), F.lit(0))}
+    found = write_counted(kept, path, n_read, hidden=["_copies"], expected=expected, fmt=fmt)
+    return {"n_read": found["n_read"], "n_kept": found["n_rows"], "n_dropped": found["n_read"] - found["n_rows"]}
+
+
 def write_fallback_labels(labels: DataFrame, path: str) -> None:
     labels.write.parquet(path)
 

@@ -151,3 +151,22 @@ def test_part_numbers_order_lines(spark, tmp_path):
         (tmp_path / f"part-{number:05d}-x.txt").write_text(f"{number}\n")
     lines = readers.with_line_numbers(readers.read_raw_lines(spark, str(tmp_path)))
     assert [r.value for r in lines.orderBy("line").collect()] == ["7", "99999", "100000"]
+
+
+def test_line_numbers_over_folders_and_many_files(spark, tmp_path):
+    """Sums by file, folder and folders: numbers and offsets as of the files read one after another."""
+    expected, line = {}, 0
+    for folder in ("a", "b", "c"):
+        (tmp_path / folder).mkdir()
+        for n in range(40):
+            texts = [f"{folder}{n}-{i}" + "é" * (n % 3) for i in range(n % 4)]
+            (tmp_path / folder / f"part-{n + 99_980}.txt").write_text("".join(t + "\n" for t in texts))
+            at = 0
+            for t in texts:
+                expected[line] = (t, at)
+                line, at = line + 1, at + len(t.encode()) + 1
+    lines = readers.read_raw_lines(spark, str(tmp_path / "*"))
+    starts = readers.split_starts(lines)
+    offsets = readers.line_offsets(lines, starts)
+    rows = readers.with_line_numbers(lines, starts).join(offsets, "line").collect()
+    assert {r.line: (r.value, r.offset) for r in rows} == expected and len(rows) == line
