@@ -7,7 +7,8 @@ neighbours that the index ranks highest until its window is full, the last of th
 
 from __future__ import annotations
 
-import string
+import re
+import unicodedata
 import zlib
 from collections.abc import Callable
 
@@ -26,10 +27,51 @@ SHARD, K1, B = 2048, 1.2, 0.75
 OFTEN = 16
 #: Seeds whose frequent terms are looked up together.
 SEEDS = 64
-#: Distinct pieces and words whose ids a task remembers before it starts anew.
-PIECES_KEPT, WORDS_KEPT = 300_000, 300_000
-#: What a word's last token ends with in such a vocabulary, and the marks split off its end here.
-WORD_END, MARKS = "</w>", string.punctuation
+#: Distinct words whose ids a task remembers before it starts anew.
+WORDS_KEPT = 300_000
+#: Letters below this have one code point in either case, but for the dotted I, and no composition.
+LATIN_END = "\u0250"
+#: White space of the first 256 code points; what is neither that nor a letter or number is a mark.
+_BLANKS = frozenset("\t\n\x0b\x0c\r \x85\xa0")
+_MARKS = "".join(c for c in map(chr, range(256)) if c not in _BLANKS and unicodedata.category(c)[0] not in "LN")
+#: Marks that end a piece between blanks: in a text of these code points only, and after a letter in any.
+CLOSING = re.compile(rf"([{re.escape(_MARKS)}]+)(?= |\Z)")
+CLOSING_LETTER = re.compile(r"([^\W\d_\u0130])([!-/:-@\[-`{-~]+)(?= |\Z)")
+#: The character that stands for a byte in a byte-level vocabulary: itself if visible, else the next from 256 on.
+_SHOWN = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace()]
+BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)).difference(_SHOWN)))}
+
+
+class _WordIds(dict):
+    """Word -> its ids, worked out when first asked for."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__({"": b""})
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        size = max(self.tokenizer.get_vocab().values()) + 1
+        self.packed = [i.to_bytes(4, "little") for i in range(size)]
+        self.letters = all(self.of_letters(w) == self.whole(w) for w in ("tree", "\xe9t\xe9", "stra\xdfe", "\u0153uvre"))
+
+    def whole(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def of_letters(self, word: str) -> bytes:
+        """Ids of a lower-case word of letters, by the model's merges alone."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return b"".join([self.packed[token.id] for token in self.merge(word)])
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > WORDS_KEPT:
+            self.clear()
+            self[""] = b""
+        low = word.lower()
+        plain = low.isalpha() and (low.isascii() or (max(low) < LATIN_END and len(low) == len(word)))
+        self[word] = ids = self.of_letters(low) if plain and self.letters else self.whole(word)
+        return ids
 
 
 def word_ids(path: str) -> Callable[[str], bytes]:
@@ -37,72 +79,23 @@ def word_ids(path: str) -> Callable[[str], bytes]:
 
     Such a tokenizer treats what blanks separate apart, and lower-cases, so ids are remembered per
     piece between blanks (space, line feed), and the whole text's ids are those of its pieces in a
-    row. A new word of ASCII letters has nothing else to normalise, so its merges are asked of the
-    model itself; other new words of a text go through the tokenizer together.
+    row. Marks that end a piece are apart from the letters before them for the tokenizer too, so a
+    blank is put between: far fewer pieces are then different. A new word of Latin letters has
+    nothing else to normalise, and its merges are asked of the model itself; any other new piece
+    goes through the tokenizer. A text that may hold a special token's name is cut at blanks only.
     """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    vocabulary, merge = tokenizer.get_vocab(), tokenizer.model.tokenize
-    size = max(vocabulary.values()) + 1
-    ends = np.zeros(size, dtype=bool)
-    ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
-    packed = [i.to_bytes(4, "little") for i in range(size)]
-    known: dict[str, bytes] = {"": b""}
-    words: dict[str, bytes] = {"": b""}
-
-    def one(piece: str) -> bytes:
-        return np.array(tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def learn(fresh: list[str]) -> None:
-        """Ids of words of letters only: each is one run of ids up to the first that ends a word."""
-        ids = np.array(tokenizer.encode(" ".join(fresh), add_special_tokens=False).ids, dtype="<u4")
-        last = np.flatnonzero(ends[ids]) + 1
-        if len(last) != len(fresh):  # some letter is two characters in lower case
-            words.update((w, one(w)) for w in fresh)
-            return
-        raw, at = ids.tobytes(), 0
-        for word, end in zip(fresh, (4 * last).tolist()):
-            words[word] = raw[at:end]
-            at = end
-
-    def marked(mark: str) -> bytes:
-        """Ids of closing marks, which are apart from the letters for the tokenizer too."""
-        if mark not in known:
-            known[mark] = one(mark)
-        return known[mark]
+    known = _WordIds(path)
+    ids = known.__getitem__
 
     def encode(text: str) -> bytes:
-        pieces = text.replace("\n", " ").split(" ")
-        found = list(map(known.get, pieces))
-        if None in found:
-            missing = {piece for piece, ids in zip(pieces, found) if ids is None}
-            if len(known) > PIECES_KEPT:
-                known.clear()
-                known[""] = b""
-                missing = set(pieces) - {""}
-            if len(words) > WORDS_KEPT:
-                words.clear()
-                words[""] = b""
-            split = []
-            for piece in missing:
-                word = piece.rstrip(MARKS)
-                if word.isascii() and word.isalpha():
-                    low = word.lower()
-                    ids = words.get(low)
-                    if ids is None:
-                        ids = words[low] = b"".join([packed[t.id] for t in merge(low)])
-                    known[piece] = ids + marked(piece[len(word) :])
-                elif not word or (word.lower().isalpha() and len(word.lower()) == len(word)):
-                    split.append((piece, word, marked(piece[len(word) :])))
-                else:
-                    known[piece] = one(piece)
-            if fresh := list({w for _, w, _ in split}.difference(words)):
-                learn(fresh)
-            for piece, word, mark in split:
-                known[piece] = words[word] + mark
-            found = map(known.__getitem__, pieces)
-        return b"".join(found)
+        text = text.replace("\n", " ")
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+                text = CLOSING.sub(r" \1", text.lower())
+            except UnicodeEncodeError:
+                text = CLOSING_LETTER.sub(r"\1 \2", text)
+        return b"".join(map(ids, text.split(" ")))
 
     return encode
 

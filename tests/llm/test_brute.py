@@ -325,3 +325,26 @@ def test_packing_of_hard_rows(spark):
     for r in pieces:
         tokens[r.doc_id] = tokens.get(r.doc_id, 0) + r.length
     assert tokens == {1: 8, None: 3, 2: 1, 3: 1, 4: 9001}
+
+
+@pytest.mark.parametrize("kept", [3, 300_000])
+def test_word_ids_of_any_characters(monkeypatch, kept):
+    """Random strings of marks, blanks, controls, letters of several scripts and special tokens."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "WORDS_KEPT", kept)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, encode, rng = Tokenizer.from_file(path), packing.word_ids(path), random.Random(3)
+    parts = [
+        [*" \n.,'stAbÉßİœǅςΣ中1²½\xa0\x85\x1c\t«»ªµſK̸　😀ŉ!_-", "é", "<|", "|>", "<|endoftext|>", "re", "ll", "??"],
+        [*map(chr, range(256)), *" " * 40, *".,!'" * 8],
+        [*map(chr, range(1, 0x600)), *" " * 100, *".,!'?" * 40],
+    ]
+    for letters in parts:
+        for _ in range(3000):
+            text = "".join(rng.choices(letters, k=rng.randrange(12)))
+            ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            assert encode(text) == ids.tobytes(), ascii(text)
