@@ -9,7 +9,7 @@ import pytest
 import xxhash
 
 import public_tokenizers
-from gradeline.llm import bpe, pii, queries, secrets, simhash
+from gradeline.llm import bpe, packing, pii, queries, secrets, simhash
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
