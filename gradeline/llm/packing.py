@@ -51,8 +51,6 @@ class _WordIds(dict):
         super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
-        size = max(self.tokenizer.get_vocab().values()) + 1
-        self.packed = [i.to_bytes(4, "little") for i in range(size)]
         self.letters = all(self.of_letters(w) == self.whole(w) for w in ("tree", "\xe9t\xe9", "stra\xdfe", "\u0153uvre"))
 
     def whole(self, piece: str) -> bytes:
@@ -62,7 +60,7 @@ class _WordIds(dict):
         """Ids of a lower-case word of letters, by the model's merges alone."""
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(BYTE_LETTERS)
-        return b"".join([self.packed[token.id] for token in self.merge(word)])
+        return b"".join([token.id.to_bytes(4, "little") for token in self.merge(word)])
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > WORDS_KEPT:
@@ -113,6 +111,11 @@ def tokenised(docs: DataFrame, key: str, text: str, path: str, end_id: int) -> D
     return map_arrow(rows, f"key {kind}, ids binary", start).withColumnRenamed("key", key)
 
 
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """Where each distinct value of a sorted array begins."""
+    return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))[: len(ordered)]
+
+
 _SHAPE = "n_ids bigint, whole binary, marks binary, terms binary, counts binary"
 
 
@@ -125,10 +128,11 @@ def _shape(ids: bytes, window: int) -> tuple:
     for a in range(rest, len(ids), 4 * GRID):
         crc = zlib.crc32(ids[a : a + 4 * GRID], crc)
         marks.append(crc)
-    terms, counts = np.unique(np.frombuffer(ids, dtype="<u4")[:-1], return_counts=True)
+    every = np.sort(np.frombuffer(ids, dtype="<u4")[:-1])
+    new = _firsts(every)
     return (
         n, np.array(whole, dtype="<u4").tobytes(), np.array(marks, dtype="<u4").tobytes(),
-        terms.astype("<u4").tobytes(), counts.astype("<u4").tobytes(),
+        every[new].tobytes(), np.diff(new, append=n - 1).astype("<u4").tobytes(),
     )
 
 
@@ -175,14 +179,21 @@ class Weights:
         self.idf = np.log1p((documents - document_counts + 0.5) / (document_counts + 0.5))
         self.mean = max(mean, 1.0)
 
-    def of(self, terms: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
+    def of(self, terms: np.ndarray, counts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
         bent = counts + K1 * (1 - B + B * length / self.mean)
         return self.idf[terms] * counts * (K1 + 1) / bent
 
-    def telling(self, terms: bytes, counts: bytes, length: int) -> int:
-        """The term with the largest weight; -1 without terms."""
-        t = np.frombuffer(terms, dtype="<u4")
-        return int(t[np.argmax(self.of(t, np.frombuffer(counts, dtype="<u4"), length))]) if len(t) else -1
+    def telling(self, terms: list[bytes], counts: list[bytes], lengths: list[int]) -> np.ndarray:
+        """The term with the largest weight of each document, the first of equal ones; -1 without terms."""
+        t, c = (np.frombuffer(b"".join(v), dtype="<u4") for v in (terms, counts))
+        size = np.array([len(v) // 4 for v in terms], dtype=np.int64)
+        held, out = size > 0, np.full(len(size), -1, dtype=np.int64)
+        if held.any():
+            value = self.of(t, c, np.repeat(np.array(lengths, dtype=np.int64), size))
+            first = (np.cumsum(size) - size)[held]
+            most = np.flatnonzero(value == np.repeat(np.maximum.reduceat(value, first), size[held]))
+            out[held] = t[most[np.searchsorted(most, first)]]
+        return out
 
 
 def _shards(found: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -226,7 +237,10 @@ class _Index:
         order = np.argsort(every, kind="stable")
         docs = np.repeat(np.arange(self.n), [len(t) for t in self.query])[order]
         value = np.concatenate(scored)[order]
-        self.terms, number, size = np.unique(every[order], return_inverse=True, return_counts=True)
+        ordered = every[order]
+        first = _firsts(ordered)
+        self.terms, size = ordered[first], np.diff(first, append=len(ordered))
+        number = np.repeat(np.arange(len(first)), size)
         often = size * OFTEN > self.n
         self.row = np.where(often, np.cumsum(often) - 1, -1)
         self.whole = np.zeros((int(often.sum()), self.n))
@@ -324,7 +338,7 @@ def pack(docs: DataFrame, key: str, text: str, path: str, end_id: int, window: i
 
     def telling():
         def step(columns):
-            return [[weights.telling(t, c, n) for t, c, n in zip(*columns)]]
+            return [weights.telling(*columns).tolist()]
 
         return step
 
@@ -333,8 +347,7 @@ def pack(docs: DataFrame, key: str, text: str, path: str, end_id: int, window: i
 
     def dealt():
         def step(columns):
-            own = [weights.telling(t, c, n) for t, c, n in zip(columns[4], columns[5], columns[1])]
-            at = np.searchsorted(terms, own)
+            at = np.searchsorted(terms, weights.telling(columns[4], columns[5], columns[1]))
             salt = [zlib.crc32(str(i["row"]).encode()) for i in columns[0]]
             return [*columns, (first[at] + np.array(salt, dtype=np.int64) % spread[at]).tolist()]
 
