@@ -7,6 +7,7 @@ neighbours that the index ranks highest until its window is full, the last of th
 
 from __future__ import annotations
 
+import codecs
 import re
 import unicodedata
 import zlib
@@ -34,12 +35,14 @@ LATIN_END = "\u0250"
 #: White space of the first 256 code points; what is neither that nor a letter or number is a mark.
 _BLANKS = frozenset("\t\n\x0b\x0c\r \x85\xa0")
 _MARKS = "".join(c for c in map(chr, range(256)) if c not in _BLANKS and unicodedata.category(c)[0] not in "LN")
-#: Marks that end a piece between blanks: in a text of these code points only, and after a letter in any.
-CLOSING = re.compile(rf"([{re.escape(_MARKS)}]+)(?= |\Z)")
+#: For each of the first 256 code points, whether it is a mark.
+_IS_MARK = np.isin(np.arange(256), [ord(c) for c in _MARKS])
+#: Marks that end a piece between blanks after a letter, in a text of any code points.
 CLOSING_LETTER = re.compile(r"([^\W\d_\u0130])([!-/:-@\[-`{-~]+)(?= |\Z)")
 #: The character that stands for a byte in a byte-level vocabulary: itself if visible, else the next from 256 on.
 _SHOWN = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace()]
 BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)).difference(_SHOWN)))}
+_LETTER_OF_BYTE = "".join(BYTE_LETTERS.get(b, chr(b)) for b in range(256))
 
 
 class _WordIds(dict):
@@ -51,6 +54,7 @@ class _WordIds(dict):
         super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values(), default=-1) + 1)]
         self.letters = all(self.of_letters(w) == self.whole(w) for w in ("tree", "\xe9t\xe9", "stra\xdfe", "\u0153uvre"))
 
     def whole(self, piece: str) -> bytes:
@@ -59,8 +63,9 @@ class _WordIds(dict):
     def of_letters(self, word: str) -> bytes:
         """Ids of a lower-case word of letters, by the model's merges alone."""
         if not word.isascii():
-            word = word.encode().decode("latin-1").translate(BYTE_LETTERS)
-        return b"".join([token.id.to_bytes(4, "little") for token in self.merge(word)])
+            word = codecs.charmap_decode(word.encode(), "strict", _LETTER_OF_BYTE)[0]
+        id_bytes = self.id_bytes
+        return b"".join([id_bytes[token.id] for token in self.merge(word)])
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > WORDS_KEPT:
@@ -72,6 +77,19 @@ class _WordIds(dict):
         return ids
 
 
+def _closing_apart(text: bytes) -> bytes:
+    """A Latin-1 text with a blank before every run of marks that ends at a blank or the text's end."""
+    chars = np.frombuffer(b" %b " % text, dtype=np.uint8)
+    marks = _IS_MARK[chars]
+    edges = np.flatnonzero(marks[1:] != marks[:-1]) + 1  # where a run begins, where it has ended, and so on
+    at = edges[::2][chars[edges[1::2]] == 32]
+    old = np.ones(len(chars) + len(at), dtype=bool)
+    old[at + np.arange(len(at))] = False
+    apart = np.full(len(old), 32, dtype=np.uint8)
+    apart[old] = chars
+    return apart[1:-1].tobytes()
+
+
 def word_ids(path: str) -> Callable[[str], bytes]:
     """Text -> its ids, little-endian unsigned 32-bit, by a tokenizer that drops white space.
 
@@ -89,8 +107,7 @@ def word_ids(path: str) -> Callable[[str], bytes]:
         text = text.replace("\n", " ")
         if "<|" not in text:
             try:
-                text.encode("latin-1")
-                text = CLOSING.sub(r" \1", text.lower())
+                text = _closing_apart(text.lower().encode("latin-1")).decode("latin-1")
             except UnicodeEncodeError:
                 text = CLOSING_LETTER.sub(r"\1 \2", text)
         return b"".join(map(ids, text.split(" ")))

@@ -348,3 +348,16 @@ def test_word_ids_of_any_characters(monkeypatch, kept):
             text = "".join(rng.choices(letters, k=rng.randrange(12)))
             ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
             assert encode(text) == ids.tobytes(), ascii(text)
+
+
+def test_closing_marks_are_set_apart_at_once():
+    """The same blanks as by a search for runs of marks before a blank or the end."""
+    import random
+    import re
+
+    marks, rng = re.escape(packing._MARKS), random.Random(5)
+    for letters in (" .,!a\xe9", "a.", [*map(chr, range(256)), *" .!" * 40]):
+        for _ in range(2000):
+            text = "".join(rng.choices(letters, k=rng.randrange(15)))
+            expected = re.sub(rf"([{marks}]+)(?= |\Z)", r" \1", text)
+            assert packing._closing_apart(text.encode("latin-1")).decode("latin-1") == expected, ascii(text)
