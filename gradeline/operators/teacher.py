@@ -8,13 +8,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from gradeline.functions.requests import first_turn, prompt_completion, reply_content
 from gradeline.functions.text import count_words
 
 #: Rows of one model call.
 LOCAL_CHUNK = 50_000
+#: Code points of prompts after which a call is made with fewer rows, so that long ones are not all held.
+CALL_CHARS = 1 << 27
 
 
 def teacher_rows(records: DataFrame) -> DataFrame:
@@ -108,36 +109,39 @@ def label_rows(
     """Add ``pred``: a supplied model's reply to each prompt, ``chunk`` rows per model call.
 
     ``make_predict`` runs once per task and returns array of prompts -> sequence of replies; one
-    that caches its model in an importable module loads it once per worker. A task gathers Arrow
-    batches until it has ``chunk`` rows; its last call has what is left. A NULL prompt gets NULL
-    without a call. Rows keep their columns, so the order is whatever ``idx`` says. Each evaluation
-    asks the model again: write the result before using it twice.
+    that caches its model in an importable module loads it once per worker. A task gathers the
+    prompts alone until it has ``chunk`` rows, or CALL_CHARS of text before that; its last call has
+    what is left. A NULL prompt gets NULL without a call. Rows keep their columns, which Python does
+    not see, so the order is whatever ``idx`` says. Each evaluation asks the model again: write the
+    result before using it twice.
     """
-    rows = df.drop("pred")
-    place = rows.columns.index(prompt)
 
-    def answered(model: Callable, table: pa.Table) -> Iterator[pa.RecordBatch]:
-        prompts = table.column(place).to_pylist()
+    def answered(model: Callable, prompts: list[str | None]) -> pa.Array:
         asked = [i for i, p in enumerate(prompts) if p is not None]
         replies = [None] * len(prompts)
         if asked:
-            for i, reply in zip(asked, model(np.array([prompts[i] for i in asked], dtype=object))):
+            texts = np.empty(len(asked), dtype=object)
+            texts[:] = [prompts[i] for i in asked]
+            for i, reply in zip(asked, model(texts)):
                 replies[i] = reply
-        yield from table.append_column("pred", pa.array(replies, pa.string())).combine_chunks().to_batches()
+        return pa.array(replies, pa.string())
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, held = None, None
+    @F.arrow_udf("string")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model, held, chars = None, [], 0
         for batch in batches:
             model = model or make_predict()
-            new = pa.Table.from_batches([batch])
-            held = new if held is None else pa.concat_tables([held, new])
-            while held.num_rows >= chunk:
-                yield from answered(model, held.slice(0, chunk))
-                held = held.slice(chunk)
-        if held is not None and held.num_rows:
-            yield from answered(model, held)
-
-    return rows.mapInArrow(predict, StructType([*rows.schema.fields, StructField("pred", StringType())]))
+            for text in batch.to_pylist():
+                held.append(text)
+                chars += len(text) if isinstance(text, str) else 0
+                if len(held) >= chunk or chars >= CALL_CHARS:
+                    yield answered(model, held)
+                    held, chars = [], 0
+        if held:
+            yield answered(model, held)
+
+    # not deterministic: the planner neither repeats a call nor moves one
+    return df.drop("pred").withColumn("pred", predict.asNondeterministic()(F.col(f"`{prompt}`")))
 
 
 def local_response(text: Column, error: Column, n_prompt: Column, n_reply: Column) -> Column:

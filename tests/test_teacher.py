@@ -104,6 +104,37 @@ def test_model_calls_have_the_chunk_size(spark):
     assert [r.s.id for r in got] == list(range(25))
 
 
+def test_long_prompts_are_not_all_held_at_once(spark, monkeypatch):
+    def load():
+        return lambda texts: [str(len(texts))] * len(texts)
+
+    monkeypatch.setattr(teacher, "CALL_CHARS", 40)
+    prompt = F.when(F.col("id") == 2, F.repeat(F.lit("x"), F.lit(100))).when(F.col("id") != 5, F.lit("0123456789"))
+    df = spark.range(12, numPartitions=1).select("id", prompt.alias("prompt"))
+    got = teacher.label_rows(df, "prompt", load, chunk=10).collect()
+    assert [r.pred for r in got] == ["3"] * 3 + ["4"] * 2 + [None] + ["4"] * 2 + ["4"] * 4
+    assert [r.id for r in got] == list(range(12))
+
+
+def test_a_model_sees_the_prompts_alone(spark):
+    """Other columns stay out of the Python workers, and a condition on the reply asks nothing again."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def load():
+        def predict(texts):
+            asked.add(len(texts))
+            return [t[::-1] for t in texts]
+
+        return predict
+
+    df = spark.range(40).select("id", F.repeat(F.lit("w"), F.lit(9)).alias("wide"), F.format_string("p%s", "id").alias("prompt"))
+    rows = teacher.label_rows(df, "prompt", load)
+    assert rows.columns == ["id", "wide", "prompt", "pred"]
+    assert "MapInArrow" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.pred for r in rows.where("pred >= '3' AND length(pred) = 3").collect()} == {i: f"p{i}"[::-1] for i in range(10, 40) if f"{i}"[1] >= "3"}
+    assert asked.value == 40
+
+
 def test_each_prompt_is_asked_once_when_predictions_are_written(spark, tmp_path):
     from gradeline.sources.writers import write_predictions
 
