@@ -38,7 +38,7 @@ def _growing_ledger(spark: SparkSession, sf_dir: str) -> LedgerStream:
     calls, path = _logged(spark, sf_dir), fresh_path(spark, "calls")
     stream = LedgerStream(fresh_path(spark, "ledger"), accounting.BUDGET)
     cuts = calls.approxQuantile("time", [i / ARRIVALS for i in range(1, ARRIVALS)], 0.01)
-    arrival = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: F.col("time") >= cut))
+    arrival = sum((F.coalesce((F.col("time") >= cut).cast("int"), F.lit(0)) for cut in cuts), F.lit(0))
     for number in range(ARRIVALS):
         calls.where(arrival == number).write.mode("append").json(path)
         stream.run(read_call_log(spark, path))

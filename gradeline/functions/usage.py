@@ -54,10 +54,11 @@ def with_usage(df: DataFrame, body: str = "body") -> DataFrame:
     one anywhere leaves the call without usage. Prompt tokens include cache reads and writes, so both
     are taken out of the input counter.
     """
-    documents = usage_documents(F.col(body))
-    chunks = F.transform(documents, lambda d: F.from_json(d, _CHUNK, _STRICT))
-    broken = F.exists(documents, lambda d: ~is_json_body(d)) | F.exists("_chunks", lambda c: c["_malformed"].isNotNull())
-    parsed = df.withColumn("_chunks", chunks).withColumn("_broken", ~is_json_body(F.col(body)) & broken)
+    chunks = F.transform("_documents", lambda d: F.from_json(d, _CHUNK, _STRICT))
+    broken = F.exists("_documents", lambda d: ~is_json_body(d)) | F.exists("_chunks", lambda c: c["_malformed"].isNotNull())
+    # a column of its own: a body is cut into documents once, whatever looks at them
+    parsed = df.withColumn("_documents", usage_documents(F.col(body))).withColumn("_chunks", chunks)
+    parsed = parsed.withColumn("_broken", ~is_json_body(F.col(body)) & broken)
     last = F.try_element_at("_chunks", F.lit(-1))["usage"]
     parsed = parsed.withColumn("_raw", F.when(~F.coalesce("_broken", F.lit(False)), F.from_json(last, schemas.USAGE)))
     cached = F.col("_raw.prompt_tokens_details.cached_tokens")
@@ -76,7 +77,7 @@ def with_usage(df: DataFrame, body: str = "body") -> DataFrame:
         .when(~complete, "usage incomplete")
     )
     usage = F.when(complete, F.struct(*[v.alias(n) for v, n in zip(values, COUNTERS)]))
-    return parsed.withColumn("usage_reason", reason).withColumn("usage", usage).drop("_raw", "_chunks", "_broken")
+    return parsed.withColumn("usage_reason", reason).withColumn("usage", usage).drop("_raw", "_documents", "_chunks", "_broken")
 
 
 def billed_usage(usage: Column, mtok: Column) -> Column:

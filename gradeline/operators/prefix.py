@@ -17,6 +17,8 @@ from gradeline.session import pin
 BLOCK = "_block"
 #: Rows that one task sorts; the number of blocks follows from the number of rows.
 BLOCK_ROWS = 1 << 20
+#: Rows below which a block is not made smaller to give every core one.
+LEAST_ROWS = 1 << 15
 
 
 def prefix_sums(
@@ -37,11 +39,16 @@ def prefix_sums(
     they are pinned, because two evaluations would sample different bounds.
     """
     rows = pin(df, "rows")
-    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
+    blocks = block_count(rows.count(), df.sparkSession.sparkContext.defaultParallelism)
     ranged = rows.repartitionByRange(blocks, *within, *order_by).withColumn(BLOCK, F.spark_partition_id())
     return sums_over_blocks(pin(ranged, "ranged"), sums, order_by, within, as_type, opening=opening).drop(BLOCK)
 
 
+def block_count(rows: int, cores: int) -> int:
+    """Blocks for so many rows: none beyond BLOCK_ROWS, and one a core where that leaves LEAST_ROWS in each."""
+    return max(1, -(-rows // BLOCK_ROWS), min(cores, rows // LEAST_ROWS))
+
+
 def _as_columns(sums: Mapping[str, Column | str]) -> dict[str, Column]:
     return {name: F.col(c) if isinstance(c, str) else c for name, c in sums.items()}
 

@@ -10,7 +10,7 @@ from gradeline import schemas
 from gradeline.functions.usage import with_usage
 from gradeline.operators.cost import MTOK, mtok_cost
 from gradeline.operators.ledger import first_exhausted, running_ledger
-from gradeline.session import scratch_scope
+from gradeline.session import pin, scratch_scope
 from gradeline.streaming.keyed import KeyedTable
 from gradeline.streaming.sinks import each_batch
 
@@ -63,10 +63,11 @@ class LedgerStream:
 
     def _write(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        calls = metered(batch).select("run", *ORDER, "status_code", "usage_reason", "mtok")
+        # written once, so that the bodies are not parsed again to see which runs are touched
+        calls = pin(metered(batch).select("run", *ORDER, "status_code", "usage_reason", "mtok"), "calls")
         opening = self.state.before(spark, number)
         if opening is not None:
-            touched = batch.select(F.col("run").alias("touched")).distinct()
+            touched = calls.select(F.col("run").alias("touched")).distinct()
             opening = opening.join(touched, F.col("run").eqNullSafe(F.col("touched")), "left_semi")
         ledger = running_ledger(calls, self.budget, ORDER, opening=opening)
         ledger.write.mode("overwrite").parquet(self._path("ledger", number))

@@ -135,3 +135,17 @@ def test_statuses(spark):
     assert spent["a"].remaining_mtok == Decimal("-0.25") and spent["a"].exhausted and spent["b"].spent_mtok == 0
     used = {r.run: r for r in ledger.time_status(df, 10).collect()}
     assert (used["a"].used_time_min, used["a"].remaining_time_min) == (3.0, 7.0)
+
+
+def test_every_core_gets_a_block_of_many_rows(spark, monkeypatch):
+    most, least = 1 << 20, prefix.LEAST_ROWS
+    monkeypatch.setattr(prefix, "BLOCK_ROWS", most)
+    assert [prefix.block_count(n, 12) for n in (0, 1, least, 3 * least, most, 30 * most)] == [1, 1, 1, 3, 12, 30]
+    monkeypatch.setattr(prefix, "LEAST_ROWS", 10)
+    monkeypatch.setattr(prefix, "pin", lambda df, name: pinned.append(df.localCheckpoint()) or pinned[-1])
+    pinned = []
+    rows = spark.range(100).select((F.col("id") % 3).alias("g"), "id")
+    got = {r.id: r.s for r in prefix.prefix_sums(rows, {"s": "id"}, ["id"], ["g"]).collect()}
+    assert got == {i: sum(range(i % 3, i, 3)) for i in range(100)}
+    cores = spark.sparkContext.defaultParallelism
+    assert pinned[-1].select(prefix.BLOCK).distinct().count() == min(cores, 10)
