@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from catalog.base import derive, plain, table
 from gradeline.functions.usage import COUNTERS, with_usage
 from gradeline.operators.sampling import seeded_order
-from gradeline.session import fresh_path
+from gradeline.session import fresh_path, pin
 from gradeline.sources import readers
 from gradeline.sources.run_files import RunFiles
 
@@ -79,7 +79,8 @@ _ORDER = f"row_number() OVER (ORDER BY md5(concat('{SEED}:', doc_id)), doc_id) -
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = seeded_order(table(spark, sf_dir, "documents"), "doc_id", SEED)
     cost = (F.col("n_chars") / 1000).cast("decimal(28,9)").alias("mtok")
-    return sample.select("idx", F.col("text").alias("pred"), F.col("source").alias("response"), cost)
+    # a run's dataset is a stored sample: its rows are put in order once, not for every append
+    return pin(sample.select("idx", F.col("text").alias("pred"), F.col("source").alias("response"), cost), "sample")
 
 
 def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:

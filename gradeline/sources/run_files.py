@@ -99,7 +99,10 @@ class RunFiles:
     def predictions(self) -> DataFrame:
         """(idx, pred) of all committed appends."""
         found = self._folders("out")
-        return self.spark.read.schema(PREDICTION).parquet(*found) if found else self.spark.createDataFrame([], PREDICTION)
+        if found:
+            return self.spark.read.schema(PREDICTION).parquet(*found)
+        # known to the planner as empty, so that rows which meet it are not moved for it
+        return self.spark.range(0).select(F.col("id").alias("idx"), F.lit(None).cast("string").alias("pred")).where("false")
 
     def numbered(self) -> DataFrame:
         """(idx, pred, number): also the append that a prediction came with."""

@@ -60,3 +60,22 @@ def test_repeated_index_is_reported(spark, tmp_path):
     run = RunFiles(spark, str(tmp_path / "run"))
     run.append(records(spark, [1, 1, 2]))
     assert run.state(spark.range(5).withColumnRenamed("id", "idx")).first().problem == "an index has several predictions"
+
+
+def test_rows_are_not_moved_to_meet_a_run_without_predictions(spark, tmp_path):
+    run = RunFiles(spark, f"{tmp_path}/run")
+    assert run.predictions().schema.simpleString() == "struct<idx:bigint,pred:string>" and run.predictions().isEmpty()
+    rows = spark.range(50).select(F.lit("p").alias("pred"), F.col("id").alias("idx"))
+    left = run.pending(rows)
+    assert "Exchange" not in left._jdf.queryExecution().executedPlan().toString()
+    assert left.columns == ["idx", "pred"] and sorted(r.idx for r in left.collect()) == list(range(50))
+
+
+def test_a_runs_sample_is_put_in_order_once(spark, tmp_path):
+    from catalog import logs
+
+    docs = [(i, f"t{i}", "src0", 10 * i) for i in range(30)]
+    spark.createDataFrame(docs, "doc_id BIGINT, text STRING, source STRING, n_chars BIGINT").write.parquet(f"{tmp_path}/documents.parquet")
+    records = logs._records(spark, str(tmp_path))
+    assert "Window" not in records._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.idx for r in records.collect()) == list(range(30))
