@@ -14,8 +14,8 @@ from gradeline.functions.text import count_words
 
 #: Rows of one model call.
 LOCAL_CHUNK = 50_000
-#: Code points of prompts after which a call is made with fewer rows, so that long ones are not all held.
-CALL_CHARS = 1 << 27
+#: Code points of prompts after which a call is made with fewer rows, so that a task holds few at once.
+CALL_CHARS = 1 << 22
 
 
 def teacher_rows(records: DataFrame) -> DataFrame:
@@ -131,7 +131,8 @@ def label_rows(
         model, held, chars = None, [], 0
         for batch in batches:
             model = model or make_predict()
-            for text in batch.to_pylist():
+            for value in batch:  # one by one: a batch's rows may be long too
+                text = value.as_py()
                 held.append(text)
                 chars += len(text) if isinstance(text, str) else 0
                 if len(held) >= chunk or chars >= CALL_CHARS:

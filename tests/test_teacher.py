@@ -116,6 +116,15 @@ def test_long_prompts_are_not_all_held_at_once(spark, monkeypatch):
     assert [r.id for r in got] == list(range(12))
 
 
+def test_a_call_holds_a_few_million_code_points(spark):
+    def load():
+        return lambda texts: [str(sum(map(len, texts)))] * len(texts)
+
+    df = spark.range(250, numPartitions=1).select(F.repeat(F.lit("x"), F.lit(50_000)).alias("prompt"))
+    got = [int(r.pred) for r in teacher.label_rows(df, "prompt", load).select("pred").collect()]
+    assert len(got) == 250 and max(got) < (1 << 22) + 50_000
+
+
 def test_a_model_sees_the_prompts_alone(spark):
     """Other columns stay out of the Python workers, and a condition on the reply asks nothing again."""
     asked = spark.sparkContext.accumulator(0)
