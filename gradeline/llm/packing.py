@@ -11,13 +11,17 @@ import codecs
 import re
 import unicodedata
 import zlib
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from gradeline.llm.common import map_arrow
+from gradeline.llm.common import map_arrow, slices
 from gradeline.session import pin
 
 #: A rest is cut at multiples of so many ids, whose running checksums its row carries.
@@ -72,8 +76,14 @@ class _WordIds(dict):
             self.clear()
             self[""] = b""
         low = word.lower()
-        plain = low.isalpha() and (low.isascii() or (max(low) < LATIN_END and len(low) == len(word)))
-        self[word] = ids = self.of_letters(low) if plain and self.letters else self.whole(word)
+        if not (self.letters and low.isalpha()):
+            ids = self.whole(word)
+        elif low.isascii():
+            id_bytes = self.id_bytes
+            ids = b"".join([id_bytes[token.id] for token in self.merge(low)])
+        else:
+            ids = self.of_letters(low) if max(low) < LATIN_END and len(low) == len(word) else self.whole(word)
+        self[word] = ids
         return ids
 
 
@@ -90,8 +100,27 @@ def _closing_apart(text: bytes) -> bytes:
     return apart[1:-1].tobytes()
 
 
-def word_ids(path: str) -> Callable[[str], bytes]:
-    """Text -> its ids, little-endian unsigned 32-bit, by a tokenizer that drops white space.
+def _pieces(texts: list[str]) -> list[str]:
+    """The texts with a blank for every line feed, and one before closing marks where that is the same to a tokenizer.
+
+    Latin-1 texts are done together, with a line feed between two of them.
+    """
+    out, plain, at = [t.replace("\n", " ") for t in texts], [], []
+    for i, text in enumerate(out):
+        if "<|" not in text:
+            try:
+                plain.append(text.lower().encode("latin-1"))
+                at.append(i)
+            except UnicodeEncodeError:
+                out[i] = CLOSING_LETTER.sub(r"\1 \2", text)
+    if plain:
+        for i, text in zip(at, _closing_apart(b" \n ".join(plain)).decode("latin-1").split(" \n ")):
+            out[i] = text
+    return out
+
+
+def texts_ids(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """Texts -> the ids of all of them in a row, and where each text's ids end, by a tokenizer that drops white space.
 
     Such a tokenizer treats what blanks separate apart, and lower-cases, so ids are remembered per
     piece between blanks (space, line feed), and the whole text's ids are those of its pieces in a
@@ -99,30 +128,69 @@ def word_ids(path: str) -> Callable[[str], bytes]:
     blank is put between: far fewer pieces are then different. A new word of Latin letters has
     nothing else to normalise, and its merges are asked of the model itself; any other new piece
     goes through the tokenizer. A text that may hold a special token's name is cut at blanks only.
+    Each different piece of the texts is looked up once.
     """
     known = _WordIds(path)
-    ids = known.__getitem__
 
-    def encode(text: str) -> bytes:
-        text = text.replace("\n", " ")
-        if "<|" not in text:
-            try:
-                text = _closing_apart(text.lower().encode("latin-1")).decode("latin-1")
-            except UnicodeEncodeError:
-                text = CLOSING_LETTER.sub(r"\1 \2", text)
-        return b"".join(map(ids, text.split(" ")))
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        cut = pc.split_pattern(pa.array(_pieces(texts), type=pa.large_string()), " ")
+        pieces = cut.values.dictionary_encode()
+        number = pieces.indices.to_numpy()
+        ids = list(map(known.__getitem__, pieces.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        table = np.frombuffer(b"".join(ids), dtype="<u4")
+        first, held = (np.cumsum(size) - size)[number], size[number]
+        end = np.cumsum(held)
+        found = table[np.repeat(first - end + held, held) + np.arange(end[-1] if len(end) else 0)]
+        return found, np.append(0, end)[cut.offsets.to_numpy()[1:]]
 
     return encode
 
 
+def word_ids(path: str) -> Callable[[str], bytes]:
+    """Text -> its ids, little-endian unsigned 32-bit, as ``texts_ids`` finds them."""
+    encode = texts_ids(path)
+    return lambda text: encode([text])[0].tobytes()
+
+
+def _extended(
+    df: DataFrame, keep: list[str], added: str, start: Callable[[], Callable[[pa.RecordBatch], list]]
+) -> DataFrame:
+    """The columns ``keep`` as they are, which become no Python objects, and the columns ``added``.
+
+    ``start`` runs once per task and returns the function from a slice of rows to their new columns.
+    """
+    kinds, arrow = dict(df.dtypes), to_arrow_schema(StructType.fromDDL(added))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = None
+        for batch in batches:
+            step = step or start()
+            for part in slices(batch):
+                new = [pa.array(c, type=f.type) for c, f in zip(step(part), arrow)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *new], names=[*keep, *arrow.names])
+
+    return df.mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in keep), added]))
+
+
+def _objects(rows: pa.RecordBatch, *names: str) -> list[list]:
+    """Columns without NULL as lists of Python objects."""
+    return [rows.column(n).to_numpy(zero_copy_only=False).tolist() for n in names]
+
+
 def tokenised(docs: DataFrame, key: str, text: str, path: str, end_id: int) -> DataFrame:
     """``key``, ``ids`` (binary) of every row's whole text, ``end_id`` behind; NULL counts as empty."""
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     last = np.array([end_id], dtype="<u4").tobytes()
 
     def start():
-        encode = word_ids(path)
-        return lambda columns: [columns[0], [encode(t) + last for t in columns[1]]]
+        encode = texts_ids(path)
+
+        def step(columns):
+            ids, ends = encode(columns[1])
+            return [columns[0], [part.tobytes() + last for part in np.split(ids, ends[:-1])]]
+
+        return step
 
     kind = dict(rows.dtypes)["key"]
     return map_arrow(rows, f"key {kind}, ids binary", start).withColumnRenamed("key", key)
@@ -136,39 +204,42 @@ def _firsts(ordered: np.ndarray) -> np.ndarray:
 _SHAPE = "n_ids bigint, whole binary, marks binary, terms binary, counts binary"
 
 
-def _shape(ids: bytes, window: int) -> tuple:
-    """Count, checksums of whole windows, running checksums of the rest, distinct terms and counts."""
-    n, wide = len(ids) // 4, 4 * window
-    rest = n // window * wide
-    whole = [zlib.crc32(ids[a : a + wide]) for a in range(0, rest, wide)]
-    marks, crc = [0], 0
-    for a in range(rest, len(ids), 4 * GRID):
-        crc = zlib.crc32(ids[a : a + 4 * GRID], crc)
-        marks.append(crc)
-    every = np.sort(np.frombuffer(ids, dtype="<u4")[:-1])
+def _shapes(found: np.ndarray, ends: np.ndarray, end_id: int, window: int) -> list[list]:
+    """Of each text, from the ids of all and where each text's end; ``end_id`` comes behind every text's ids.
+
+    The columns: count, checksums of whole windows, running checksums of the rest, distinct terms and their counts.
+    """
+    size, last, wide = np.diff(ends, prepend=0), np.array([end_id], dtype="<u4").tobytes(), 4 * window
+    whole, marks = [], []
+    for a, b in zip((ends - size).tolist(), ends.tolist()):
+        ids = found[a:b].tobytes() + last
+        rest = len(ids) // wide * wide
+        whole.append(array("I", [zlib.crc32(ids[i : i + wide]) for i in range(0, rest, wide)]).tobytes())
+        crc, running = 0, [0]
+        for i in range(rest, len(ids), 4 * GRID):
+            crc = zlib.crc32(ids[i : i + 4 * GRID], crc)
+            running.append(crc)
+        marks.append(array("I", running).tobytes())
+    every = np.repeat(np.arange(len(size)) << 32, size) | found
+    every.sort()
     new = _firsts(every)
-    return (
-        n, np.array(whole, dtype="<u4").tobytes(), np.array(marks, dtype="<u4").tobytes(),
-        every[new].tobytes(), np.diff(new, append=n - 1).astype("<u4").tobytes(),
-    )
+    times = np.diff(new, append=len(every)).astype("<u4").tobytes()
+    terms = every[new]
+    edges = np.searchsorted(terms >> 32, np.arange(len(size) + 1)) * 4
+    terms = terms.astype("<u4").tobytes()  # without the text's number above
+    parts = list(zip(edges.tolist(), edges[1:].tolist()))
+    return [(size + 1).tolist(), whole, marks, [terms[a:b] for a, b in parts], [times[a:b] for a, b in parts]]
 
 
 def shaped(docs: DataFrame, key: str, text: str, path: str, end_id: int, window: int) -> DataFrame:
     """key, and what packing needs to know of a document's ids, without the ids."""
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    last = np.array([end_id], dtype="<u4").tobytes()
 
     def start():
-        encode = word_ids(path)
+        encode = texts_ids(path)
+        return lambda part: _shapes(*encode(*_objects(part, "text")), end_id, window)
 
-        def step(columns):
-            found = [_shape(encode(t) + last, window) for t in columns[1]]
-            return [columns[0], *([f[i] for f in found] for i in range(5))]
-
-        return step
-
-    kind = dict(rows.dtypes)["key"]
-    return map_arrow(rows, f"key {kind}, {_SHAPE}", start)
+    return _extended(rows, ["key"], _SHAPE, start)
 
 
 def document_counts(shapes: DataFrame, vocabulary: int) -> np.ndarray:
@@ -348,27 +419,21 @@ def pack(docs: DataFrame, key: str, text: str, path: str, end_id: int, window: i
     numbered = docs.select(
         F.struct(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key")).alias("id"), F.col(text).alias("text")
     )
-    kind = dict(numbered.dtypes)["id"]
     shapes = pin(shaped(numbered, "id", "text", path, end_id, window), "shapes").withColumnRenamed("key", "id")
     seen = shapes.agg(F.count("*").alias("n"), F.avg("n_ids").alias("mean")).first()
     weights = Weights(document_counts(shapes, vocabulary), seen.n, seen.mean or 1.0)
 
-    def telling():
-        def step(columns):
-            return [weights.telling(*columns).tolist()]
-
-        return step
+    def telling(part: pa.RecordBatch) -> np.ndarray:
+        return weights.telling(*_objects(part, "terms", "counts", "n_ids"))
 
-    chosen = map_arrow(shapes.select("terms", "counts", "n_ids"), "term bigint", telling)
+    chosen = _extended(shapes.select("terms", "counts", "n_ids"), [], "term bigint", lambda: lambda part: [telling(part)])
     terms, first, spread = _shards({r.term: r["count"] for r in chosen.groupBy("term").count().collect()})
 
-    def dealt():
-        def step(columns):
-            at = np.searchsorted(terms, weights.telling(columns[4], columns[5], columns[1]))
-            salt = [zlib.crc32(str(i["row"]).encode()) for i in columns[0]]
-            return [*columns, (first[at] + np.array(salt, dtype=np.int64) % spread[at]).tolist()]
-
-        return step
+    def dealt(part: pa.RecordBatch) -> list[np.ndarray]:
+        at = np.searchsorted(terms, telling(part))
+        row = part.column("id").flatten()[0].to_pylist()
+        salt = [zlib.crc32(str(r).encode()) for r in row]
+        return [first[at] + np.array(salt, dtype=np.int64) % spread[at]]
 
     def packed(found: pa.Table) -> pa.Table:
         rows = sorted(found.to_pylist(), key=lambda r: r["id"]["row"])
@@ -378,7 +443,7 @@ def pack(docs: DataFrame, key: str, text: str, path: str, end_id: int, window: i
         values = [pa.array([p[i] for p in pieces], type=pa.int64()) for i in range(1, 7)]
         return pa.Table.from_arrays([ids, *values], names=["key", *names])
 
-    rows = map_arrow(shapes, f"id {kind}, {_SHAPE}, shard bigint", dealt)
+    rows = _extended(shapes, shapes.columns, "shard bigint", lambda: dealt)
     key_kind = dict(docs.dtypes)[key]
     return rows.groupBy("shard").applyInArrow(packed, f"key {key_kind}, {PIECE_ROW}").withColumnRenamed("key", key)
 

@@ -361,3 +361,44 @@ def test_closing_marks_are_set_apart_at_once():
             text = "".join(rng.choices(letters, k=rng.randrange(15)))
             expected = re.sub(rf"([{marks}]+)(?= |\Z)", r" \1", text)
             assert packing._closing_apart(text.encode("latin-1")).decode("latin-1") == expected, ascii(text)
+
+
+def test_different_pieces_are_looked_up_once(monkeypatch):
+    asked = []
+
+    def counted(known, word):
+        asked.append(word)
+        return dict.__getitem__(known, word)
+
+    monkeypatch.setattr(packing._WordIds, "__getitem__", counted, raising=False)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert len(packing.word_ids(path)("Apples, pears. " * 1000)) == 4 * 4 * 1000
+    assert sorted(asked) == ["", ",", ".", "apples", "pears"]
+
+
+def test_shapes_of_many_texts_at_once():
+    """Ids, checksums, terms and counts of texts side by side are those of each text by itself."""
+    import random
+    import zlib
+    from collections import Counter
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, encode, rng = Tokenizer.from_file(path), packing.texts_ids(path), random.Random(9)
+    words = ["", "the", "Tree,", "\xe9t\xe9.", "œuvre!", "中", "<|endoftext|>", "don't", "\n", "a\nb?", "!!", "..."]
+    for most in (0, 1, 3, 200):
+        texts = [" ".join(rng.choices(words, k=rng.randrange(most + 1))) for _ in range(40)]
+        ids, ends = encode(texts)
+        columns = packing._shapes(ids, ends, 1, 32)
+        for text, a, b, n, whole, marks, terms, counts in zip(texts, [0, *ends], ends, *columns):
+            own = tokenizer.encode(text, add_special_tokens=False).ids
+            assert ids[a:b].tolist() == own and n == len(own) + 1
+            held = np.array([*own, 1], dtype="<u4").tobytes()
+            rest = n // 32 * 128
+            whole_crcs = [zlib.crc32(held[i : i + 128]) for i in range(0, rest, 128)]
+            crcs = [0, *(zlib.crc32(held[rest : i + 64]) for i in range(rest, len(held), 64))]
+            assert np.frombuffer(whole, dtype="<u4").tolist() == whole_crcs
+            assert np.frombuffer(marks, dtype="<u4").tolist() == crcs
+            found = dict(zip(*(np.frombuffer(c, dtype="<u4").tolist() for c in (terms, counts))))
+            assert list(found.items()) == sorted(Counter(own).items())
