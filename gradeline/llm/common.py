@@ -72,15 +72,15 @@ def map_arrow(
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch cut into runs of rows that hold about EMIT_CHARS bytes of text each."""
+def slices(batch: pa.RecordBatch, most: int = EMIT_CHARS) -> Iterator[pa.RecordBatch]:
+    """The batch cut into runs of rows that hold about ``most`` bytes of text each."""
     if not batch.num_rows:
         return
     size = np.ones(batch.num_rows, dtype=np.int64)
     for column in batch.columns:
         if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
             size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    group = np.cumsum(size) // EMIT_CHARS
+    group = np.cumsum(size) // most
     edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for a, b in zip(edges, edges[1:]):
         yield batch.slice(a, b - a)

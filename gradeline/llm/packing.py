@@ -32,6 +32,8 @@ SHARD, K1, B = 2048, 1.2, 0.75
 OFTEN = 16
 #: Seeds whose frequent terms are looked up together.
 SEEDS = 64
+#: Bytes of text, or of ids, that are worked on together.
+SLICE = 1_000_000
 #: Distinct words whose ids a task remembers before it starts anew.
 WORDS_KEPT = 300_000
 #: Letters below this have one code point in either case, but for the dotted I, and no composition.
@@ -166,7 +168,7 @@ def _extended(
         step = None
         for batch in batches:
             step = step or start()
-            for part in slices(batch):
+            for part in slices(batch, SLICE):
                 new = [pa.array(c, type=f.type) for c, f in zip(step(part), arrow)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *new], names=[*keep, *arrow.names])
 
